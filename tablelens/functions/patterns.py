@@ -75,12 +75,12 @@ def contains_pattern(
 ) -> Callable[[Column], Column]:
     """A predicate: does a text contain the pattern, or any of several?
 
-    NULL texts do not match. One literal, case-sensitive pattern becomes
+    It is NULL for a NULL text, which a filter drops. One literal, case-sensitive pattern becomes
     ``contains``, which parquet scans accept as a pushed filter.
     """
     patterns = as_patterns(pattern)
     if case_sensitive and len(patterns) == 1 and is_literal(patterns[0]):
-        return lambda text: F.coalesce(F.contains(text, F.lit(patterns[0])), F.lit(False))
+        return lambda text: F.contains(text, F.lit(patterns[0]))
     flags = "(?s)" if case_sensitive else "(?siu)"
     regex = flags + "|".join(f"(?:{wildcard_regex(p)})" for p in patterns)
-    return lambda text: F.coalesce(text.rlike(regex), F.lit(False))
+    return lambda text: text.rlike(regex)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tablelens.plans.groups import hot_group_rows
 from tablelens.plans.joins import balanced_join
 from tablelens.plans.tables import materialize
 
@@ -27,9 +28,8 @@ def resolve_aliases(aliases: DataFrame, id: str = "id", target: str = "target")
         F.col(target).isNotNull().cast("long").alias("hops"),
         F.col(target).isNull().alias("closed"),
     )
-    tables = [materialize(start)]
-    open_ids = tables[0].where(~F.col("closed"))
-    closed = tables[0].where("closed")
+    written = materialize(start)
+    open_ids, closed = written.where(~F.col("closed")), written.where("closed")
     left = open_ids.count()
     while left:
         known = closed.unionByName(open_ids).select(
@@ -39,17 +39,23 @@ def resolve_aliases(aliases: DataFrame, id: str = "id", target: str = "target")
             F.col("closed").alias("_closed"),
         )
         # A pointer to an id that is not listed has reached its root.
+        few = left <= hot_group_rows(aliases.sparkSession)
         step = balanced_join(
-            open_ids.select("id", "ptr", "hops"), known, ["ptr"], "left", right_unique=True
+            open_ids.select("id", "ptr", "hops"),
+            known,
+            ["ptr"],
+            "left",
+            right_unique=True,
+            hot=[] if few else None,
         ).select(
             "id",
             F.coalesce("_ptr", "ptr").alias("ptr"),
             (F.col("hops") + F.coalesce("_hops", F.lit(0))).alias("hops"),
             F.coalesce("_closed", F.lit(True)).alias("closed"),
         )
-        tables.append(materialize(step))
-        open_ids = tables[-1].where(~F.col("closed"))
-        closed = closed.unionByName(tables[-1].where("closed"))
+        written = materialize(step)
+        open_ids = written.where(~F.col("closed"))
+        closed = closed.unionByName(written.where("closed"))
         before, left = left, open_ids.count()
         if left == before:
             break

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablelens.plans.groups import OrderedGroups
@@ -20,20 +20,22 @@ def ordered_list(
     suffix: Column | None = None,
     name: str = "list",
     piece_items: int = PIECE_ITEMS,
+    hot: list[Row] | None = None,
 ) -> DataFrame:
     """Per key the items in the total ``order``, joined by ``", "``.
 
     The result is ``(*keys, piece, name)``. A text of unlimited length cannot
     be one value, so a list longer than ``piece_items`` goes on in further
     rows: piece 0, 1, 2 and so on hold the whole list between them. ``suffix``
-    is added to an item where it is not NULL.
+    is added to an item where it is not NULL. ``hot`` passes the hot keys in
+    when they are known.
     """
     text = F.col(item).cast("string")
     if suffix is not None:
         text = F.concat(text, F.coalesce(suffix, F.lit("")))
     columns = list(dict.fromkeys([*keys, *order]))
     numbered = (
-        OrderedGroups(df.select(*columns, text.alias("_item")), keys, order)
+        OrderedGroups(df.select(*columns, text.alias("_item")), keys, order, hot)
         .running({"_n": F.lit(1)})
         .done()
     )

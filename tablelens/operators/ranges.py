@@ -133,13 +133,14 @@ def partition_storage(df: DataFrame, part: str, columns: Sequence[str] | None =
     per_part = df.groupBy(part).agg(
         F.count("*").alias("n_rows"), F.sum(row_bytes(df, measured)).alias("bytes")
     )
-    whole = per_part.agg(F.sum("bytes").alias("_whole")).scalar()
+    # The total asks for the same aggregated columns, so both share one scan and shuffle.
+    whole = per_part.agg(F.struct(F.sum("bytes").alias("b"), F.sum("n_rows")).alias("_whole"))
     return per_part.select(
         part,
         "n_rows",
         "bytes",
         F.try_divide(F.col("bytes").cast("double"), F.col("n_rows")).alias("avg_bytes"),
-        F.try_divide(F.col("bytes") * F.lit(100.0), whole).alias("pct"),
+        F.try_divide(F.col("bytes") * F.lit(100.0), whole.scalar()["b"]).alias("pct"),
     )
 
 

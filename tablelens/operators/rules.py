@@ -70,12 +70,12 @@ def name_audit(df: DataFrame, col: str, keywords: Iterable[str] | None = None) -
 
     A name needs quotes when it starts with a digit, holds a character other
     than letters, digits, ``_`` and ``@``, or is a keyword in any case: those
-    given, or else the reserved words of Spark SQL. Quotes are square brackets
-    with a closing bracket inside doubled.
+    given, or else the keywords of Spark SQL. Quotes are square brackets with a
+    closing bracket inside doubled.
     """
     names = df.select(F.col(col).alias("name")).where(F.col(col).isNotNull()).distinct()
     if keywords is None:
-        listed = df.sparkSession.sql("SELECT keyword FROM sql_keywords() WHERE reserved").collect()
+        listed = df.sparkSession.sql("SELECT keyword FROM sql_keywords()").collect()
         keywords = [r["keyword"] for r in listed]
     odd = F.col("name").rlike("^[0-9]|[^0-9A-Za-z_@]")
     needs = odd | F.upper("name").isin([k.upper() for k in keywords])

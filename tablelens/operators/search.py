@@ -211,15 +211,15 @@ def text_preview(
     that a non-blank line comes later, found in the whole rest of the text. A
     line break at the very end adds no empty last line.
     """
-    parts = lines(F.col(text), max_lines + 1)
+    # Through a generator the split becomes a column that is computed once.
+    once = F.inline(F.array(F.struct(lines(F.col(text), max_lines + 1).alias("_parts"))))
+    rest = F.get("_parts", F.lit(max_lines))
     shown = (
-        df.select(*as_list(id), parts.alias("_parts"))
+        df.select(*as_list(id), once)
         .select(
             *as_list(id),
             F.slice("_parts", 1, max_lines).alias("_head"),
-            F.coalesce(F.get("_parts", F.lit(max_lines)).rlike("[^\r\n]"), F.lit(False)).alias(
-                "truncated"
-            ),
+            F.coalesce(rest.rlike("[^\n]"), F.lit(False)).alias("truncated"),
             F.when(F.size("_parts") <= max_lines, F.size("_parts")).alias("_last"),
         )
         .withColumn(

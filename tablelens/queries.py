@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 import tablelens as tl
 from tablelens.functions.texts import line_breaks
-from tablelens.plans.groups import OrderedGroups
+from tablelens.plans.groups import OrderedGroups, hot_groups
 from tablelens.sources.tables import Tables
 
 LICENCE = "licen[sc]e"
@@ -90,8 +90,8 @@ def header_sections(spark: SparkSession, folder: str) -> DataFrame:
 def resolve_aliases(spark: SparkSession, folder: str) -> DataFrame:
     """Each exact copy of a text points to the copy before it."""
     documents = Tables(spark, folder)("documents")
-    # A digest stands for the text, so that no text is shuffled.
-    prints = documents.select("doc_id", F.sha2("text", 256).alias("print"))
+    # A digest stands for the text, so texts are read once and never shuffled.
+    prints = tl.materialize(documents.select("doc_id", F.sha2("text", 256).alias("print")))
     copies = OrderedGroups(prints, ["print"], ["doc_id"]).neighbour("before", F.col("doc_id"))
     aliases = copies.done().select("doc_id", F.col("before.v").alias("target"))
     resolved = tl.resolve_aliases(aliases, "doc_id", "target")
@@ -305,7 +305,11 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def run_lists(spark: SparkSession, folder: str) -> DataFrame:
-    return tl.run_lists(runs(spark, folder), ["user_id"], "event_type", skip="view")
+    events = Tables(spark, folder)("events")
+    hot = hot_groups(events, ["user_id"])
+    found = tl.runs(events, ["user_id"], ["ts", "event_id"], "event_type", hot=hot)
+    # A user has no more runs than events: without hot users no list is hot either.
+    return tl.run_lists(found, ["user_id"], "event_type", skip="view", hot=None if hot else [])
 
 
 def ordered_list(spark: SparkSession, folder: str) -> DataFrame:
