@@ -190,7 +190,7 @@ def relationship_cardinality(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def reference_edges(spark: SparkSession, folder: str) -> DataFrame:
+def build_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Which row refers to which: five references as one edge table."""
     t = Tables(spark, folder)
 
@@ -223,7 +223,7 @@ def reference_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def written_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return tl.materialize(reference_edges(spark, folder))
+    return tl.materialize(build_edges(spark, folder))
 
 
 def edge_ordinals(spark: SparkSession, folder: str) -> DataFrame:
@@ -383,7 +383,7 @@ QUERIES = {
         unique_sets,
         fk_check,
         relationship_cardinality,
-        reference_edges,
+        build_edges,
         edge_ordinals,
         two_hop_in,
         two_hop_out,
@@ -402,4 +402,3 @@ QUERIES = {
         name_audit,
     ]
 }
-QUERIES["build_edges"] = QUERIES.pop("reference_edges")
