@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import datetime as dt
+import json
 from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
@@ -31,17 +32,17 @@ def range_partition(
     to range 1. No shuffle: the boundaries are part of the expression.
     """
     data_type = df.schema[col].dataType
-    # Dates and times go in as text, which no time zone can shift.
-    bounds = [
-        F.lit(b.isoformat(" ") if isinstance(b, dt.datetime) else b).cast(data_type)
-        for b in sorted(boundaries)
-    ]
+    # All go in as text: no time zone can shift a time, and many need one call.
+    texts = [b.isoformat(" ") if isinstance(b, dt.datetime) else str(b) for b in sorted(boundaries)]
     value = F.col(col)
-    if len(bounds) <= FEW_BOUNDS:
+    if len(texts) <= FEW_BOUNDS:
+        bounds = [F.lit(t).cast(data_type) for t in texts]
         passed = [(b <= value) if right else (b < value) for b in bounds]
         above = reduce(lambda a, b: a + b, [p.cast("long") for p in passed], F.lit(0).cast("long"))
     else:
-        above = position(F.array(*bounds), value, len(bounds).bit_length(), strict=not right)
+        listed = F.from_json(F.lit(json.dumps(texts)), "array<string>")
+        bounds = listed.cast(T.ArrayType(data_type))
+        above = position(bounds, value, len(texts).bit_length(), strict=not right)
     return df.withColumn(name, F.lit(1).cast("long") + F.coalesce(above, F.lit(0)).cast("long"))
 
 

@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from tablelens.functions.patterns import contains_pattern, quote
@@ -17,7 +17,7 @@ from tablelens.functions.texts import (
     line_breaks,
     lines,
 )
-from tablelens.plans.groups import OrderedGroups
+from tablelens.plans.groups import OrderedGroups, hot_groups
 from tablelens.plans.joins import balanced_join
 
 Pattern = str | Iterable[str]
@@ -158,12 +158,13 @@ def search_outline(
     """
     sizes = [c for c in (line_count, row_count) if c]
     columns = list(dict.fromkeys([group, item, detail, *show, *sizes]))
-    details = OrderedGroups(hits.select(*columns), [group, item], [detail])
-    details = details.running({"x_ord": F.lit(1)}, totals={"x_ord": "_x_cnt"}).done()
-    items = OrderedGroups(
-        hits.select(group, item).distinct(), [group], [item]
-    ).running({"o_ord": F.lit(1)}).done()
-    numbered = balanced_join(details, items, [group, item], right_unique=True)
+    hot = hot_groups(hits, [group, item])
+    details = OrderedGroups(hits.select(*columns), [group, item], [detail], hot)
+    details.running({"x_ord": F.lit(1)}, totals={"x_ord": "_x_cnt"})
+    items = OrderedGroups(hits.select(group, item).distinct(), [group], [item])
+    items.running({"o_ord": F.lit(1)})
+    hot_items = [Row(**{group: r[group], item: r[item]}, _left=r["_rows"], _right=1) for r in hot]
+    numbered = balanced_join(details.done(), items.done(), [group, item], hot=hot_items)
 
     # The first detail of an item also yields the item's header row, and the
     # first item of a group the group's, so the headers need no second pass.

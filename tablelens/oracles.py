@@ -84,11 +84,56 @@ def unique_sql(table: str, cols: str) -> str:
   from (select count(*) as c from {table} group by {cols.replace(";", ",")})"""
 
 
+PATHS = """
+  p as (
+    select r2.dst as focus, r2.src as hop1, r1.src as hop2, r2.rel as rel1, r1.rel as rel2,
+           row_number() over (partition by r2.dst order by r2.src, r1.src)
+             - count(*) over (partition by r2.dst) // 2 as ordinal,
+           row_number() over (partition by r2.dst, r2.src order by r1.src) as block_row,
+           count(*) over (partition by r2.dst, r2.src) as block_count
+    from e r2 left join e r1 on r1.dst = r2.src
+  ), c as (
+    select r3.src as focus, r3.dst as hop1, r4.dst as hop2, r3.rel as rel1, r4.rel as rel2,
+           row_number() over (partition by r3.src order by r3.dst, r4.dst)
+             - count(*) over (partition by r3.src) // 2 as ordinal,
+           row_number() over (partition by r3.src, r3.dst order by r4.dst) as block_row,
+           count(*) over (partition by r3.src, r3.dst) as block_count
+    from e r3 left join e r4 on r3.dst = r4.src
+  ), n as (select focus, ordinal from p union select focus, ordinal from c),
+  j as (
+    select n.focus, n.ordinal, p.hop2 as in2, p.hop1 as in1, p.rel2 as in2_rel, p.rel1 as in1_rel,
+           p.block_row = p.block_count // 2 + 1 as show_in1,
+           p.block_row as p_row, p.block_count as p_count,
+           c.hop1 as out1, c.block_row = c.block_count // 2 + 1 as show_out1, c.hop2 as out2,
+           c.rel1 as out1_rel, c.rel2 as out2_rel,
+           c.block_row as c_row, c.block_count as c_count, p.ordinal as po, c.ordinal as co
+    from n left join p using (focus, ordinal) left join c using (focus, ordinal)
+  ), g as (
+    select focus, ordinal, in2, in2_rel,
+           case when in2 is null then '' when p_count = 1 then chr(8722)
+                when p_row = 1 then '\\' when p_row = p_count then '/' else chr(8739) end as in2_mark,
+           in1, show_in1, in1_rel,
+           case when count(po) over w = 1 and po = min(po) over w then chr(8722)
+                when po = min(po) over w then '\\' when po = max(po) over w then '/'
+                when po is not null then chr(8739) else '' end as in_mark,
+           case when ordinal = 1 then focus else '' end as node,
+           case when count(co) over w = 1 and co = min(co) over w then chr(8722)
+                when co = min(co) over w then '/' when co = max(co) over w then '\\'
+                when co is not null then chr(8739) else '' end as out_mark,
+           out1_rel, out1, show_out1,
+           case when out2 is null then '' when c_count = 1 then chr(8722)
+                when c_row = 1 then '/' when c_row = c_count then '\\' else chr(8739) end as out2_mark,
+           out2_rel, out2
+    from j window w as (partition by focus)
+  )"""
+
 SQL = {
     "like_any": """
   select page_id from pages
   where regexp_matches(url, '/1[0-4].page|licen[sc]e', 'is')
      or regexp_matches(html, '/1[0-4].page|licen[sc]e', 'is')""",
+    "like_any_literal": """
+  select page_id, url from pages where contains(url, 'example.com/')""",
     "grep_lines": f"""
   select doc_id, line, line_text from ({LINES})
   where regexp_matches(line_text, 'licen[sc]e', 'i')""",
@@ -242,6 +287,14 @@ SQL = {
            count(*) filter (l_partkey is not null and p_partkey is null), count(p_partkey)
     from lineitem left join (select distinct p_partkey from part where p_size <= 25)
       on l_partkey = p_partkey
+  )""",
+    "fk_check_composite": """
+  select *, n_orphan = 0 as is_trusted from (
+    select 'turn->turn' as fk, count(*) filter (c.turn = 0) as n_null,
+           count(*) filter (c.turn > 0 and p.turn is null) as n_orphan,
+           count(p.turn) as n_matched
+    from conversations c left join (select distinct conv_id, turn from conversations) p
+      on p.conv_id = c.conv_id and p.turn = c.turn - 1
   )""",
     "relationship_cardinality": """
   with e(child, parent, k) as (
@@ -275,49 +328,32 @@ SQL = {
   with e as (select src, dst from ({EDGES}))
   select r3.src as focus, r3.dst as hop1, r4.dst as hop2
   from e r3 left join e r4 on r3.dst = r4.src""",
+    "two_hop_focus": f"""
+  with e as (select src, dst from ({EDGES}))
+  select r2.dst as focus, r2.src as hop1, r1.src as hop2
+  from nation join e r2 on r2.dst = 'N' || n_nationkey left join e r1 on r1.dst = r2.src""",
     "graph_layout": f"""
-  with e as (select src, dst from ({EDGES})),
-  p as (
-    select r2.dst as focus, r2.src as hop1, r1.src as hop2,
-           row_number() over (partition by r2.dst order by r2.src, r1.src)
-             - count(*) over (partition by r2.dst) // 2 as ordinal,
-           row_number() over (partition by r2.dst, r2.src order by r1.src) as block_row,
-           count(*) over (partition by r2.dst, r2.src) as block_count
-    from e r2 left join e r1 on r1.dst = r2.src
-  ), c as (
-    select r3.src as focus, r3.dst as hop1, r4.dst as hop2,
-           row_number() over (partition by r3.src order by r3.dst, r4.dst)
-             - count(*) over (partition by r3.src) // 2 as ordinal,
-           row_number() over (partition by r3.src, r3.dst order by r4.dst) as block_row,
-           count(*) over (partition by r3.src, r3.dst) as block_count
-    from e r3 left join e r4 on r3.dst = r4.src
-  ), n as (select focus, ordinal from p union select focus, ordinal from c),
-  j as (
-    select n.focus, n.ordinal, p.hop2 as in2, p.hop1 as in1,
-           p.block_row = p.block_count // 2 + 1 as show_in1,
-           p.block_row as p_row, p.block_count as p_count,
-           c.hop1 as out1, c.block_row = c.block_count // 2 + 1 as show_out1, c.hop2 as out2,
-           c.block_row as c_row, c.block_count as c_count, p.ordinal as po, c.ordinal as co
-    from n left join p using (focus, ordinal) left join c using (focus, ordinal)
+  with e as (select src, dst, null as rel from ({EDGES})), {PATHS}
+  select * exclude (in2_rel, in1_rel, out1_rel, out2_rel) from g""",
+    "graph_layout_labels": f"""
+  with e as (select src, dst, case when flag then '*' else '' end as rel from ({EDGES})), {PATHS},
+  l as (
+    select 'P' || l_partkey as node, ' (' || count(*) || ')' as t from lineitem group by l_partkey
+    union all
+    select 'C' || o_custkey, ' (' || count(*) || ')' from orders group by o_custkey
   )
-  select focus, ordinal, in2,
-         case when in2 is null then '' when p_count = 1 then chr(8722) when p_row = 1 then '\\'
-              when p_row = p_count then '/' else chr(8739) end as in2_mark,
-         in1, show_in1,
-         case when count(po) over w = 1 and po = min(po) over w then chr(8722)
-              when po = min(po) over w then '\\' when po = max(po) over w then '/'
-              when po is not null then chr(8739) else '' end as in_mark,
-         case when ordinal = 1 then focus else '' end as node,
-         case when count(co) over w = 1 and co = min(co) over w then chr(8722)
-              when co = min(co) over w then '/' when co = max(co) over w then '\\'
-              when co is not null then chr(8739) else '' end as out_mark,
-         out1, show_out1,
-         case when out2 is null then '' when c_count = 1 then chr(8722) when c_row = 1 then '/'
-              when c_row = c_count then '\\' else chr(8739) end as out2_mark,
-         out2
-  from j window w as (partition by focus)""",
+  select g.* replace (
+    in2 || coalesce(a.t, '') as in2, in1 || coalesce(b.t, '') as in1,
+    g.node || coalesce(c.t, '') as node,
+    out1 || coalesce(d.t, '') as out1, out2 || coalesce(f.t, '') as out2)
+  from g left join l a on a.node = in2 left join l b on b.node = in1
+  left join l c on c.node = g.node left join l d on d.node = out1 left join l f on f.node = out2""",
     "range_partition": f"""
   select o_orderkey, 1 + (select count(*) from {YEAR_BOUNDS} where v <= o_orderdate) as part_no
+  from orders""",
+    "range_partition_many": """
+  select o_orderkey,
+         1 + greatest(0, least(499, ceil(o_totalprice / 1000)::bigint - 1)) as part_no
   from orders""",
     "discrete_boundaries": DISCRETE,
     "partition_labels": f"""

@@ -33,6 +33,6 @@ def materialize(df: DataFrame) -> DataFrame:
     survives lost executors. The new table knows its real size, so the
     optimizer can choose join strategies by it."""
     spark = df.sparkSession
-    path = f"{shared_folder(spark)}/table-{uuid.uuid4().hex}"
+    path = f"{shared_folder(spark).rstrip('/')}/table-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)

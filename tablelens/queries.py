@@ -25,6 +25,12 @@ def like_any(spark: SparkSession, folder: str) -> DataFrame:
     return tl.like_any(pages, ["url", "html"], ["/1[0-4]_page", LICENCE]).select("page_id")
 
 
+def like_any_literal(spark: SparkSession, folder: str) -> DataFrame:
+    """A literal in its own case, which the scan filters by."""
+    pages = Tables(spark, folder)("pages")
+    return tl.like_any(pages, "url", "example.com/", case_sensitive=True).select("page_id", "url")
+
+
 def grep_lines(spark: SparkSession, folder: str) -> DataFrame:
     return tl.grep_lines(Tables(spark, folder)("documents"), "doc_id", "text", LICENCE)
 
@@ -176,6 +182,14 @@ def fk_check(spark: SparkSession, folder: str) -> DataFrame:
     return labelled.unionByName(parts)
 
 
+def fk_check_composite(spark: SparkSession, folder: str) -> DataFrame:
+    """Does every turn of a conversation but the first follow the one before it?"""
+    turns = Tables(spark, folder)("conversations").select("conv_id", "turn")
+    before = F.when(F.col("turn") > 0, F.col("turn") - 1)
+    follows = turns.withColumn("before", before)
+    return tl.fk_check(follows, turns, {"conv_id": "conv_id", "before": "turn"}, "turn->turn")
+
+
 def relationship_cardinality(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     blanked = F.when(F.col("l_discount") >= 0.01, F.col("l_partkey"))
@@ -238,15 +252,41 @@ def two_hop_out(spark: SparkSession, folder: str) -> DataFrame:
     return tl.two_hop_out(written_edges(spark, folder))
 
 
+def two_hop_focus(spark: SparkSession, folder: str) -> DataFrame:
+    """The customers and suppliers of every nation, and their orders."""
+    nations = Tables(spark, folder)("nation")
+    focus = nations.select(F.concat(F.lit("N"), "n_nationkey").alias("node"))
+    return tl.two_hop_in(written_edges(spark, folder), focus)
+
+
 def graph_layout(spark: SparkSession, folder: str) -> DataFrame:
     return tl.graph_layout(written_edges(spark, folder))
 
 
+def graph_layout_labels(spark: SparkSession, folder: str) -> DataFrame:
+    """The layout with the rows of each part and customer, and the flag of each edge."""
+    t = Tables(spark, folder)
+    lines = t("lineitem").select(F.concat(F.lit("P"), "l_partkey").alias("node"))
+    orders = t("orders").select(F.concat(F.lit("C"), "o_custkey").alias("node"))
+    labels = lines.unionByName(orders).groupBy("node").agg(F.count("*").alias("n"))
+    sign = F.when(F.col("flag"), "*").otherwise("")
+    edges = written_edges(spark, folder).withColumn("sign", sign)
+    return tl.graph_layout(edges, labels=labels, relations="sign")
+
+
 def range_partition(spark: SparkSession, folder: str) -> DataFrame:
     orders = Tables(spark, folder)("orders")
     return tl.range_partition(orders, "o_orderdate", YEAR_STARTS).select("o_orderkey", "part_no")
 
 
+def range_partition_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Five hundred ranges of the price, each closed above."""
+    orders = Tables(spark, folder)("orders")
+    steps = [1000.0 * i for i in range(1, 500)]
+    parted = tl.range_partition(orders, "o_totalprice", steps, right=False)
+    return parted.select("o_orderkey", "part_no")
+
+
 def size_bounds(spark: SparkSession, folder: str) -> DataFrame:
     """Every size of a brand's parts, numbered, as its boundaries."""
     sizes = Tables(spark, folder)("part").select("p_brand", "p_size").distinct()
@@ -366,6 +406,7 @@ QUERIES = {
     f.__name__: f
     for f in [
         like_any,
+        like_any_literal,
         grep_lines,
         line_counts,
         search_union,
@@ -382,13 +423,17 @@ QUERIES = {
         first_match,
         unique_sets,
         fk_check,
+        fk_check_composite,
         relationship_cardinality,
         build_edges,
         edge_ordinals,
         two_hop_in,
         two_hop_out,
+        two_hop_focus,
         graph_layout,
+        graph_layout_labels,
         range_partition,
+        range_partition_many,
         discrete_boundaries,
         partition_labels,
         partition_storage,

@@ -140,3 +140,16 @@ def test_sections(spark):
         (3, None, None),
         (4, None, None),
     ]
+
+
+def test_grep_of_a_stream(spark):
+    folder = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    stream = spark.readStream.schema(docs.schema).option("pathGlobFilter", "documents.parquet")
+    found = tl.grep_lines(stream.parquet(folder), "doc_id", "text", "licen[sc]e")
+    query = found.writeStream.format("memory").queryName("grepped").start()
+    try:
+        query.processAllAvailable()
+    finally:
+        query.stop()
+    assert rows(spark.table("grepped")) == rows(tl.grep_lines(docs, "doc_id", "text", "licen[sc]e"))
