@@ -13,7 +13,7 @@ from tablelens.plans.tables import materialize
 def resolve_aliases(aliases: DataFrame, id: str = "id", target: str = "target") -> DataFrame:
     """Follow ``target`` from each id until something that is no alias.
 
-    The result is ``(id, root, hops, cyclic)``; ids that run into a cycle have
+    Ids are unique. The result is ``(id, root, hops, cyclic)``; ids that run into a cycle have
     ``root`` and ``hops`` NULL. An id without a target is its own root.
 
     Every round doubles how far each open id has been followed, so the number

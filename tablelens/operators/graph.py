@@ -10,10 +10,10 @@ from __future__ import annotations
 from collections.abc import Iterable
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.plans.groups import OrderedGroups, hot_groups
+from tablelens.plans.groups import Hot, OrderedGroups, hot_groups
 from tablelens.plans.joins import balanced_join
 from tablelens.plans.tables import materialize
 
@@ -102,20 +102,20 @@ def _mark(row: Column, count: Column, first: str, last: str) -> Column:
     )
 
 
-def _sized(hot: list[Row], end: str, name: str) -> list[Row]:
+def _sized(hot: list[Hot], end: str, name: str) -> list[Hot]:
     """Hot groups of edges by one end, under another name."""
-    return [Row(**{name: r[end]}, _rows=r["_rows"]) for r in hot]
+    return [{name: r[end], "_rows": r["_rows"]} for r in hot]
 
 
-def _hot_keys(name: str, left: dict[str, int], right: dict[str, int]) -> list[Row]:
+def _hot_keys(name: str, left: dict[str, int], right: dict[str, int]) -> list[Hot]:
     """Hot join keys from rows per key on either side."""
     return [
-        Row(**{name: k}, _left=left.get(k, 0), _right=right.get(k, 0)) for k in {**left, **right}
+        {name: k, "_left": left.get(k, 0), "_right": right.get(k, 0)} for k in {**left, **right}
     ]
 
 
 def _with_labels(
-    edges: DataFrame, labels: DataFrame, hot_src: list[Row], hot_dst: list[Row]
+    edges: DataFrame, labels: DataFrame, hot_src: list[Hot], hot_dst: list[Hot]
 ) -> DataFrame:
     """Edges with ``_src_label`` and ``_dst_label``, such as ``" (25)"``; none for zero."""
     node, count = labels.columns[:2]
@@ -133,8 +133,8 @@ def _with_labels(
 def _side(
     edges: DataFrame,
     focus: DataFrame | None,
-    hot_dst: list[Row],
-    hot_src: list[Row],
+    hot_dst: list[Hot],
+    hot_src: list[Hot],
     way: str,
     first: str,
     last: str,

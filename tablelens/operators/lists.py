@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.plans.groups import OrderedGroups
+from tablelens.plans.groups import Hot, OrderedGroups
 
 PIECE_ITEMS = 10_000
 
@@ -20,7 +20,7 @@ def ordered_list(
     suffix: Column | None = None,
     name: str = "list",
     piece_items: int = PIECE_ITEMS,
-    hot: list[Row] | None = None,
+    hot: list[Hot] | None = None,
 ) -> DataFrame:
     """Per key the items in the total ``order``, joined by ``", "``.
 

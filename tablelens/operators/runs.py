@@ -4,11 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.operators.lists import PIECE_ITEMS, ordered_list
-from tablelens.plans.groups import OrderedGroups
+from tablelens.plans.groups import Hot, OrderedGroups
 
 
 def runs(
@@ -16,7 +16,7 @@ def runs(
     keys: Sequence[str],
     order: Sequence[str],
     value: str,
-    hot: list[Row] | None = None,
+    hot: list[Hot] | None = None,
 ) -> DataFrame:
     """Consecutive equal values per key.
 
@@ -51,7 +51,7 @@ def run_lists(
     value: str,
     skip: object | None = None,
     piece_items: int = PIECE_ITEMS,
-    hot: list[Row] | None = None,
+    hot: list[Hot] | None = None,
 ) -> DataFrame:
     """The runs of each value as text, such as ``1 TO 3, 7``, in ``runs``.
 

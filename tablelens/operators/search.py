@@ -6,7 +6,7 @@ from collections.abc import Iterable, Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Row
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.functions.patterns import contains_pattern, quote
@@ -163,7 +163,7 @@ def search_outline(
     details.running({"x_ord": F.lit(1)}, totals={"x_ord": "_x_cnt"})
     items = OrderedGroups(hits.select(group, item).distinct(), [group], [item])
     items.running({"o_ord": F.lit(1)})
-    hot_items = [Row(**{group: r[group], item: r[item]}, _left=r["_rows"], _right=1) for r in hot]
+    hot_items = [{group: r[group], item: r[item], "_left": r["_rows"], "_right": 1} for r in hot]
     numbered = balanced_join(details.done(), items.done(), [group, item], hot=hot_items)
 
     # The first detail of an item also yields the item's header row, and the

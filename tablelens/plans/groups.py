@@ -16,9 +16,10 @@ from __future__ import annotations
 import math
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from typing import Any
 
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Row, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -32,6 +33,9 @@ SAMPLES_PER_CHUNK = 32
 
 CHUNK = "_chunk"
 
+# The keys of a hot group or join key with its numbers of rows.
+Hot = dict[str, Any]
+
 
 def hot_group_rows(spark: SparkSession) -> int:
     """Rows one group may put into one task (session setting, default one million)."""
@@ -43,21 +47,25 @@ def rows_per_chunk(spark: SparkSession, rows: Sequence[int]) -> int:
     return max(hot_group_rows(spark), math.ceil(sum(rows) / MOST_CHUNKS))
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[Row]:
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[Hot]:
     """The groups too large for one task, each with its ``_rows``, largest first."""
-    return (
+    return fetched(
         df.groupBy(*keys)
         .agg(F.count("*").alias("_rows"))
         .where(F.col("_rows") > hot_group_rows(df.sparkSession))
         .orderBy(F.desc("_rows"))
         .limit(MOST_HOT_GROUPS)
-        .collect()
     )
 
 
-def local_table(spark: SparkSession, rows: Sequence[Mapping], schema: T.StructType) -> DataFrame:
+def fetched(small: DataFrame) -> list[Hot]:
+    """A few bounded rows on the driver; Arrow keeps every value exact."""
+    return small.toArrow().to_pylist()
+
+
+def local_table(spark: SparkSession, rows: list[Hot], schema: T.StructType) -> DataFrame:
     """A few bounded rows as a table whose size the optimizer knows."""
-    return spark.createDataFrame(pa.Table.from_pylist(list(rows)), schema)
+    return spark.createDataFrame(pa.Table.from_pylist(rows), schema)
 
 
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str) -> DataFrame:
@@ -97,7 +105,7 @@ class OrderedGroups:
         df: DataFrame,
         keys: Sequence[str],
         order: Sequence[str],
-        hot: list[Row] | None = None,
+        hot: list[Hot] | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
         hot = hot_groups(df, self.keys) if hot is None else hot
@@ -166,7 +174,7 @@ class OrderedGroups:
         """One row per chunk of the hot groups."""
         return self.rows.where(F.col(CHUNK).isNotNull()).groupBy(*self.by).agg(*measures)
 
-    def _cut_points(self, df: DataFrame, hot: list[Row]) -> list[Row]:
+    def _cut_points(self, df: DataFrame, hot: list[Hot]) -> list[Hot]:
         """Per hot group the sorted order values at which a new chunk starts."""
         spark = df.sparkSession
         size = rows_per_chunk(spark, [r["_rows"] for r in hot])
@@ -201,16 +209,13 @@ class OrderedGroups:
                 F.col("_values"), F.floor(i * F.size("_values") / F.col("_wanted")).cast("int")
             ),
         )
-        return (
-            sample.select(*self.keys, F.array_distinct(at).alias("_cuts"))
-            .where(F.size("_cuts") > 0)
-            .collect()
-        )
+        cuts = sample.select(*self.keys, F.array_distinct(at).alias("_cuts"))
+        return fetched(cuts.where(F.size("_cuts") > 0))
 
-    def _cut(self, df: DataFrame, cuts: list[Row]) -> DataFrame:
+    def _cut(self, df: DataFrame, cuts: list[Hot]) -> DataFrame:
         steps = max(len(r["_cuts"]) for r in cuts).bit_length()
         schema = df.select(*self.keys, F.array(F.struct(*self.order)).alias("_cuts")).schema
-        small = local_table(df.sparkSession, [r.asDict(recursive=True) for r in cuts], schema)
+        small = local_table(df.sparkSession, cuts, schema)
         rows = join_small(df, small, self.keys, "left")
         chunk = F.when(
             F.col("_cuts").isNotNull(), position(F.col("_cuts"), F.struct(*self.order), steps)

@@ -5,12 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.plans.groups import (
     MOST_HOT_GROUPS,
+    Hot,
+    fetched,
     hot_group_rows,
     join_small,
     local_table,
@@ -20,7 +22,7 @@ from tablelens.plans.groups import (
 
 def hot_keys(
     left: DataFrame, right: DataFrame, on: Sequence[str], right_unique: bool = False
-) -> list[Row]:
+) -> list[Hot]:
     """Join keys that are hot on either side, with ``_left`` and ``_right`` rows."""
     counted = left.select(*on, F.lit(1).alias("_left"), F.lit(0).alias("_right"))
     if not right_unique:
@@ -28,13 +30,12 @@ def hot_keys(
             right.select(*on, F.lit(0).alias("_left"), F.lit(1).alias("_right"))
         )
     most = F.greatest("_left", "_right")
-    return (
+    return fetched(
         counted.groupBy(*on)
         .agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
         .where(most > hot_group_rows(left.sparkSession))
         .orderBy(most.desc())
         .limit(MOST_HOT_GROUPS)
-        .collect()
     )
 
 
@@ -44,7 +45,7 @@ def balanced_join(
     on: Sequence[str],
     how: str = "inner",
     right_unique: bool = False,
-    hot: list[Row] | None = None,
+    hot: list[Hot] | None = None,
 ) -> DataFrame:
     """Inner or left join on equally named columns, exact under any skew.
 

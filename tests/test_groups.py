@@ -18,7 +18,7 @@ def skewed():
     keys = [rng.choice(["hot", "hot", None, "a", "b", f"k{i % 17}", f"k{i % 5}"]) for i in range(900)]
     values = list(range(900))
     rng.shuffle(values)
-    return [(k, v % 13, v) for k, v in zip(keys, values, strict=True)]
+    return [(k, v % 13 or None, v) for k, v in zip(keys, values, strict=True)]
 
 
 @pytest.fixture(params=[2, 7, 50, 1_000_000])
@@ -31,7 +31,7 @@ def by_key(data):
     groups = defaultdict(list)
     for key, a, b in data:
         groups[key].append((a, b))
-    return {k: sorted(g) for k, g in groups.items()}
+    return {k: sorted(g, key=lambda r: (r[0] or 0, r[1])) for k, g in groups.items()}
 
 
 def test_running_sums_and_totals(spark, skewed, sizes):
@@ -109,3 +109,22 @@ def test_join_with_unique_right_side(spark, skewed, sizes):
     out = balanced_join(left, right, ["k"], "left", right_unique=True)
     expected = [(k, b, met.get(k)) for k, _, b in skewed]
     assert rows(out.select("k", "b", "c")) == sorted(expected, key=repr)
+
+
+@pytest.mark.parametrize("zone", ["UTC", "America/New_York"])
+def test_times_as_keys_and_order(spark, hot, zone):
+    hot(3)
+    before = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", zone)
+    try:
+        # Hours around the night a clock is set back, as instants.
+        df = spark.range(40).select(
+            F.timestamp_seconds(F.lit(1604192400) + F.floor(F.col("id") / 20) * 3600).alias("k"),
+            F.timestamp_seconds(1604192400 + F.col("id") * 600).alias("t"),
+            F.timestamp_seconds(1604192400 + F.col("id") * 600).cast("date").alias("d"),
+        )
+        grouped = OrderedGroups(df, ["k"], ["d", "t"]).running({"n": F.lit(1)})
+        assert grouped.rows.select("k", "_chunk").where("_chunk > 0").distinct().count() > 2
+        assert sorted(r.n for r in grouped.done().collect()) == sorted([*range(1, 21)] * 2)
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", before)

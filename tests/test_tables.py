@@ -31,7 +31,7 @@ def test_materialize_keeps_schema_and_rows(spark, tmp_path):
         " timestamp_ntz'2020-01-01 00:00:00' AS t FROM range(50)"
     )
     written = materialize(df)
-    assert [f.dataType for f in written.schema] == [f.dataType for f in df.schema]
+    assert written.dtypes == df.dtypes
     assert rows(written) == rows(df)
     assert "Range" not in written._jdf.queryExecution().optimizedPlan().toString()
     assert spark.conf.get("spark.checkpoint.dir", None) == before
