@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.plans.groups import Hot, OrderedGroups
+from tablelens.plans.groups import Hot, OrderedGroups, hot_groups
 
 PIECE_ITEMS = 10_000
 
@@ -77,8 +77,10 @@ def collapse_list(
     else:
         belongs = F.col(item).isin(list(full)).cast("int")
         size = F.lit(len(set(full)))
+    # A key has no more distinct items than rows, and rows are cheaper to look at.
+    hot = hot_groups(pairs, keys) if hot_groups(df, keys) else []
     numbered = (
-        OrderedGroups(pairs, keys, [item])
+        OrderedGroups(pairs, keys, [item], hot)
         .running({"_n": F.lit(1), "_in": belongs}, totals={"_n": "_items", "_in": "_members"})
         .done()
         .withColumn("_item", F.col(item).cast("string"))

@@ -1,14 +1,14 @@
 """Ordered work inside groups when one group may hold much of the table.
 
 A window puts a whole group into one task. That is the right plan until a
-group outgrows a task, so the group sizes are counted first (one partial
-aggregation over the key columns). When every group fits, the operators here
-are plain windows. When some do not, each such hot group is cut into chunks by
-value ranges of its order columns: rows are numbered inside their chunk, and a
-small table with one row per chunk carries the sums of the chunks before it.
-
-The cut points only decide where a group is divided, never what is counted, so
-they may come from a sample; every row is kept and every result is exact.
+group outgrows a task, so group sizes are estimated first, from a sample of the
+key columns. When every group fits, the operators here are plain windows. When
+some do not, each such hot group is cut into chunks by value ranges of its
+order columns: rows are numbered inside their chunk, and a small table with one
+row per chunk carries the sums of the chunks before it.
+
+Samples only decide which groups are divided and where, as in any range
+partitioning. Every row takes part in the result and every result is exact.
 """
 
 from __future__ import annotations
@@ -30,6 +30,8 @@ DEFAULT_HOT_GROUP_ROWS = 1_000_000
 MOST_HOT_GROUPS = 10_000
 MOST_CHUNKS = 20_000
 SAMPLES_PER_CHUNK = 32
+# Sampled rows by which a group of just the hot size is noticed.
+SAMPLES_PER_HOT_GROUP = 1_000
 
 CHUNK = "_chunk"
 
@@ -47,11 +49,23 @@ def rows_per_chunk(spark: SparkSession, rows: Sequence[int]) -> int:
     return max(hot_group_rows(spark), math.ceil(sum(rows) / MOST_CHUNKS))
 
 
+def sample_rate(spark: SparkSession) -> float:
+    """The share of rows by which hot groups are looked for; all for a small hot size."""
+    return min(1.0, SAMPLES_PER_HOT_GROUP / hot_group_rows(spark))
+
+
+def sampled(df: DataFrame) -> DataFrame:
+    rate = sample_rate(df.sparkSession)
+    return df if rate == 1.0 else df.sample(rate, seed=1)
+
+
 def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[Hot]:
-    """The groups too large for one task, each with its ``_rows``, largest first."""
+    """The groups too large for one task, each with its estimated ``_rows``, largest first."""
+    rate = sample_rate(df.sparkSession)
     return fetched(
-        df.groupBy(*keys)
-        .agg(F.count("*").alias("_rows"))
+        sampled(df.select(*keys))
+        .groupBy(*keys)
+        .agg((F.count("*") / rate).cast("long").alias("_rows"))
         .where(F.col("_rows") > hot_group_rows(df.sparkSession))
         .orderBy(F.desc("_rows"))
         .limit(MOST_HOT_GROUPS)

@@ -17,22 +17,32 @@ from tablelens.plans.groups import (
     join_small,
     local_table,
     rows_per_chunk,
+    sample_rate,
+    sampled,
 )
 
 
 def hot_keys(
     left: DataFrame, right: DataFrame, on: Sequence[str], right_unique: bool = False
 ) -> list[Hot]:
-    """Join keys that are hot on either side, with ``_left`` and ``_right`` rows."""
-    counted = left.select(*on, F.lit(1).alias("_left"), F.lit(0).alias("_right"))
-    if not right_unique:
-        counted = counted.unionByName(
-            right.select(*on, F.lit(0).alias("_left"), F.lit(1).alias("_right"))
+    """Join keys that are hot on either side, with estimated ``_left`` and ``_right`` rows."""
+    rate = sample_rate(left.sparkSession)
+
+    def rows(df: DataFrame, is_left: int) -> DataFrame:
+        return sampled(df.select(*on)).select(
+            *on, F.lit(is_left).alias("_left"), F.lit(1 - is_left).alias("_right")
         )
+
+    counted = rows(left, 1)
+    if not right_unique:
+        counted = counted.unionByName(rows(right, 0))
     most = F.greatest("_left", "_right")
     return fetched(
         counted.groupBy(*on)
-        .agg(F.sum("_left").alias("_left"), F.sum("_right").alias("_right"))
+        .agg(
+            (F.sum("_left") / rate).cast("long").alias("_left"),
+            (F.sum("_right") / rate).cast("long").alias("_right"),
+        )
         .where(most > hot_group_rows(left.sparkSession))
         .orderBy(most.desc())
         .limit(MOST_HOT_GROUPS)

@@ -87,6 +87,19 @@ def test_hot_groups_found(spark, skewed, hot):
     assert found == {k: n for k, n in counts.items() if n > 50}
 
 
+def test_hot_groups_found_in_a_sample(spark, hot):
+    hot(20_000)
+    key = F.when(F.col("id") % 3 == 0, "hot").otherwise(F.concat(F.lit("k"), F.col("id") % 40))
+    df = spark.range(300_000).select(key.alias("k"), F.col("id").alias("a"))
+    found = hot_groups(df, ["k"])
+    assert [r["k"] for r in found] == ["hot"]
+    assert found[0]["_rows"] == pytest.approx(100_000, rel=0.1)
+    grouped = OrderedGroups(df, ["k"], ["a"]).running({"n": F.lit(1)}, totals={"n": "all"})
+    assert grouped.is_split
+    right = grouped.done().where("k = 'hot'").select((F.col("a") / 3 + 1 == F.col("n")) & (F.col("all") == 100_000))
+    assert right.distinct().collect() == [(True,)]
+
+
 @pytest.mark.parametrize("how", ["inner", "left"])
 def test_joins(spark, skewed, sizes, how):
     other = [(k, i) for i, k in enumerate(["hot"] * 60 + ["a"] * 9 + ["k1", "k2", "x", None])]
