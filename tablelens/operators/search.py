@@ -163,8 +163,14 @@ def search_outline(
     details.running({"x_ord": F.lit(1)}, totals={"x_ord": "_x_cnt"})
     items = OrderedGroups(hits.select(group, item).distinct(), [group], [item])
     items.running({"o_ord": F.lit(1)})
-    hot_items = [{group: r[group], item: r[item], "_left": r["_rows"], "_right": 1} for r in hot]
-    numbered = balanced_join(details.done(), items.done(), [group, item], hot=hot_items)
+    # As a struct the key also joins where the group or the item is NULL.
+    key = F.struct(group, item).alias("_key")
+    hot_keys = [
+        {"_key": {c: r[c] for c in (group, item)}, "_left": r["_rows"], "_right": 1} for r in hot
+    ]
+    numbered = balanced_join(
+        details.done().select("*", key), items.done().select(key, "o_ord"), ["_key"], hot=hot_keys
+    )
 
     # The first detail of an item also yields the item's header row, and the
     # first item of a group the group's, so the headers need no second pass.

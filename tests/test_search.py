@@ -96,6 +96,20 @@ def test_outline(spark, either):
     ]
 
 
+def test_outline_keeps_hits_without_group_or_item(spark, either):
+    hits = spark.createDataFrame(
+        [(None, "a", n) for n in range(1, 6)] + [("g", None, 1)],
+        "g string, i string, n int",
+    )
+    out = tl.search_outline(hits, "g", "i", "n")
+    assert rows(out.groupBy("g", "o_ord").count()) == [
+        ("g", 0, 1),
+        ("g", 1, 2),
+        (None, 0, 1),
+        (None, 1, 6),
+    ]
+
+
 def test_outline_prefers_lines_to_rows(spark):
     hits = spark.createDataFrame([("g", "a", 1, None, 5), ("g", "b", 1, 2, 5)], "g string, i string, n int, l int, r int")
     out = tl.search_outline(hits, "g", "i", "n", line_count="l", row_count="r")
