@@ -62,7 +62,9 @@ def balanced_join(
     Without hot keys it is the ordinary join and the optimizer picks its kind.
     The rows of a hot key are dealt out over ``a`` parts on the left and ``b``
     on the right; each side is repeated over the parts of the other, so every
-    pair of rows meets in exactly one of the ``a * b`` tasks.
+    pair of rows meets in exactly one of the ``a * b`` tasks. The other columns
+    decide the part of a row, so pass tables whole: columns that are not needed
+    later are pruned where no key is hot.
     """
     on = list(on)
     if hot is None:

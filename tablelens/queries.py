@@ -140,22 +140,19 @@ def filtered_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 def presence_flags(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
-    return tl.presence_flags(
-        t("customer").select("c_custkey"),
+    flagged = tl.presence_flags(
+        t("customer"),
         "c_custkey",
         {"has_orders": (t("orders"), "o_custkey"), "has_events": (t("events"), "user_id")},
     )
+    return flagged.select("c_custkey", "has_orders", "has_events")
 
 
 def first_match(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     price = ["l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice"]
-    return tl.first_match(
-        t("orders").select("o_orderkey"),
-        t("lineitem").select("l_orderkey", *price),
-        {"o_orderkey": "l_orderkey"},
-        price,
-    ).drop("l_extendedprice")
+    found = tl.first_match(t("orders"), t("lineitem"), {"o_orderkey": "l_orderkey"}, price)
+    return found.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
 def unique_sets(spark: SparkSession, folder: str) -> DataFrame:
