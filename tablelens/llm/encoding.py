@@ -16,7 +16,7 @@ from tablelens.llm.common import module_cache
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
 #: Pieces kept per worker in each of two generations. Longer pieces are not kept.
-CACHED_PIECES, CACHED_CHARS = 600_000, 64
+CACHED_PIECES, CACHED_CHARS = 1_000_000, 64
 
 
 def _cut(text: str) -> list[str]:
@@ -38,6 +38,26 @@ class TextEncoder:
         self.known: dict[str, bytes] = {}  # by piece, with the blank before it left out
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
+        # Bytes of each token: byte-level tokens have one character for each byte.
+        sizes = [(i, len(t)) for t, i in self.library.get_vocab(with_added_tokens=False).items()]
+        self.sizes = np.zeros(max(i for i, _ in sizes) + 1, np.int64)
+        for i, n in sizes:
+            self.sizes[i] = n
+
+    def _after_blank(self, pieces: list[str]) -> list[bytes]:
+        """Ids of ``" " + piece`` for each piece, encoded as one text and cut again."""
+        out = []
+        for at in range(0, len(pieces), 2_000):
+            some = [" " + p for p in pieces[at : at + 2_000]]
+            (found,) = self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.asarray(found.ids, "<u4")
+            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in some])
+            cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")
+            data, start = ids.tobytes(), 0
+            for end in (cuts * 4).tolist():
+                out.append(data[start:end])
+                start = end
+        return out
 
     def _library_ids(self, pieces: list[str]) -> list[bytes]:
         out = []
@@ -65,7 +85,7 @@ class TextEncoder:
                 stem = piece
             stems[piece] = stem
         wanted = dict.fromkeys(s for s in stems.values() if s not in known and s not in older and s not in found)
-        fresh = dict(zip(wanted, self._library_ids([" " + s for s in wanted]), strict=True))
+        fresh = dict(zip(wanted, self._after_blank(list(wanted)), strict=True))
         tails = dict.fromkeys(t for p, s in stems.items() if (t := p[len(s) :]) and t not in marks)
         marks.update(zip(tails, self._library_ids(list(tails)), strict=True))
         for piece, stem in stems.items():

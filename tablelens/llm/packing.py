@@ -62,18 +62,21 @@ class VectorPacker:
     def add(self, item, loss: np.ndarray) -> Iterator[tuple]:
         """``loss`` has one flag for each token of the item."""
         n, start = len(loss), 0
-        paid = np.concatenate([[0], np.cumsum(loss, dtype=np.int64)])
+        paid = np.arange(n + 1) if loss.all() else np.concatenate([[0], np.cumsum(loss, dtype=np.int64)])
         while start < n:
             length, bearing = n - start, int(paid[n] - paid[start])
-            size = np.array([length, 1, bearing])
             is_open = self.names >= 0
-            fits = is_open & (self.left >= size).all(axis=1)
-            if fits.any():
-                value = (self.left / self.scale) @ (size / self.scale)
-                # Of equal values the sequence opened first.
-                slot = int(np.lexsort((self.names, -np.where(fits, value, -1.0)))[0])
-                yield self._place(slot, item, start, length, bearing)
-                return
+            if length <= self.most.tokens:
+                fits = np.flatnonzero(
+                    is_open & (self.left[:, 0] >= length) & (self.left[:, 1] >= 1) & (self.left[:, 2] >= bearing)
+                )
+                if len(fits):
+                    value = (self.left[fits] / self.scale) @ (np.array([length, 1, bearing]) / self.scale)
+                    best = fits[value == value.max()]
+                    # Of equal values the sequence opened first.
+                    slot = int(best[0] if len(best) == 1 else best[self.names[best].argmin()])
+                    yield self._place(slot, item, start, length, bearing)
+                    return
             if length <= self.most.tokens and bearing <= self.most.loss_tokens and not is_open.all():
                 slot = int(np.flatnonzero(~is_open)[0])
                 self._open(slot)
