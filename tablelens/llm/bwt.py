@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from tablelens.llm.windows import Bytes, Pieces, dedup_windows, eights, ranges_of, removed, sub_indexes
 from tablelens.llm.words import mixed
 
-WINDOW_BYTES, ROUNDS, SHARDS = 400, 8, 4
+WINDOW_BYTES, ROUNDS, SHARDS = 400, 4, 4
 _STOP = 0
 
 
@@ -49,22 +49,31 @@ class ShardTransform:
     every other, so all suffixes differ."""
 
     def __init__(self, strings: Strings, places: np.ndarray, block: int) -> None:
-        n, whole = len(places), strings.whole[places]
-        at = np.full(len(strings.owner) + block, -1, np.int64)
+        n, whole, left = len(places), strings.whole[places], strings.left[places]
+        at = np.empty(len(strings.owner), np.int64)
         at[places] = np.arange(n)
-        jump = np.where(whole, at[places + block], -1)
         self.ends = int((~whole).sum())
-        rank = np.where(whole, strings.letters[places] + n, np.cumsum(~whole))
-        while True:  # by 1, 2, 4, ... letters
-            after = np.where(jump >= 0, rank[jump] + 1, 0)
-            order = np.lexsort((after, rank))
-            r, f = rank[order], after[order]
-            new = np.concatenate([[0], np.cumsum((r[1:] != r[:-1]) | (f[1:] != f[:-1]))])
-            rank = np.empty(n, np.int64)
-            rank[order] = new
-            if new[-1] == n - 1:
+        # The rank of a suffix is where its group begins. By the first letter, then by 1, 2,
+        # 4, ... letters more, in each round only those that are not alone yet.
+        rank, active = np.zeros(n, np.int64), np.arange(n)
+        key, reach = np.where(whole, strings.letters[places] + n, np.cumsum(~whole)), block
+        while True:
+            order = np.argsort(key)
+            active, key, old = active[order], key[order], rank[active[order]]
+            new = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            size = np.diff(np.concatenate([new, [len(key)]]))
+            group = np.flatnonzero(np.concatenate([[True], old[1:] != old[:-1]]))
+            begin = group[np.searchsorted(group, new, side="right") - 1]
+            rank[active] = np.repeat(old[new] + new - begin, size)
+            active = active[np.repeat(size > 1, size)]
+            if not len(active):
                 break
-            jump = np.where(jump >= 0, jump[jump], -1)
+            far = left[active] >= reach
+            after = np.zeros(len(active), np.int64)
+            after[far] = rank[at[places[active[far]] + reach]] + 1
+            key, reach = rank[active] * (n + 2) + after, 2 * reach
+        order = np.empty(n, np.int64)
+        order[rank] = np.arange(n)
         self.places = places[order]
         self.letters = strings.before[self.places]
 
@@ -86,9 +95,10 @@ def merged_groups(shards: list[ShardTransform], rounds: int) -> tuple[np.ndarray
     for _ in range(rounds):
         letter = spread([s.letters for s in shards])
         live = np.flatnonzero(letter != _STOP)
-        order = live[np.argsort(letter[live], kind="stable")]
+        order = np.sort(letter[live] * n + live) % n  # by letter, and in the old order within
+        now, old = letter[order], group[order]
         border = np.ones(len(order), bool)
-        border[1:] = (letter[order][1:] != letter[order][:-1]) | (group[order][1:] != group[order][:-1])
+        border[1:] = (now[1:] != now[:-1]) | (old[1:] != old[:-1])
         interleave = np.concatenate([ends, interleave[order]])
         # Every end is an interval of its own.
         group = np.concatenate([np.arange(len(ends)), len(ends) - 1 + np.cumsum(border)])
@@ -132,7 +142,7 @@ def dedup_bytes(documents: DataFrame, window: int = WINDOW_BYTES, with_text: boo
     ``window`` bytes which also starts anywhere else, in any document; ``n_spans`` are
     the maximal runs removed. ``kept`` is what is left, with bytes that no longer make
     a character replaced (NULL without ``with_text``); ``kept_sha256`` is of the exact
-    bytes. ``window`` is a multiple of 8, 128 at least. A NULL text counts as empty;
+    bytes. ``window`` is a multiple of 4, 64 at least. A NULL text counts as empty;
     shorter texts lose nothing. Ids should be unique: rows that share one are told
     apart by place only, so their common windows stay where one of them is alone. NULL
     is one id. An empty table gives no rows; other columns are not read.
