@@ -24,31 +24,31 @@ from tablelens.llm.common import module_cache
 #: Pieces of up to so many bytes are merged directly: the leaves of the tree.
 LEAF_BYTES = 24
 #: Pieces and words kept per worker, and their longest length.
-CACHED, CACHED_CHARS = 500_000, 64
+CACHED, CACHED_CHARS = 700_000, 64
 
 
 class Merges:
     def __init__(self, ranks: dict[bytes, int]) -> None:
         self.ranks, self.tokens = ranks, {i: b for b, i in ranks.items()}
+        self.none = max(self.tokens) + 1  # the rank of what is no token
         self.valid: dict[tuple[int, int], bool] = {}
 
     def leaf(self, data: bytes) -> list[int]:
         """Merge the pair of lowest rank, the leftmost of equals, until none is left."""
         if (whole := self.ranks.get(data)) is not None:
             return [whole]
-        ranks, parts = self.ranks, [data[i : i + 1] for i in range(len(data))]
-        pairs = [ranks.get(a + b) for a, b in zip(parts, parts[1:], strict=False)]
-        while True:
-            found = [r for r in pairs if r is not None]
-            if not found:
-                return [ranks[p] for p in parts]
-            i = pairs.index(min(found))
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+        ranks, none = self.ranks, self.none
+        parts = [data[i : i + 1] for i in range(len(data))]
+        pairs = [ranks.get(data[i : i + 2], none) for i in range(len(data) - 1)]
+        while pairs and (least := min(pairs)) < none:
+            i = pairs.index(least)
+            parts[i] += parts.pop(i + 1)
             del pairs[i]
             if i < len(pairs):
-                pairs[i] = ranks.get(parts[i] + parts[i + 1])
+                pairs[i] = ranks.get(parts[i] + parts[i + 1], none)
             if i:
-                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i])
+                pairs[i - 1] = ranks.get(parts[i - 1] + parts[i], none)
+        return [ranks[p] for p in parts]
 
     def pair_valid(self, a: int, b: int) -> bool:
         """Whether two tokens side by side encode to themselves."""
@@ -118,29 +118,33 @@ class TextBpe:
         # words are encoded once.
         probe = "a b 1 ,'s c"
         self.cuts = self.pattern.findall(probe) == ["a", " b", " 1", " ,'", "s", " c"]
-        self.words: dict[str, tuple[list[int], str]] = {}
-        self.pieces: dict[str, list[int]] = {}
+        self.words: dict[str, tuple[tuple[int, ...], str]] = {}
+        # Two generations of pieces: what is used again moves to the newer one.
+        self.pieces: dict[str, tuple[int, ...]] = {}
+        self.older: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, text: str) -> list[int]:
+    def piece(self, text: str) -> tuple[int, ...]:
         ids = self.pieces.get(text)
         if ids is None:
-            ids = self.merges.encode(text.encode())
+            ids = self.older.get(text) or tuple(self.merges.encode(text.encode()))
             if len(text) <= CACHED_CHARS:
                 if len(self.pieces) > CACHED:
-                    self.pieces.clear()
+                    self.older, self.pieces = self.pieces, {}
                 self.pieces[text] = ids
         return ids
 
-    def word(self, text: str) -> tuple[list[int], str]:
-        ids: list[int] = []
-        for match in self.pattern.findall(text):
-            ids += self.piece(match)
+    def word(self, text: str) -> tuple[tuple[int, ...], str]:
+        if text[:1] == " " and text[1:].isalpha():  # one match
+            ids = self.piece(text)
+        else:
+            ids = tuple([i for match in self.pattern.findall(text) for i in self.piece(match)])
         return ids, " ".join(map(str, ids))
 
     def encode(self, text: str) -> tuple[list[int], str]:
         """The ids, and the same in decimal, joined by blanks."""
         if not self.cuts:
-            return self.word(text)
+            ids = [i for match in self.pattern.findall(text) for i in self.piece(match)]
+            return ids, " ".join(map(str, ids))
         words = self.cut.split(text) if _odd(text) else text.split(" ")
         words[1:] = [" " + w for w in words[1:]]
         found = list(map(self.words.get, words))
