@@ -84,8 +84,9 @@ class VectorPacker:
             if not is_open.any() or (length > self.most.tokens and not is_open.all()):
                 slot = int(np.flatnonzero(~is_open)[0])
                 self._open(slot)
-            else:  # all are open: fill the one with the fewest tokens left
-                slot = int(np.lexsort((self.names, self.left[:, 0]))[0])
+            else:  # fill the open one with the fewest tokens left
+                held = np.flatnonzero(is_open)
+                slot = int(held[np.lexsort((self.names[held], self.left[held, 0]))[0]])
             # As many tokens as both limits allow; a piece without loss needs no loss room.
             end = min(n, start + int(self.left[slot, 0]))
             end = min(end, int(np.searchsorted(paid, paid[start] + self.left[slot, 2], side="right")) - 1)

@@ -1,0 +1,6 @@
+import sys
+from pathlib import Path
+
+sys.path.insert(0, str(Path(__file__).resolve().parent))
+
+from conftest_llm import documents  # noqa: E402, F401
