@@ -79,6 +79,8 @@ def contains_pattern(
     ``contains``, which parquet scans accept as a pushed filter.
     """
     patterns = as_patterns(pattern)
+    if not patterns:  # any of none: no text
+        return lambda text: text.rlike(NEVER)
     if case_sensitive and len(patterns) == 1 and is_literal(patterns[0]):
         return lambda text: F.contains(text, F.lit(patterns[0]))
     flags = "(?s)" if case_sensitive else "(?siu)"

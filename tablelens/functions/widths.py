@@ -35,6 +35,11 @@ def is_sized(data_type: T.DataType) -> bool:
     return isinstance(data_type, (T.StringType, T.BinaryType, T.CharType, T.VarcharType))
 
 
+def quoted(name: str) -> Column:
+    """A column by its whole name, dots and all."""
+    return F.col("`" + name.replace("`", "``") + "`")
+
+
 def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
     """Bytes of a row: fixed widths plus the measured length of texts and binaries.
 
@@ -43,6 +48,6 @@ def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     fixed = sum(fixed_width(f.dataType) or 0 for f in fields)
     sized = [
-        F.coalesce(F.octet_length(f.name), F.lit(0)) for f in fields if is_sized(f.dataType)
+        F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)) for f in fields if is_sized(f.dataType)
     ]
     return reduce(lambda a, b: a + b, sized, F.lit(fixed).cast("long"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.functions.texts import grouped_digits
-from tablelens.functions.widths import fixed_width, is_sized, row_bytes
+from tablelens.functions.widths import fixed_width, is_sized, row_bytes, quoted
 from tablelens.plans.joins import balanced_join
 
 COLUMNS_PER_PASS = 100
@@ -30,7 +30,7 @@ def column_profile(df: DataFrame) -> DataFrame:
 
     def widest(field: T.StructField) -> Column:
         if is_sized(field.dataType):
-            return F.max(F.octet_length(field.name)).cast("long")
+            return F.max(F.octet_length(quoted(field.name))).cast("long")
         return F.lit(fixed_width(field.dataType)).cast("long")
 
     def one_pass(fields: Sequence[tuple[int, T.StructField]]) -> DataFrame:
@@ -40,8 +40,8 @@ def column_profile(df: DataFrame) -> DataFrame:
                 F.lit(f.name).alias("col"),
                 F.lit(f.dataType.simpleString()).alias("type"),
                 F.count("*").alias("n_rows"),
-                F.count_if(F.col(f.name).isNull()).alias("n_null"),
-                (F.count_if(F.col(f.name).isNull()) > 0).alias("is_nullable"),
+                F.count_if(quoted(f.name).isNull()).alias("n_null"),
+                (F.count_if(quoted(f.name).isNull()) > 0).alias("is_nullable"),
                 widest(f).alias("max_bytes"),
             )
             for i, f in fields
@@ -93,7 +93,7 @@ def sequence_profile(df: DataFrame, col: str) -> DataFrame:
     ``(col, start_value, current_value, n_distinct, step, n_missing,
     headroom)``: ``step`` is NULL unless the values could be evenly spaced,
     ``n_missing`` counts absent values between the smallest and the largest,
-    and ``headroom`` is what the type still holds above the largest.
+    (both NULL where a bigint cannot hold them) and ``headroom`` is what the type still holds above the largest.
     """
     largest = LARGEST[df.schema[col].dataType.simpleString()]
     facts = df.agg(
@@ -101,13 +101,14 @@ def sequence_profile(df: DataFrame, col: str) -> DataFrame:
         F.max(col).cast("long").alias("current_value"),
         F.count_distinct(col).alias("n_distinct"),
     )
-    span = F.col("current_value") - F.col("start_value")
+    # Wider than a bigint: the values may lie further apart than one holds.
+    span = F.col("current_value").cast("decimal(20,0)") - F.col("start_value")
     gaps = F.nullif(F.col("n_distinct") - 1, F.lit(0))
     return facts.select(
         F.lit(col).alias("col"),
         "*",
-        F.when(F.try_mod(span, gaps) == 0, F.try_divide(span, gaps).cast("long")).alias("step"),
-        (span + 1 - F.col("n_distinct")).alias("n_missing"),
+        F.when(F.try_mod(span, gaps) == 0, F.try_divide(span, gaps).try_cast("long")).alias("step"),
+        (span + 1 - F.col("n_distinct")).try_cast("long").alias("n_missing"),
         (F.lit(largest).cast("long") - F.col("current_value")).alias("headroom"),
     )
 

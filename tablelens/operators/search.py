@@ -215,8 +215,8 @@ def text_preview(
     """The lines from the first non-blank one up to line ``max_lines``.
 
     The result is ``(id, line, line_text, truncated)``; ``truncated`` tells
-    that a non-blank line comes later, found in the whole rest of the text. A
-    line break at the very end adds no empty last line.
+    that a non-blank line comes later, found in the whole rest of the text. Lines
+    of spaces are blank. A line break at the very end adds no empty last line.
     """
     # Through a generator the split becomes a column that is computed once.
     once = F.inline(F.array(F.struct(lines(F.col(text), max_lines + 1).alias("_parts"))))
@@ -226,12 +226,12 @@ def text_preview(
         .select(
             *as_list(id),
             F.slice("_parts", 1, max_lines).alias("_head"),
-            F.coalesce(rest.rlike("[^\n]"), F.lit(False)).alias("truncated"),
+            F.coalesce(rest.rlike("[^ \r\n]"), F.lit(False)).alias("truncated"),
             F.when(F.size("_parts") <= max_lines, F.size("_parts")).alias("_last"),
         )
         .withColumn(
             "_first",
-            F.array_position(F.transform("_head", lambda line: line != ""), F.lit(True)),
+            F.array_position(F.transform("_head", lambda line: F.trim(line) != ""), F.lit(True)),
         )
         .where(F.col("_first") > 0)
         .select(

@@ -187,8 +187,8 @@ SQL = {
     "text_preview": f"""
   with l as ({LINES}),
   f as (
-    select doc_id, min(line) filter (line_text <> '') as first_line,
-           max(line) filter (line_text <> '') as last_text, max(line) as n
+    select doc_id, min(line) filter (trim(line_text) <> '') as first_line,
+           max(line) filter (trim(line_text) <> '') as last_text, max(line) as n
     from l group by doc_id
   )
   select l.doc_id, l.line, l.line_text, f.last_text > 5 as truncated

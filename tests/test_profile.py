@@ -85,3 +85,11 @@ def test_first_match(spark, either):
     right = spark.createDataFrame([(1, 5, "x"), (1, 4, "y"), (1, 4, "b"), (2, 9, None), (2, 10, "q"), (None, 1, "n")], "k int, o int, v string")
     out = tl.first_match(left, right, {"a": "k"}, ["o", "v"])
     assert rows(out) == [(1, 4, "b"), (2, 9, None), (3, None, None), (None, None, None)]
+
+
+def test_columns_with_dots_and_wide_sequences(spark):
+    df = spark.createDataFrame([(-(2**63), "x"), (2**63 - 1, None)], "n long, `a.b` string")
+    found = {r.col: r for r in tl.column_profile(df).collect()}
+    assert found["a.b"].n_null == 1 and found["a.b"].max_bytes == 1
+    wide = tl.sequence_profile(df, "n").first()
+    assert wide.n_missing is None and wide.step is None and wide.headroom == 0

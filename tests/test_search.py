@@ -167,3 +167,9 @@ def test_grep_of_a_stream(spark):
     finally:
         query.stop()
     assert rows(spark.table("grepped")) == rows(tl.grep_lines(docs, "doc_id", "text", "licen[sc]e"))
+
+
+def test_no_pattern_matches_nothing_and_spaces_are_blank(spark):
+    df = spark.createDataFrame([(1, "   \nfirst\n  \n  ")], "id long, text string")
+    assert tl.like_any(df, ["text"], []).collect() == []
+    assert [tuple(r) for r in tl.text_preview(df, "id", "text", 2).collect()] == [(1, 2, "first", False)]
