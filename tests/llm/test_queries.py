@@ -5,6 +5,7 @@ import zlib
 import numpy as np
 import pytest
 from compare import differences, duck
+from conftest_llm import documents  # noqa: F401
 
 from __spark_entry__ import oracle_sql, queries
 from tablelens.llm.forest import near_vectors

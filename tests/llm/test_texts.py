@@ -8,7 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
-from conftest_llm import ODD
+from conftest_llm import ODD, documents  # noqa: F401
 from tokenizers import Tokenizer
 
 from tablelens.llm.bpe import TextBpe, encode_texts, read_ranks
