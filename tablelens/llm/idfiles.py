@@ -45,7 +45,7 @@ def _place(uri: str) -> tuple[fs.FileSystem, str]:
 class ShardWriter:
     """Writes documents one by one; the file appears under its name on ``close``."""
 
-    def __init__(self, uri: str, dictionary: bytes, width: int, level: int = 3) -> None:
+    def __init__(self, uri: str, dictionary: bytes, width: int, level: int = 1) -> None:
         self.store, self.path = _place(uri)
         self.own = f"{self.path}.{uuid.uuid4().hex}.part"
         self.out = self.store.open_output_stream(self.own)
@@ -124,7 +124,7 @@ def _sample(documents: DataFrame, tokenizer: str, width: int) -> list[bytes]:
     return [bytes(r.ids) for r in sorted(rows, key=lambda r: (r.h, bytes(r.ids))) if r.ids]
 
 
-def write_id_files(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, level: int = 3) -> DataFrame:
+def write_id_files(documents: DataFrame, folder: str, tokenizer: str, end_id: int = 2, level: int = 1) -> DataFrame:
     """Write ``(doc_id, text)`` to shard files below ``folder``; one row per file.
 
     Documents are in ascending order of id over the files, NULL ids first, rows of
