@@ -150,7 +150,7 @@ def search_outline(
 ) -> DataFrame:
     """Hits as an outline: a row per group, per item, then one per detail.
 
-    ``o_ord`` numbers the items of a group and ``x_ord`` the details of an
+    ``item_no`` numbers the items of a group and ``detail_no`` the details of an
     item, both 0 on header rows. ``mark`` names the item on its header row and
     draws a connector on details. ``size_label`` states the lines, else the
     rows, of the item, from columns of ``hits`` that are equal over an item.
@@ -160,34 +160,34 @@ def search_outline(
     columns = list(dict.fromkeys([group, item, detail, *show, *sizes]))
     hot = hot_groups(hits, [group, item])
     details = OrderedGroups(hits.select(*columns), [group, item], [detail], hot)
-    details.running({"x_ord": F.lit(1)}, totals={"x_ord": "_x_cnt"})
+    details.running({"detail_no": F.lit(1)}, totals={"detail_no": "_details"})
     items = OrderedGroups(hits.select(group, item).distinct(), [group], [item])
-    items.running({"o_ord": F.lit(1)})
+    items.running({"item_no": F.lit(1)})
     # As a struct the key also joins where the group or the item is NULL.
     key = F.struct(group, item).alias("_key")
     hot_keys = [
         {"_key": {c: r[c] for c in (group, item)}, "_left": r["_rows"], "_right": 1} for r in hot
     ]
     numbered = balanced_join(
-        details.done().select("*", key), items.done().select(key, "o_ord"), ["_key"], hot=hot_keys
+        details.done().select("*", key), items.done().select(key, "item_no"), ["_key"], hot=hot_keys
     )
 
     # The first detail of an item also yields the item's header row, and the
     # first item of a group the group's, so the headers need no second pass.
-    first_detail = F.col("x_ord") == 1
+    first_detail = F.col("detail_no") == 1
     levels = F.array_compact(
         F.array(
             F.lit("detail"),
             F.when(first_detail, F.lit("item")),
-            F.when(first_detail & (F.col("o_ord") == 1), F.lit("group")),
+            F.when(first_detail & (F.col("item_no") == 1), F.lit("group")),
         )
     )
     rows = numbered.withColumn("_level", F.explode(levels))
     is_detail, is_item = F.col("_level") == "detail", F.col("_level") == "item"
     not_group = F.col("_level") != "group"
 
-    last = F.col("x_ord") == F.col("_x_cnt")
-    connector = F.when((F.col("x_ord") == 1) & ~last, "/").when(last, "\\").otherwise("|")
+    last = F.col("detail_no") == F.col("_details")
+    connector = F.when((F.col("detail_no") == 1) & ~last, "/").when(last, "\\").otherwise("|")
     mark = (
         F.when(is_detail, connector)
         .when(is_item, F.concat_ws(".", F.col(group), F.col(item).cast("string")))
@@ -200,13 +200,13 @@ def search_outline(
         labels.append(F.concat(grouped_digits(F.col(row_count)), F.lit(" rows")))
     outline = rows.select(
         group,
-        F.when(not_group, F.col("o_ord")).otherwise(0).alias("o_ord"),
-        F.when(is_detail, F.col("x_ord")).otherwise(0).alias("x_ord"),
+        F.when(not_group, F.col("item_no")).otherwise(0).alias("item_no"),
+        F.when(is_detail, F.col("detail_no")).otherwise(0).alias("detail_no"),
         mark.alias("mark"),
         F.when(is_item, F.coalesce(*labels, F.lit(""))).otherwise("").alias("size_label"),
         *[F.when(is_detail, F.col(c)).alias(c) for c in dict.fromkeys([detail, *show])],
     )
-    return outline.orderBy(group, "o_ord", "x_ord") if sort else outline
+    return outline.orderBy(group, "item_no", "detail_no") if sort else outline
 
 
 def text_preview(

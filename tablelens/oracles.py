@@ -84,48 +84,56 @@ def unique_sql(table: str, cols: str) -> str:
   from (select count(*) as c from {table} group by {cols.replace(";", ",")})"""
 
 
-PATHS = """
-  p as (
-    select r2.dst as focus, r2.src as hop1, r1.src as hop2, r2.rel as rel1, r1.rel as rel2,
-           row_number() over (partition by r2.dst order by r2.src, r1.src)
-             - count(*) over (partition by r2.dst) // 2 as ordinal,
-           row_number() over (partition by r2.dst, r2.src order by r1.src) as block_row,
-           count(*) over (partition by r2.dst, r2.src) as block_count
-    from e r2 left join e r1 on r1.dst = r2.src
-  ), c as (
-    select r3.src as focus, r3.dst as hop1, r4.dst as hop2, r3.rel as rel1, r4.rel as rel2,
-           row_number() over (partition by r3.src order by r3.dst, r4.dst)
-             - count(*) over (partition by r3.src) // 2 as ordinal,
-           row_number() over (partition by r3.src, r3.dst order by r4.dst) as block_row,
-           count(*) over (partition by r3.src, r3.dst) as block_count
-    from e r3 left join e r4 on r3.dst = r4.src
-  ), n as (select focus, ordinal from p union select focus, ordinal from c),
-  j as (
-    select n.focus, n.ordinal, p.hop2 as in2, p.hop1 as in1, p.rel2 as in2_rel, p.rel1 as in1_rel,
-           p.block_row = p.block_count // 2 + 1 as show_in1,
-           p.block_row as p_row, p.block_count as p_count,
-           c.hop1 as out1, c.block_row = c.block_count // 2 + 1 as show_out1, c.hop2 as out2,
-           c.rel1 as out1_rel, c.rel2 as out2_rel,
-           c.block_row as c_row, c.block_count as c_count, p.ordinal as po, c.ordinal as co
-    from n left join p using (focus, ordinal) left join c using (focus, ordinal)
-  ), g as (
-    select focus, ordinal, in2, in2_rel,
-           case when in2 is null then '' when p_count = 1 then chr(8722)
-                when p_row = 1 then '\\' when p_row = p_count then '/' else chr(8739) end as in2_mark,
-           in1, show_in1, in1_rel,
-           case when count(po) over w = 1 and po = min(po) over w then chr(8722)
-                when po = min(po) over w then '\\' when po = max(po) over w then '/'
-                when po is not null then chr(8739) else '' end as in_mark,
-           case when ordinal = 1 then focus else '' end as node,
-           case when count(co) over w = 1 and co = min(co) over w then chr(8722)
-                when co = min(co) over w then '/' when co = max(co) over w then '\\'
-                when co is not null then chr(8739) else '' end as out_mark,
-           out1_rel, out1, show_out1,
-           case when out2 is null then '' when c_count = 1 then chr(8722)
-                when c_row = 1 then '/' when c_row = c_count then '\\' else chr(8739) end as out2_mark,
-           out2_rel, out2
-    from j window w as (partition by focus)
-  )"""
+# The layout from degrees: a first hop takes as many lines as it has hops behind it, or
+# one, and its lines follow those of the hops before it. Only edges are ever sorted;
+# both sides are the same query over edges seen from either end.
+LAID = """
+  leg as (
+    select side, hub, spoke, rel, row_number() over w as place, count(*) over (partition by side, hub) as places
+    from (select 'in' as side, dst as hub, src as spoke, rel from e
+          union all select 'out', src, dst, rel from e)
+    window w as (partition by side, hub order by spoke)
+  ), width as (
+    select side, hub as spoke, any_value(places) as n from leg group by side, hub
+  ), near as (
+    select leg.*, sum(coalesce(n, 1)) over (
+             partition by side, hub order by spoke rows unbounded preceding) - coalesce(n, 1) as skipped,
+           sum(coalesce(n, 1)) over (partition by side, hub) as total
+    from leg left join width using (side, spoke)
+  ), line as (
+    select near.side, near.hub as focus, near.spoke as hop, near.rel as hop_rel, near.total,
+           far.spoke as next, far.rel as next_rel, far.place, far.places,
+           (near.skipped + coalesce(far.place, 1))::bigint as line_no
+    from near left join leg far on far.side = near.side and far.hub = near.spoke
+  ), signed as (
+    select line.*, (line_no - total // 2)::bigint as ordinal, coalesce(place = places // 2 + 1, true) as shown,
+           case when total = 1 then chr(8722) when line_no = 1 then opening when line_no = total then closing
+                else chr(8739) end as hop_mark,
+           case when place is null then '' when places = 1 then chr(8722) when place = 1 then opening
+                when place = places then closing else chr(8739) end as next_mark
+    from line join (values ('in', '\\', '/'), ('out', '/', '\\')) t(side, opening, closing) using (side)
+  ), laid as (
+    select focus, ordinal, case when ordinal = 1 then focus else '' end as node,
+           {columns}
+    from signed group by focus, ordinal
+  )""".format(
+    columns=", ".join(
+        f"{f'coalesce({value}, {default})' if default else value} as {name.format(side=side)}"
+        for side in ("in", "out")
+        for name, value, default in (
+            (name, f"any_value({column}) filter (side = '{side}')", default)
+            for name, column, default in (
+                ("{side}1", "hop", None),
+                ("{side}2", "next", None),
+                ("{side}1_rel", "hop_rel", None),
+                ("{side}2_rel", "next_rel", None),
+                ("show_{side}1", "shown", None),
+                ("{side}_mark", "hop_mark", "''"),
+                ("{side}2_mark", "next_mark", "''"),
+            )
+        )
+    )
+)
 
 SQL = {
     "like_any": """
@@ -161,24 +169,24 @@ SQL = {
     select source, doc_id, line, line_text from ({LINES})
     where regexp_matches(line_text, 'licen[sc]e', 'i')
   ), o as (
-    select source, doc_id, row_number() over (partition by source order by doc_id) as o_ord
+    select source, doc_id, row_number() over (partition by source order by doc_id) as item_no
     from (select distinct source, doc_id from h)
   ), r as (
-    select source, 0 as o_ord, 0 as x_ord, 0 as x_cnt, null as doc_id, null as line,
+    select source, 0 as item_no, 0 as detail_no, 0 as n_details, null as doc_id, null as line,
            null as line_text
     from (select distinct source from h)
     union all
-    select source, o_ord, 0, 0, doc_id, null, null from o
+    select source, item_no, 0, 0, doc_id, null, null from o
     union all
-    select h.source, o.o_ord, row_number() over (partition by h.doc_id order by line),
+    select h.source, o.item_no, row_number() over (partition by h.doc_id order by line),
            count(*) over (partition by h.doc_id), h.doc_id, line, line_text
     from h join o using (source, doc_id)
   )
-  select r.source, o_ord, x_ord,
-         case when x_ord = 0 then coalesce(r.source || '.' || doc_id, '')
-              when x_ord = 1 and x_cnt > 1 then '/'
-              when x_ord = x_cnt then '\\' else '|' end as mark,
-         case when o_ord > 0 and x_ord = 0
+  select r.source, item_no, detail_no,
+         case when detail_no = 0 then coalesce(r.source || '.' || doc_id, '')
+              when detail_no = 1 and n_details > 1 then '/'
+              when detail_no = n_details then '\\' else '|' end as mark,
+         case when item_no > 0 and detail_no = 0
               then format('{{:,}}', length(d.text) - length(replace(d.text, chr(10), '')))
                    || ' lines'
               else '' end as size_label,
@@ -321,33 +329,33 @@ SQL = {
          count(*) over (partition by src) as child_count
   from e""",
     "two_hop_in": f"""
-  with e as (select src, dst from ({EDGES}))
-  select r2.dst as focus, r2.src as hop1, r1.src as hop2
-  from e r2 left join e r1 on r1.dst = r2.src""",
+  with e as materialized (select src, dst from ({EDGES}))
+  select near.dst as focus, near.src as hop1, far.src as hop2
+  from e near left join e far on far.dst = near.src""",
     "two_hop_out": f"""
-  with e as (select src, dst from ({EDGES}))
-  select r3.src as focus, r3.dst as hop1, r4.dst as hop2
-  from e r3 left join e r4 on r3.dst = r4.src""",
+  with e as materialized (select src, dst from ({EDGES}))
+  select near.src as focus, near.dst as hop1, far.dst as hop2
+  from e near left join e far on far.src = near.dst""",
     "two_hop_focus": f"""
-  with e as (select src, dst from ({EDGES}))
-  select r2.dst as focus, r2.src as hop1, r1.src as hop2
-  from nation join e r2 on r2.dst = 'N' || n_nationkey left join e r1 on r1.dst = r2.src""",
+  with e as materialized (select src, dst from ({EDGES}))
+  select near.dst as focus, near.src as hop1, far.src as hop2
+  from nation join e near on near.dst = 'N' || n_nationkey left join e far on far.dst = near.src""",
     "graph_layout": f"""
-  with e as (select src, dst, null as rel from ({EDGES})), {PATHS}
-  select * exclude (in2_rel, in1_rel, out1_rel, out2_rel) from g""",
+  with e as materialized (select src, dst, null as rel from ({EDGES})), {LAID}
+  select * exclude (in2_rel, in1_rel, out1_rel, out2_rel) from laid""",
     "graph_layout_labels": f"""
-  with e as (select src, dst, case when flag then '*' else '' end as rel from ({EDGES})), {PATHS},
+  with e as materialized (select src, dst, case when flag then '*' else '' end as rel from ({EDGES})), {LAID},
   l as (
     select 'P' || l_partkey as node, ' (' || count(*) || ')' as t from lineitem group by l_partkey
     union all
     select 'C' || o_custkey, ' (' || count(*) || ')' from orders group by o_custkey
   )
-  select g.* replace (
+  select laid.* replace (
     in2 || coalesce(a.t, '') as in2, in1 || coalesce(b.t, '') as in1,
-    g.node || coalesce(c.t, '') as node,
+    laid.node || coalesce(c.t, '') as node,
     out1 || coalesce(d.t, '') as out1, out2 || coalesce(f.t, '') as out2)
-  from g left join l a on a.node = in2 left join l b on b.node = in1
-  left join l c on c.node = g.node left join l d on d.node = out1 left join l f on f.node = out2""",
+  from laid left join l a on a.node = in2 left join l b on b.node = in1
+  left join l c on c.node = laid.node left join l d on d.node = out1 left join l f on f.node = out2""",
     "range_partition": f"""
   select o_orderkey, 1 + (select count(*) from {YEAR_BOUNDS} where v <= o_orderdate) as part_no
   from orders""",

@@ -102,7 +102,7 @@ def test_outline_keeps_hits_without_group_or_item(spark, either):
         "g string, i string, n int",
     )
     out = tl.search_outline(hits, "g", "i", "n")
-    assert rows(out.groupBy("g", "o_ord").count()) == [
+    assert rows(out.groupBy("g", "item_no").count()) == [
         ("g", 0, 1),
         ("g", 1, 2),
         (None, 0, 1),
@@ -113,7 +113,7 @@ def test_outline_keeps_hits_without_group_or_item(spark, either):
 def test_outline_prefers_lines_to_rows(spark):
     hits = spark.createDataFrame([("g", "a", 1, None, 5), ("g", "b", 1, 2, 5)], "g string, i string, n int, l int, r int")
     out = tl.search_outline(hits, "g", "i", "n", line_count="l", row_count="r")
-    assert rows(out.where("o_ord > 0 and x_ord = 0").select("mark", "size_label")) == [
+    assert rows(out.where("item_no > 0 and detail_no = 0").select("mark", "size_label")) == [
         ("g.a", "5 rows"),
         ("g.b", "2 lines"),
     ]
