@@ -1,19 +1,20 @@
 """Ordered work inside groups when one group may hold much of the table.
 
 A window puts a whole group into one task. That is the right plan until a
-group outgrows a task, so group sizes are estimated first, from a sample of the
-key columns. When every group fits, the operators here are plain windows. When
-some do not, each such hot group is cut into chunks by value ranges of its
-order columns: rows are numbered inside their chunk, and a small table with one
-row per chunk carries the sums of the chunks before it.
-
-Samples only decide which groups are divided and where, as in any range
+group outgrows a task, so the largest group is estimated first, from a sample of
+the key columns. When every group fits, the operators here are plain windows. When
+one does not, the table is put in order once by ranges of its keys and order
+columns, so a large group lies in several ranges: rows are numbered inside
+their range, and a small table carries the sums of the ranges before it. No
+list of large groups is held; every group is treated the same.
+
+Samples only decide between the two plans and where ranges begin, as in any range
 partitioning. Every row takes part in the result and every result is exact.
 """
 
 from __future__ import annotations
 
-import math
+import logging
 from collections.abc import Mapping, Sequence
 from functools import reduce
 from typing import Any
@@ -23,18 +24,15 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tablelens.plans.arranged import PART, Arranged
+
 HOT_GROUP_ROWS = "tablelens.hotGroupRows"
 DEFAULT_HOT_GROUP_ROWS = 1_000_000
-# Bounds on what reaches the driver. A group past the first bound is smaller
-# than a ten-thousandth of the table and stays whole.
-MOST_HOT_GROUPS = 10_000
-MOST_CHUNKS = 20_000
-SAMPLES_PER_CHUNK = 32
+# What a list of hot keys may weigh, on the driver and in a broadcast.
+HOT_LIST_BYTES = 32 << 20
 # Sampled rows by which a group of just the hot size is noticed.
 SAMPLES_PER_HOT_GROUP = 1_000
 
-CHUNK = "_chunk"
-
 # The keys of a hot group or join key with its numbers of rows.
 Hot = dict[str, Any]
 
@@ -44,11 +42,6 @@ def hot_group_rows(spark: SparkSession) -> int:
     return int(spark.conf.get(HOT_GROUP_ROWS, str(DEFAULT_HOT_GROUP_ROWS)))
 
 
-def rows_per_chunk(spark: SparkSession, rows: Sequence[int]) -> int:
-    """Chunk size that keeps the number of chunks over all hot groups bounded."""
-    return max(hot_group_rows(spark), math.ceil(sum(rows) / MOST_CHUNKS))
-
-
 def sample_rate(spark: SparkSession) -> float:
     """The share of rows by which hot groups are looked for; all for a small hot size."""
     return min(1.0, SAMPLES_PER_HOT_GROUP / hot_group_rows(spark))
@@ -59,17 +52,35 @@ def sampled(df: DataFrame) -> DataFrame:
     return df if rate == 1.0 else df.sample(rate, seed=1)
 
 
-def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[Hot]:
-    """The groups too large for one task, each with its estimated ``_rows``, largest first."""
+def group_sizes(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     rate = sample_rate(df.sparkSession)
-    return fetched(
-        sampled(df.select(*keys))
-        .groupBy(*keys)
-        .agg((F.count("*") / rate).cast("long").alias("_rows"))
-        .where(F.col("_rows") > hot_group_rows(df.sparkSession))
-        .orderBy(F.desc("_rows"))
-        .limit(MOST_HOT_GROUPS)
-    )
+    counted = sampled(df.select(*keys)).groupBy(*keys)
+    return counted.agg((F.count("*") / rate).cast("long").alias("_rows"))
+
+
+def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[Hot]:
+    """The groups too large for one task, each with its estimated ``_rows``."""
+    return bounded(group_sizes(df, keys), keys, F.col("_rows"))
+
+
+def bounded(counted: DataFrame, keys: Sequence[str], rows: Column) -> list[Hot]:
+    """The keys with more rows than one task takes. Should their list outgrow its
+    bytes, larger keys only: the others are left to the skewed join of adaptive
+    execution, which the log tells."""
+    bar = hot_group_rows(counted.sparkSession)
+    weight = F.octet_length(F.to_json(F.struct(*keys))) + F.lit(16)
+    while True:
+        hot = counted.where(rows > bar)
+        n_bytes, most = hot.agg(F.sum(weight), F.max(rows)).first()
+        if not n_bytes:
+            return []
+        if n_bytes <= HOT_LIST_BYTES:
+            return fetched(hot)
+        logging.getLogger(__name__).warning("keys of up to %d rows are left to adaptive execution", 2 * bar)
+        if most <= 2 * bar:  # keys alike in size: as many of them as fit
+            lot = F.pmod(F.xxhash64(*keys), F.lit(1 << 20))
+            return fetched(hot.where(lot < int(HOT_LIST_BYTES / n_bytes * (1 << 20))))
+        bar *= 2
 
 
 def fetched(small: DataFrame) -> list[Hot]:
@@ -83,8 +94,8 @@ def local_table(spark: SparkSession, rows: list[Hot], schema: T.StructType) -> D
 
 
 def join_small(df: DataFrame, small: DataFrame, on: Sequence[str], how: str) -> DataFrame:
-    """Null-safe broadcast join with a table of proven size: at most one row
-    per hot group or chunk, both bounded above."""
+    """Null-safe broadcast join with a table of proven size: a list of hot keys, bounded
+    in bytes, or at most two rows per range."""
     names = {k: f"_small_{i}" for i, k in enumerate(on)}
     small = small.withColumnsRenamed(names)
     same = reduce(
@@ -122,11 +133,9 @@ class OrderedGroups:
         hot: list[Hot] | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
-        hot = hot_groups(df, self.keys) if hot is None else hot
-        cuts = self._cut_points(df, hot) if hot else []
-        self.is_split = bool(cuts)
-        self.rows = self._cut(df, cuts) if self.is_split else df
-        self.by = [*self.keys, CHUNK] if self.is_split else self.keys
+        self.is_split = self._outgrown(df) if hot is None else bool(hot)
+        self.rows = Arranged(df, self.keys, self.order).table if self.is_split else df
+        self.by = [*self.keys, PART] if self.is_split else self.keys
         self.window = Window.partitionBy(*self.by).orderBy(*self.order)
 
     def running(
@@ -143,7 +152,7 @@ class OrderedGroups:
             )
             return self
         chunks = self._chunks([F.sum(v).alias(n) for n, v in sums.items()])
-        order = Window.partitionBy(*self.keys).orderBy(CHUNK)
+        order = Window.partitionBy(*self.keys).orderBy(PART)
         earlier = order.rowsBetween(Window.unboundedPreceding, -1)
         carried = chunks.select(
             *self.by,
@@ -175,63 +184,22 @@ class OrderedGroups:
             return self
         edge = F.max_by if before else F.min_by
         chunks = self._chunks([edge(boxed, F.struct(*self.order)).alias("_edge")])
-        order = Window.partitionBy(*self.keys).orderBy(CHUNK)
+        order = Window.partitionBy(*self.keys).orderBy(PART)
         carried = chunks.select(*self.by, step("_edge").over(order).alias("_carried"))
         rows = join_small(self.rows, carried, self.by, "left")
         self.rows = rows.withColumn(name, F.coalesce(inside, F.col("_carried"))).drop("_carried")
         return self
 
     def done(self) -> DataFrame:
-        return self.rows.drop(CHUNK)
+        return self.rows.drop(PART)
+
+    def _outgrown(self, df: DataFrame) -> bool:
+        most = group_sizes(df, self.keys).agg(F.max("_rows")).first()[0]
+        return (most or 0) > hot_group_rows(df.sparkSession)
 
     def _chunks(self, measures: list[Column]) -> DataFrame:
-        """One row per chunk of the hot groups."""
-        return self.rows.where(F.col(CHUNK).isNotNull()).groupBy(*self.by).agg(*measures)
-
-    def _cut_points(self, df: DataFrame, hot: list[Hot]) -> list[Hot]:
-        """Per hot group the sorted order values at which a new chunk starts."""
-        spark = df.sparkSession
-        size = rows_per_chunk(spark, [r["_rows"] for r in hot])
-        wanted = [
-            {k: r[k] for k in self.keys}
-            | {"_wanted": math.ceil(r["_rows"] / size), "_rate": SAMPLES_PER_CHUNK / size}
-            for r in hot
-            if r["_rows"] > size
-        ]
-        if not wanted:
-            return []
-        schema = df.select(*self.keys).schema
-        schema = schema.add("_wanted", T.IntegerType()).add("_rate", T.DoubleType())
-        small = local_table(spark, wanted, schema)
-        # A hash of the order values picks the sample, so a repeated task picks
-        # the same rows.
-        lot = F.pmod(F.xxhash64(*self.order), F.lit(1 << 40))
-        sample = (
-            join_small(
-                df.select(*self.keys, F.struct(*self.order).alias("_at"), lot.alias("_lot")),
-                small,
-                self.keys,
-                "inner",
-            )
-            .where(F.col("_lot") < F.col("_rate") * float(1 << 40))
-            .groupBy(*self.keys, "_wanted")
-            .agg(F.sort_array(F.collect_set("_at")).alias("_values"))
-        )
-        at = F.transform(
-            F.sequence(F.lit(1), F.col("_wanted") - 1),
-            lambda i: F.get(
-                F.col("_values"), F.floor(i * F.size("_values") / F.col("_wanted")).cast("int")
-            ),
-        )
-        cuts = sample.select(*self.keys, F.array_distinct(at).alias("_cuts"))
-        return fetched(cuts.where(F.size("_cuts") > 0))
-
-    def _cut(self, df: DataFrame, cuts: list[Hot]) -> DataFrame:
-        steps = max(len(r["_cuts"]) for r in cuts).bit_length()
-        schema = df.select(*self.keys, F.array(F.struct(*self.order)).alias("_cuts")).schema
-        small = local_table(df.sparkSession, cuts, schema)
-        rows = join_small(df, small, self.keys, "left")
-        chunk = F.when(
-            F.col("_cuts").isNotNull(), position(F.col("_cuts"), F.struct(*self.order), steps)
-        )
-        return rows.withColumn(CHUNK, chunk).drop("_cuts")
+        """One row per range of a group that lies in several: at most two per range,
+        as all groups in it but the first and the last are whole."""
+        chunks = self.rows.groupBy(*self.by).agg(*measures)
+        ranges = F.count("*").over(Window.partitionBy(*self.keys))
+        return chunks.withColumn("_ranges", ranges).where("_ranges > 1").drop("_ranges")

@@ -10,13 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tablelens.plans.groups import (
-    MOST_HOT_GROUPS,
     Hot,
-    fetched,
+    bounded,
     hot_group_rows,
     join_small,
     local_table,
-    rows_per_chunk,
     sample_rate,
     sampled,
 )
@@ -36,17 +34,11 @@ def hot_keys(
     counted = rows(left, 1)
     if not right_unique:
         counted = counted.unionByName(rows(right, 0))
-    most = F.greatest("_left", "_right")
-    return fetched(
-        counted.groupBy(*on)
-        .agg(
-            (F.sum("_left") / rate).cast("long").alias("_left"),
-            (F.sum("_right") / rate).cast("long").alias("_right"),
-        )
-        .where(most > hot_group_rows(left.sparkSession))
-        .orderBy(most.desc())
-        .limit(MOST_HOT_GROUPS)
+    sizes = counted.groupBy(*on).agg(
+        (F.sum("_left") / rate).cast("long").alias("_left"),
+        (F.sum("_right") / rate).cast("long").alias("_right"),
     )
+    return bounded(sizes, on, F.greatest("_left", "_right"))
 
 
 def balanced_join(
@@ -72,7 +64,7 @@ def balanced_join(
     if not hot:
         return left.join(right, on, how)
     spark = left.sparkSession
-    size = rows_per_chunk(spark, [max(r["_left"], r["_right"]) for r in hot])
+    size = hot_group_rows(spark)
     parts = [
         {k: r[k] for k in on}
         | {"_a": max(1, math.ceil(r["_left"] / size)), "_b": max(1, math.ceil(r["_right"] / size))}

@@ -7,6 +7,7 @@ import pytest
 from conftest import rows
 from pyspark.sql import functions as F
 
+from tablelens.plans import groups
 from tablelens.plans.groups import OrderedGroups, hot_groups
 from tablelens.plans.joins import balanced_join
 
@@ -74,9 +75,34 @@ def test_hot_groups_are_split_evenly(spark, hot):
     hot(100)
     df = spark.range(10_000).select(F.lit("x").alias("k"), F.col("id").alias("a"))
     grouped = OrderedGroups(df, ["k"], ["a"])
-    sizes = [r["count"] for r in grouped.rows.groupBy("_chunk").count().collect()]
+    sizes = [r["count"] for r in grouped.rows.groupBy("_part").count().collect()]
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
     assert sum(sizes) == 10_000
-    assert 60 <= len(sizes) <= 100 and max(sizes) < 500
+    assert ranges / 2 < len(sizes) <= ranges and max(sizes) < 2 * 10_000 / ranges
+
+
+def test_very_many_hot_groups(spark, hot):
+    """Nothing is left whole or unjoined, however many groups are hot."""
+    hot(3)
+    df = spark.range(60_000).select((F.col("id") % 12_000).alias("k"), F.col("id").alias("a"))
+    grouped = OrderedGroups(df, ["k"], ["a"]).running({"n": F.lit(1)}, totals={"n": "all"})
+    assert grouped.is_split
+    right = grouped.done().select((F.floor(F.col("a") / 12_000) + 1 == F.col("n")) & (F.col("all") == 5))
+    assert right.distinct().collect() == [(True,)]
+    assert len(hot_groups(df, ["k"])) == 12_000
+    other = df.select("k", F.col("a").alias("b"))
+    assert balanced_join(df, other, ["k"]).count() == 300_000
+
+
+def test_hot_list_is_bounded_in_bytes(spark, skewed, hot, monkeypatch, caplog):
+    """Keys that do not fit into the list are joined plainly, and the log says so."""
+    hot(2)
+    monkeypatch.setattr(groups, "HOT_LIST_BYTES", 100)
+    df = spark.createDataFrame(skewed, "k string, a int, b int")
+    found = hot_groups(df, ["k"])
+    assert 0 < len(found) <= 4 and "adaptive" in caplog.text
+    met = balanced_join(df, df.select("k", F.col("b").alias("c")), ["k"])
+    assert met.count() == sum(len(g) ** 2 for k, g in by_key(skewed).items() if k is not None)
 
 
 def test_hot_groups_found(spark, skewed, hot):
@@ -137,7 +163,7 @@ def test_times_as_keys_and_order(spark, hot, zone):
             F.timestamp_seconds(1604192400 + F.col("id") * 600).cast("date").alias("d"),
         )
         grouped = OrderedGroups(df, ["k"], ["d", "t"]).running({"n": F.lit(1)})
-        assert grouped.rows.select("k", "_chunk").where("_chunk > 0").distinct().count() > 2
+        assert grouped.rows.select("k", "_part").distinct().count() > 3
         assert sorted(r.n for r in grouped.done().collect()) == sorted([*range(1, 21)] * 2)
     finally:
         spark.conf.set("spark.sql.session.timeZone", before)

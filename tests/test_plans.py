@@ -6,6 +6,7 @@ import pytest
 
 from __spark_entry__ import queries
 from tablelens.plans.groups import OrderedGroups
+from tablelens.queries import QUERIES
 from pyspark.sql import functions as F
 
 FOLDER = "/root/testdata/sf0.001"
@@ -15,14 +16,14 @@ def plan_of(df):
     return df._jdf.queryExecution().executedPlan().toString()
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_no_python_and_no_cross_joins(spark, name):
     plan = plan_of(queries()[name](spark, FOLDER))
     for bad in ["Python", "Arrow", "NestedLoop", "CartesianProduct"]:
         assert bad not in plan, bad
 
 
-@pytest.mark.parametrize("name", queries())
+@pytest.mark.parametrize("name", QUERIES)
 def test_one_task_only_gets_aggregated_rows(spark, name):
     lines = plan_of(queries()[name](spark, FOLDER)).splitlines()
     for above, line in enumerate(lines):
