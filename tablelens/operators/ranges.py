@@ -124,16 +124,27 @@ def partition_labels(
     return parts.select(key, "part_no", F.when(F.col("_discrete"), single).otherwise(ranged).alias("label"))
 
 
-def partition_storage(df: DataFrame, part: str, columns: Sequence[str] | None = None) -> DataFrame:
+def partition_storage(
+    df: DataFrame, part: str, columns: Sequence[str] | None = None, ranges: int | None = None
+) -> DataFrame:
     """Per range ``(part, n_rows, bytes, avg_bytes, pct)``.
 
     ``bytes`` sums the widths of ``columns`` (all but ``part`` unless given)
-    and ``pct`` is the share of the whole, from the aggregated rows.
+    and ``pct`` is the share of the whole, from the aggregated rows. ``ranges``
+    tells how many ranges there are, counted from 1: those without rows are
+    listed too, with zero rows and bytes and no average.
     """
     measured = list(columns) if columns is not None else [c for c in df.columns if c != part]
     per_part = df.groupBy(part).agg(
         F.count("*").alias("n_rows"), F.sum(row_bytes(df, measured)).alias("bytes")
     )
+    if ranges is not None:
+        spark, kind = df.sparkSession, df.schema[part].dataType
+        every = spark.range(1, ranges + 1).select(F.col("id").cast(kind).alias(part))
+        none = F.lit(0).cast("long")
+        per_part = every.join(per_part, part, "left").select(
+            part, *[F.coalesce(c, none).alias(c) for c in ("n_rows", "bytes")]
+        )
     # The total asks for the same aggregated columns, so both share one scan and shuffle.
     whole = per_part.agg(F.struct(F.sum("bytes").alias("b"), F.sum("n_rows")).alias("_whole"))
     return per_part.select(

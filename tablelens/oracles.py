@@ -242,11 +242,7 @@ SQL = {
                 "events", "events", "cast(ts as date)", "32", "strlen(event_type) + strlen(props)"
             ),
             summary_sql(
-                "no orders",
-                "orders where o_orderkey < 0",
-                "year(o_orderdate)",
-                "32",
-                "strlen(o_orderstatus) + strlen(o_orderpriority)",
+                "lineitem", "lineitem", "1", "68", "strlen(l_returnflag) + strlen(l_linestatus)"
             ),
         ]
     )
@@ -291,9 +287,9 @@ SQL = {
            count(l.doc_id) as n_matched
     from documents d left join (select distinct doc_id from labels) l on d.doc_id = l.doc_id
     union all
-    select 'lineitem.l_partkey->part[p_size<=25]', count(*) filter (l_partkey is null),
+    select 'lineitem.l_partkey->part.p_partkey', count(*) filter (l_partkey is null),
            count(*) filter (l_partkey is not null and p_partkey is null), count(p_partkey)
-    from lineitem left join (select distinct p_partkey from part where p_size <= 25)
+    from lineitem left join (select distinct p_partkey from part)
       on l_partkey = p_partkey
   )""",
     "fk_check_composite": """
@@ -400,6 +396,26 @@ SQL = {
          round(sum(b) / count(*), 6) as avg_bytes,
          round(100.0 * sum(b) / sum(sum(b)) over (), 6) as pct
   from p group by part_no""",
+    "storage_report": """
+  with b(n, v) as (
+    values (1, timestamp '1980-01-01'), (2, timestamp '1996-01-01'), (3, timestamp '1997-01-01'),
+           (4, timestamp '1999-01-01'), (5, timestamp '2001-01-01'), (6, timestamp '2090-01-01')
+  ), r as (
+    select k as part_no, lo.v as lo, hi.v as hi
+    from range(1, 8) t(k) left join b lo on lo.n = k - 1 left join b hi on hi.n = k
+  ), s as (
+    select part_no, lo, hi, count(o_orderkey) as n_rows,
+           coalesce(sum(32 + strlen(o_orderstatus) + strlen(o_orderpriority)), 0)::bigint as bytes
+    from r left join orders
+      on (lo is null or o_orderdate >= lo) and (hi is null or o_orderdate < hi)
+    group by all
+  )
+  select part_no,
+         coalesce(strftime(lo, '%Y-%m-%d') || ' <= ', '') || 'o_orderdate'
+           || coalesce(' < ' || strftime(hi, '%Y-%m-%d'), '') as label,
+         n_rows, bytes, round(bytes / nullif(n_rows, 0), 6) as avg_bytes,
+         round(100.0 * bytes / sum(bytes) over (), 6) as pct
+  from s""",
     "state_pivot": """
   select year(o_orderdate) as y,
          count(*) filter (o_orderstatus = 'O') as n_open,
@@ -471,3 +487,10 @@ SQL = {
            as quoted, needs_quotes
   from a""",
 }
+
+# The divided plans answer the same questions.
+SQL |= {
+    "runs_divided": SQL["runs"],
+    "ordered_list_divided": SQL["ordered_list"],
+    "two_hop_divided": SQL["two_hop_in"],
+}

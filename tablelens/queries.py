@@ -6,13 +6,14 @@ Each takes a session and a folder of parquet tables and returns a DataFrame.
 from __future__ import annotations
 
 import datetime as dt
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tablelens as tl
 from tablelens.functions.texts import line_breaks
-from tablelens.plans.groups import OrderedGroups, hot_groups
+from tablelens.plans.groups import HOT_GROUP_ROWS, OrderedGroups, hot_groups
 from tablelens.sources.tables import Tables
 
 LICENCE = "licen[sc]e"
@@ -117,7 +118,7 @@ def table_summary(spark: SparkSession, folder: str) -> DataFrame:
         {
             "orders": (t("orders"), year),
             "events": (t("events"), F.to_date("ts")),
-            "no orders": (t("orders").where("o_orderkey < 0"), year),
+            "lineitem": (t("lineitem"), None),
         }
     )
 
@@ -172,9 +173,9 @@ def fk_check(spark: SparkSession, folder: str) -> DataFrame:
     )
     parts = tl.fk_check(
         t("lineitem"),
-        t("part").where("p_size <= 25"),
+        t("part"),
         {"l_partkey": "p_partkey"},
-        "lineitem.l_partkey->part[p_size<=25]",
+        "lineitem.l_partkey->part.p_partkey",
     )
     return labelled.unionByName(parts)
 
@@ -318,6 +319,22 @@ def partition_storage(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def storage_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Label, rows and bytes of each range of order dates, ranges without orders included."""
+    orders = Tables(spark, folder)("orders")
+    starts = [dt.datetime(1980, 1, 1), *YEAR_STARTS, dt.datetime(2090, 1, 1)]
+    parted = tl.range_partition(orders, "o_orderdate", starts)
+    storage = tl.partition_storage(parted, "part_no", ranges=len(starts) + 1)
+    kind = orders.schema["o_orderdate"].dataType
+    bounds = spark.createDataFrame(list(enumerate(map(str, starts), 1)), "n int, v string")
+    bounds = bounds.select(F.lit("orders").alias("key"), "n", F.col("v").cast(kind).alias("v"))
+    labels = tl.partition_labels(bounds, "key", "n", "v", "o_orderdate")
+    report = labels.join(storage, "part_no").drop("key")
+    return report.withColumns(
+        {"avg_bytes": F.round("avg_bytes", 6), "pct": F.round("pct", 6)}
+    )
+
+
 def file_storage(spark: SparkSession, folder: str) -> DataFrame:
     return tl.file_storage(Tables(spark, folder)("orders"))
 
@@ -399,6 +416,24 @@ def name_audit(spark: SparkSession, folder: str) -> DataFrame:
     return tl.name_audit(names, "name", KEYWORDS)
 
 
+def divided(query: Callable, rows: int) -> Callable[[SparkSession, str], DataFrame]:
+    """The query with groups and join keys of more than ``rows`` rows divided, as a
+    cluster divides them from a million rows on."""
+
+    def run(spark: SparkSession, folder: str) -> DataFrame:
+        before = spark.conf.get(HOT_GROUP_ROWS, None)
+        spark.conf.set(HOT_GROUP_ROWS, str(rows))
+        try:
+            return query(spark, folder)
+        finally:
+            if before is None:
+                spark.conf.unset(HOT_GROUP_ROWS)
+            else:
+                spark.conf.set(HOT_GROUP_ROWS, before)
+
+    return run
+
+
 QUERIES = {
     f.__name__: f
     for f in [
@@ -434,6 +469,7 @@ QUERIES = {
         discrete_boundaries,
         partition_labels,
         partition_storage,
+        storage_report,
         file_storage,
         state_pivot,
         runs,
@@ -443,4 +479,8 @@ QUERIES = {
         scoped_rules,
         name_audit,
     ]
+} | {
+    "runs_divided": divided(runs, 3),
+    "ordered_list_divided": divided(ordered_list, 3),
+    "two_hop_divided": divided(two_hop_in, 20),
 }

@@ -88,6 +88,17 @@ def test_partition_storage(spark):
     assert rows(tl.partition_storage(df.where("p > 3"), "p")) == []
 
 
+def test_storage_of_empty_ranges(spark):
+    df = tl.range_partition(spark.createDataFrame([(5,), (25,)], "v int"), "v", [10, 20])
+    assert rows(tl.partition_storage(df, "part_no", ranges=3)) == [
+        (1, 1, 4, 4.0, 50.0),
+        (2, 0, 0, None, 0.0),
+        (3, 1, 4, 4.0, 50.0),
+    ]
+    nothing = tl.partition_storage(df.where("v > 30"), "part_no", ranges=2)
+    assert rows(nothing) == [(1, 0, 0, None, None), (2, 0, 0, None, None)]
+
+
 def test_file_storage(spark, tmp_path):
     path = str(tmp_path / "t")
     spark.range(100).repartition(4).write.parquet(path)
