@@ -49,14 +49,17 @@ def range_partition(
 def discrete_boundaries(bounds: DataFrame, key: str, boundary: str = "boundary") -> DataFrame:
     """``bounds`` with ``is_discrete``: do its neighbours lie exactly one step away?
 
-    A step is 1 for integers and a day for dates; other types are never
-    discrete. The boundary before must exist, the one after need not.
+    A step is 1 for integers, a day for dates and false to true for booleans; other
+    types are never discrete. The boundary before must exist, the one after need not.
     """
     data_type = bounds.schema[boundary].dataType
     here = F.col(boundary)
     if isinstance(data_type, T.IntegralType):
         at = here.cast("decimal(20,0)")
         follows: Callable[[Column, Column], Column] = lambda a, b: a + 1 == b
+    elif isinstance(data_type, T.BooleanType):
+        at = here.cast("int")
+        follows = lambda a, b: a + 1 == b
     elif isinstance(data_type, T.DateType):
         at = here
         follows = lambda a, b: F.date_add(a, 1) == b

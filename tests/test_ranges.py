@@ -46,6 +46,11 @@ def test_discrete_boundaries(spark, either):
     assert [r[2] for r in rows(tl.discrete_boundaries(text, "k"))] == [False, False]
 
 
+def test_discrete_boundaries_of_booleans(spark):
+    df = spark.createDataFrame([("k", False), ("k", True)], "k string, boundary boolean")
+    assert rows(tl.discrete_boundaries(df, "k")) == [("k", False, False), ("k", True, True)]
+
+
 def test_discrete_boundaries_at_the_end_of_the_type(spark):
     df = spark.createDataFrame([("k", 2**63 - 2), ("k", 2**63 - 1)], "k string, boundary long")
     assert [r[2] for r in rows(tl.discrete_boundaries(df, "k"))] == [False, True]
