@@ -160,4 +160,4 @@ def dedup_bytes(documents: DataFrame, window: int = WINDOW_BYTES, with_text: boo
         return len(data), int(gone.sum()), spans, hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None
 
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"
-    return dedup_windows(documents, Bytes, window, lambda p: sole_windows(p, window), finish, schema)
+    return dedup_windows(documents, Bytes, window, lambda p: sole_windows(p, window), finish, schema, sole=True)

@@ -197,4 +197,4 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW_WORDS, with_text
         return len(words), int(gone.sum()), hashlib.sha256(kept).hexdigest(), kept.decode("utf-8", "replace") if with_text else None
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
-    return dedup_windows(documents, Words, window, lambda p: first_windows(p, window), finish, schema)
+    return dedup_windows(documents, Words, window, lambda p: first_windows(p, window), finish, schema, sole=False)

@@ -5,8 +5,14 @@ The least hash of the grams in a window is its anchor; equal windows have equal
 anchors. Consecutive windows with one anchor make a piece, a little longer than
 a window, and pieces go to the bucket of their anchor, so all occurrences of a
 window meet in one bucket whatever documents they are in. A task sends equal
-pieces once, with their first place and whether there are several, so a passage
-in a third of all documents is no hot group.
+pieces once, with their first place and whether there are several, so the inside
+of a passage in a third of all documents is no hot group.
+
+Across its edges the pieces differ from document to document and still have the
+passage's gram as anchor. Anchors with very many different pieces are found in a
+sample of the texts; their windows go one by one to the bucket of a hash of the
+whole window, equal ones once per task, so that only equal windows meet. The sample
+decides between the two ways only; results are the same.
 
 A bucket answers with the windows that stay, as ranges of window starts; a
 document is told nothing of the others. The answers and the documents meet by
@@ -18,6 +24,7 @@ from __future__ import annotations
 import struct
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -30,6 +37,11 @@ from tablelens.llm.words import gram_hashes, mixed, sliding_least, word_hashes
 
 #: Text that a task works on before it sends its pieces, and units in one index.
 CHUNK_CHARS, INDEX_UNITS = 16_000_000, 1_500_000
+#: Raw bytes of pieces, and single windows, that a task unpacks or sends at a time.
+PORTION_BYTES, PORTION_WINDOWS = 1 << 27, 1_000_000
+#: One distinct text in SAMPLE is looked at; an anchor with HOT_PIECES distinct pieces there
+#: is hot. The list of hot anchors weighs 8 MB at most; it has the largest ones.
+SAMPLE, HOT_PIECES, HOT_ANCHORS = 32, 100, 1_000_000
 #: A NULL id sorts behind all others.
 NO_ID = 2**63 - 1
 
@@ -112,21 +124,92 @@ class Pieces:
                 strict=True,
             )
         )
-        return struct.pack("<q", len(sizes)) + zstandard.ZstdCompressor(level=1).compress(columns) + body
+        return struct.pack("<qq", len(sizes), int(sizes.sum())) + zstandard.ZstdCompressor(level=1).compress(columns) + body
 
     @staticmethod
-    def unpacked(data: bytes) -> Pieces:
+    def unpacked(data: bytes, part: int = 0, of: int = 1) -> Pieces:
+        """The pieces with anchors of one part."""
         (n,) = struct.unpack_from("<q", data)
         d = zstandard.ZstdDecompressor().decompressobj()
-        columns, rest = d.decompress(data[8:]), d.unused_data
+        columns, rest = d.decompress(data[16:]), d.unused_data
         body, at, arrays = zstandard.ZstdDecompressor().decompress(rest) if n else b"", 0, []
         for kind, width in (("<u8", 8), ("<i8", 8), ("<i8", 8), ("<i8", 8), ("u1", 1), ("u1", 1), ("<i8", 8)):
             arrays.append(np.frombuffer(columns, kind, n, at))
             at += n * width
-        ends = np.cumsum(arrays.pop())
-        cuts = [0, *ends.tolist()]
+        sizes = arrays.pop()
+        ends = np.cumsum(sizes)
         arrays[4], arrays[5] = arrays[4].astype(bool), arrays[5].astype(bool)
-        return Pieces(*arrays, [body[a:b] for a, b in zip(cuts, cuts[1:], strict=False)])
+        begins = ends - sizes
+        if of > 1:
+            rows = np.flatnonzero(mixed(arrays[0] + np.uint64(11)) % np.uint64(of) == part)
+            arrays, begins, ends = [a[rows] for a in arrays], begins[rows], ends[rows]
+        return Pieces(*arrays, [body[a:b] for a, b in zip(begins.tolist(), ends.tolist(), strict=True)])
+
+
+@dataclass
+class Singles:
+    """Windows by a hash of 128 bits, with their first place and whether they occur
+    several times."""
+
+    high: np.ndarray
+    low: np.ndarray
+    doc: np.ndarray
+    start: np.ndarray
+    often: np.ndarray
+
+    def take(self, rows: np.ndarray) -> Singles:
+        return Singles(*[a[rows] for a in (self.high, self.low, self.doc, self.start, self.often)])
+
+    def merged(self) -> Singles:
+        """Equal windows as one, with the first place."""
+        order = np.lexsort((self.start, self.doc, self.low, self.high))
+        high, low = self.high[order], self.low[order]
+        new = np.ones(len(order), bool)
+        new[1:] = (high[1:] != high[:-1]) | (low[1:] != low[:-1])
+        first = np.flatnonzero(new)
+        out = self.take(order[first])
+        several = np.diff(np.append(first, len(order))) > 1
+        if len(first):
+            out.often = several | np.logical_or.reduceat(self.often[order], first)
+        return out
+
+    def packed(self) -> bytes:
+        s = self.take(np.lexsort((self.start, self.doc)))
+        doc, start = np.diff(s.doc, prepend=0), np.diff(s.start, prepend=0)
+        data = b"".join(a.astype("<i8").tobytes() for a in (s.high.view(np.int64), s.low.view(np.int64), doc, start, s.often))
+        shuffled = np.frombuffer(data, np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes side by side
+        return struct.pack("<q", len(s.doc)) + zstandard.ZstdCompressor(level=3).compress(shuffled)
+
+    @staticmethod
+    def unpacked(data: bytes, part: int = 0, of: int = 1) -> Singles:
+        """The windows with hashes of one part."""
+        raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data[8:]), np.uint8)
+        high, low, doc, start, often = np.ascontiguousarray(raw.reshape(8, -1).T).reshape(-1).view("<i8").reshape(5, -1)
+        out = Singles(high.view(np.uint64), low.view(np.uint64), np.cumsum(doc), np.cumsum(start), often.astype(bool))
+        return out.take(np.flatnonzero(out.high % np.uint64(of) == part)) if of > 1 else out
+
+    @staticmethod
+    def joined(some: list[Singles]) -> Singles:
+        return Singles(*[np.concatenate([getattr(s, n) for s in some]) for n in ("high", "low", "doc", "start", "often")])
+
+
+def singles_of(runs: list[tuple[int, int, np.ndarray]], span: int) -> Singles:
+    """The windows of ``span`` grams in runs ``(doc, start, grams)``, equal ones as one."""
+    size = np.array([len(g) for _, _, g in runs], np.int64)
+    count, grams = size - span + 1, np.concatenate([g for _, _, g in runs])
+    owner = np.repeat(np.arange(len(runs)), count)
+    offset = np.arange(len(owner)) - (np.cumsum(count) - count)[owner]
+    at = (np.cumsum(size) - size)[owner] + offset
+    keys = []
+    for seed in (0x5851F42D4C957F2D, 0x14057B7EF767814F):
+        reach, h = 1, mixed(grams ^ np.uint64(seed))
+        while reach < span:
+            step = min(reach, span - reach)
+            h = mixed(h[: len(h) - step] * np.uint64(0x9E3779B97F4A7C15) + h[step:])
+            reach += step
+        keys.append(h[at])
+    doc, start = (np.array([r[i] for r in runs], np.int64) for i in (0, 1))
+    return Singles(*keys, doc[owner], start[owner] + offset, np.zeros(len(owner), bool)).merged()
 
 
 def _merged(some: list[Pieces]) -> Pieces:
@@ -145,8 +228,8 @@ def _merged(some: list[Pieces]) -> Pieces:
     return Pieces(column("anchor"), doc, start, column("windows"), often, column("inner"), content).take(rows)
 
 
-def pieces_of(kind, doc: int, text: str, window: int) -> Pieces | None:
-    """The pieces of one text; None if it has no window."""
+def pieces_of(kind, doc: int, text: str, window: int) -> tuple[Pieces, np.ndarray] | None:
+    """The pieces and the grams of one text; None if it has no window."""
     units, n = kind.units(text.encode("utf-8", "surrogatepass"))
     if n < window:
         return None
@@ -162,7 +245,7 @@ def pieces_of(kind, doc: int, text: str, window: int) -> Pieces | None:
     same = np.concatenate([[0], np.cumsum(grams[places[1:]] == grams[places[:-1]])])
     low, high = np.searchsorted(places, starts), np.searchsorted(places, ends + span - 1) - 1
     inner = same[np.maximum(high, 0)] > same[np.minimum(low, len(same) - 1)]
-    return Pieces(
+    found = Pieces(
         least[starts],
         np.full(len(starts), doc, np.int64),
         starts.astype(np.int64),
@@ -171,71 +254,145 @@ def pieces_of(kind, doc: int, text: str, window: int) -> Pieces | None:
         inner,
         kind.slices(units, starts, ends + window - 1),
     )
+    return found, grams
 
 
-def _by_bucket(found: Pieces, buckets: int) -> Iterator[tuple[int, Pieces]]:
-    bucket = (mixed(found.anchor) % np.uint64(buckets)).astype(np.int64)
+def _by_bucket(found: Pieces | Singles, key: np.ndarray, buckets: int) -> Iterator[tuple[int, bytes]]:
+    bucket = (mixed(key) % np.uint64(buckets)).astype(np.int64)
     order = np.argsort(bucket, kind="stable")
     cuts = np.flatnonzero(np.diff(bucket[order])) + 1
     for rows in np.split(order, cuts):
         if len(rows):
-            yield int(bucket[rows[0]]), found.take(rows)
+            yield int(bucket[rows[0]]), found.take(rows).packed()
 
 
 def _doc_bucket(doc: np.ndarray, buckets: int) -> np.ndarray:
     return (mixed(doc.astype(np.int64).view(np.uint64) + np.uint64(7)) % np.uint64(buckets)).astype(np.int32)
 
 
-def _send(batches: Iterator[pa.RecordBatch], kind, window: int, buckets: int) -> Iterator[pa.RecordBatch]:
-    held, chars = [], 0
+def _anchors(batches: Iterator[pa.RecordBatch], kind, window: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for text in batch.column("text"):
+            if found := pieces_of(kind, 0, text.as_py(), window):
+                pieces = [int.from_bytes(blake2b(c, digest_size=8).digest(), "little", signed=True) for c in found[0].content]
+                yield pa.RecordBatch.from_arrays([pa.array(found[0].anchor.view(np.int64)), pa.array(pieces, pa.int64())], ["anchor", "piece"])
+
+
+def hot_anchors(rows: DataFrame, kind, window: int) -> np.ndarray:
+    """The anchors with very many distinct pieces, ascending."""
+    sample = rows.select("text").where(F.pmod(F.xxhash64("text"), F.lit(SAMPLE)) == 0)
+    pairs = sample.mapInArrow(lambda b: _anchors(b, kind, window), "anchor long, piece long").distinct()
+    counted = pairs.groupBy("anchor").agg(F.count("*").alias("n")).where(F.col("n") >= HOT_PIECES)
+    found = counted.orderBy(F.desc("n")).limit(HOT_ANCHORS).select("anchor").toArrow()
+    return np.sort(found.column("anchor").to_numpy().astype(np.int64).view(np.uint64))
+
+
+def _send(
+    batches: Iterator[pa.RecordBatch], kind, window: int, buckets: int, hot: np.ndarray
+) -> Iterator[pa.RecordBatch]:
+    held, runs, chars, windows, span = [], [], 0, 0, window - kind.gram + 1
+
+    def rows(out: Iterator[tuple[int, bytes]], single: bool):
+        out = list(out)
+        for at in range(0, len(out), 64):
+            b, p = zip(*out[at : at + 64], strict=True)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(b, pa.int32()), pa.array([single] * len(b)), pa.array(p, pa.binary())], ["bucket", "single", "packed"]
+            )
 
     def flush():
         if held:
-            out = [(b, p.packed()) for b, p in _by_bucket(_merged(held), buckets)]
-            for at in range(0, len(out), 64):
-                b, p = zip(*out[at : at + 64], strict=True)
-                yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["bucket", "packed"])
-        held.clear()
+            found = _merged(held)
+            held.clear()
+            yield from rows(_by_bucket(found, found.anchor, buckets), False)
+
+    def flush_runs():
+        if runs:
+            found = singles_of(runs, span)
+            runs.clear()
+            yield from rows(_by_bucket(found, found.low, buckets), True)
 
     for batch in batches:
         docs = batch.column("doc_id").to_pylist()
         for i, text in zip(docs, batch.column("text"), strict=True):
             text = text.as_py()
-            found = pieces_of(kind, NO_ID if i is None else i, text, window)
-            if found:
+            if both := pieces_of(kind, doc := NO_ID if i is None else i, text, window):
+                found, grams = both
+                if len(hot):
+                    is_hot = hot[np.minimum(np.searchsorted(hot, found.anchor), len(hot) - 1)] == found.anchor
+                    if is_hot.any():
+                        flags = np.repeat(is_hot, found.windows)
+                        _, begin, size = ranges_of(flags, np.zeros(len(flags), bool), np.arange(len(flags)))
+                        for a, b in zip(begin.tolist(), (begin + size).tolist(), strict=True):
+                            for at in range(a, b, PORTION_WINDOWS):
+                                end = min(b, at + PORTION_WINDOWS)
+                                runs.append((doc, at, grams[at : end + span - 1].copy()))
+                                windows += end - at + span - 1
+                                if windows >= PORTION_WINDOWS:
+                                    yield from flush_runs()
+                                    windows = 0
+                        found = found.take(np.flatnonzero(~is_hot))
                 held.append(found)
                 chars += len(text)
             if chars >= CHUNK_CHARS:
                 yield from flush()
                 chars = 0
     yield from flush()
+    yield from flush_runs()
+
+
+def _portions(packed: list[bytes], header: str, most: int) -> Iterator[tuple[int, int]]:
+    """Numbers of parts and the number of parts so that each is about ``most``."""
+    total = sum(struct.unpack_from(header, data)[-1] for data in packed)
+    of = -(-total // most) or 1
+    return ((part, of) for part in range(of))
+
+
+def _decided(packed: list[bytes], single: bool, decide: Callable, sole: bool):
+    """The ranges that stay of a bucket, a portion at a time."""
+    if not single:
+        for part, of in _portions(packed, "<qq", PORTION_BYTES):
+            pieces = _merged([Pieces.unpacked(d, part, of) for d in packed])
+            if len(pieces.doc):
+                yield decide(pieces)
+        return
+    for part, of in _portions(packed, "<q", 4 * PORTION_WINDOWS):
+        found = Singles.joined([Singles.unpacked(d, part, of) for d in packed]).merged()
+        stay = ~found.often if sole else np.ones(len(found.doc), bool)
+        doc, start = found.doc[stay], found.start[stay]
+        yield doc, start, np.ones(len(doc), np.int64)
 
 
 def _answer(
-    batches: Iterator[pa.RecordBatch], decide: Callable, buckets: int
+    batches: Iterator[pa.RecordBatch], decide: Callable, buckets: int, sole: bool
 ) -> Iterator[pa.RecordBatch]:
-    by_bucket: dict[int, list[Pieces]] = {}
+    by_bucket: dict[tuple[int, bool], list[bytes]] = {}
     for batch in batches:
-        for b, data in zip(batch.column("bucket").to_pylist(), batch.column("packed"), strict=True):
-            by_bucket.setdefault(b, []).append(Pieces.unpacked(data.as_py()))
+        columns = (batch.column(n).to_pylist() for n in ("bucket", "single", "packed"))
+        for b, single, data in zip(*columns, strict=True):
+            by_bucket.setdefault((b, single), []).append(data)
     while by_bucket:
-        _, some = by_bucket.popitem()
-        pieces = _merged(some)
-        ranges = decide(pieces)
-        doc, start, n = (np.asarray(x, np.int64) for x in ranges)
-        home = _doc_bucket(doc, buckets)
-        order = np.lexsort((start, doc, home))
-        doc, start, n, home = doc[order], start[order], n[order], home[order]
-        out = []
-        for rows in np.split(np.arange(len(home)), np.flatnonzero(np.diff(home)) + 1):
-            if len(rows):
-                d = np.diff(doc[rows], prepend=0)
-                data = b"".join(a.astype("<i8").tobytes() for a in (d, start[rows], n[rows]))
-                shuffled = np.frombuffer(data, np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes side by side
-                out.append((int(home[rows[0]]), zstandard.ZstdCompressor(level=3).compress(shuffled)))
-        for at in range(0, len(out), 256):
-            b, p = zip(*out[at : at + 256], strict=True)
-            yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["home", "packed"])
+        (_, single), packed = by_bucket.popitem()
+        for ranges in _decided(packed, single, decide, sole):
+            yield from _homes(ranges, buckets)
+
+
+def _homes(ranges, buckets: int) -> Iterator[pa.RecordBatch]:
+    """Ranges packed for the buckets of their documents."""
+    doc, start, n = (np.asarray(x, np.int64) for x in ranges)
+    home = _doc_bucket(doc, buckets)
+    order = np.lexsort((start, doc, home))
+    doc, start, n, home = doc[order], start[order], n[order], home[order]
+    out = []
+    for rows in np.split(np.arange(len(home)), np.flatnonzero(np.diff(home)) + 1):
+        if len(rows):
+            d = np.diff(doc[rows], prepend=0)
+            data = b"".join(a.astype("<i8").tobytes() for a in (d, start[rows], n[rows]))
+            shuffled = np.frombuffer(data, np.uint8).reshape(-1, 8).T.tobytes()  # equal bytes side by side
+            out.append((int(home[rows[0]]), zstandard.ZstdCompressor(level=3).compress(shuffled)))
+    for at in range(0, len(out), 256):
+        b, p = zip(*out[at : at + 256], strict=True)
+        yield pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(p, pa.binary())], ["home", "packed"])
 
 
 def read_ranges(packed: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -293,18 +450,20 @@ def removed(n: int, window: int, start: np.ndarray, length: np.ndarray) -> np.nd
 
 
 def dedup_windows(
-    documents: DataFrame, kind, window: int, decide: Callable, finish: Callable, schema: str
+    documents: DataFrame, kind, window: int, decide: Callable, finish: Callable, schema: str, sole: bool
 ) -> DataFrame:
-    """The whole exchange. ``decide(pieces)`` gives the ranges that stay; ``finish(doc,
-    text, start, length)`` makes the values of a result row behind ``doc_id``."""
+    """The whole exchange. ``decide(pieces)`` gives the ranges that stay: the windows that
+    occur once if ``sole``, else the first of equal ones. ``finish(text, start, length)``
+    makes the values of a result row behind ``doc_id``."""
     if window <= kind.gram:
         raise ValueError(f"a window needs more than {kind.gram} units")
     spark = documents.sparkSession
     buckets = parts(spark)
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
-    sent = rows.mapInArrow(lambda b: _send(b, kind, window, buckets), "bucket int, packed binary")
+    hot = hot_anchors(rows, kind, window)
+    sent = rows.mapInArrow(lambda b: _send(b, kind, window, buckets, hot), "bucket int, single boolean, packed binary")
     answers = sent.repartition(buckets, "bucket").mapInArrow(
-        lambda b: _answer(b, decide, buckets), "home int, packed binary"
+        lambda b: _answer(b, decide, buckets, sole), "home int, packed binary"
     )
 
     def place(batches):

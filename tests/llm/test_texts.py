@@ -11,6 +11,7 @@ import pytest
 from conftest_llm import ODD, documents  # noqa: F401
 from tokenizers import Tokenizer
 
+from tablelens.llm import windows
 from tablelens.llm.bpe import TextBpe, encode_texts, read_ranks
 from tablelens.llm.bwt import dedup_bytes, repeated_places
 from tablelens.llm.encoding import TextEncoder
@@ -133,6 +134,49 @@ def test_bytes_against_brute_force(documents, window):
     assert sum(w[1] > 0 for w in want.values()) > 3
 
 
+def edges(n=300):
+    """A passage with other words before and behind it in each text; some texts are equal."""
+    passage = prose(120)
+    rows = [(i, f"{prose(60)} {passage} {prose(60)}") for i in range(n)]
+    return rows + [(n, passage), (n + 1, rows[7][1]), (n + 2, rows[7][1] + " end"), (None, rows[9][1]), *rows[20:22], *ODD[:-2]]
+
+
+@pytest.mark.parametrize("operator", ["words", "bytes"])
+def test_hot_anchors_change_no_result(documents, monkeypatch, operator):
+    rows = edges(60)
+    run = dedup_substrings if operator == "words" else dedup_bytes
+    want = sorted(map(tuple, run(documents(*rows)).collect()), key=repr)
+    monkeypatch.setattr(windows, "SAMPLE", 1)
+    for least in (1, 5):
+        monkeypatch.setattr(windows, "HOT_PIECES", least)
+        assert sorted(map(tuple, run(documents(*rows)).collect()), key=repr) == want
+    assert sum(w[2] > 0 for w in want) > 60
+
+
+@pytest.mark.parametrize(("kind", "window"), [(windows.Words, 20), (windows.Bytes, 400)])
+def test_edges_of_a_common_passage_are_dealt_out(documents, monkeypatch, kind, window):
+    monkeypatch.setattr(windows, "SAMPLE", 1)
+    monkeypatch.setattr(windows, "PORTION_BYTES", 10_000)
+    monkeypatch.setattr(windows, "PORTION_WINDOWS", 5_000)
+    docs, most = documents(*edges()).where("text IS NOT NULL"), Counter()
+    hot = windows.hot_anchors(docs, kind, window)
+    assert 0 < len(hot) < 100
+
+    def decide(pieces):
+        most.update(pieces.anchor.tolist())
+        return pieces.doc, pieces.start, pieces.windows
+
+    batches = docs.select("doc_id", "text").toArrow().to_batches()
+    sent = list(windows._send(iter(batches), kind, window, 8, hot))
+    answers = list(windows._answer(iter(sent), decide, 8, False))
+    assert max(most.values()) < 100
+    # The first text has all its windows, each once.
+    doc, start, n = windows.read_ranges([p for b in answers for p in b.column("packed").to_pylist()])
+    (text,) = (r.text for r in docs.where("doc_id = 0").collect())
+    mine = sorted(x for s, k in zip(start[doc == 0], n[doc == 0], strict=True) for x in range(s, s + k))
+    assert mine == list(range(kind.units(text.encode())[1] - window + 1))
+
+
 def test_merged_transforms_count_all_strings():
     contents = [bytes(dice.choice(b"ab") for _ in range(dice.randint(64, 200))) for _ in range(9)]
     contents += [contents[0][20:120], b"a" * 150]
