@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tablelens.llm.common import table, written
-from tablelens.llm.fmindex import dedup_substrings
+from tablelens.llm.fmindex import without_substrings
 from tablelens.llm.minhash import near_duplicates
 from tablelens.llm.packing import pack_documents
 from tablelens.llm.quality import score_quality
@@ -37,11 +37,9 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """Passages that stand earlier go. A text that loses nothing stays as it is; one that
     loses words is what is left, joined by blanks; one that loses all goes."""
     ship(spark)
-    found = written(dedup_substrings(docs).where("n_removed > 0").select(F.col("doc_id").alias("_id"), "kept"))
-    joined = docs.join(found, F.col("doc_id") == F.col("_id"), "left")
-    text = F.coalesce("kept", "text")
-    changed = {"text": text, "n_chars": F.when(F.col("_id").isNull(), F.col("n_chars")).otherwise(F.length(text).cast("long"))}
-    return joined.where("_id IS NULL OR kept != ''").select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
+    found = without_substrings(docs).where("n_removed = 0 OR text != ''")
+    changed = {"n_chars": F.when(F.col("n_removed") == 0, F.col("n_chars")).otherwise(F.length("text").cast("long"))}
+    return found.select(*[changed.get(c, F.col(c)).alias(c) for c in docs.columns])
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -143,9 +143,8 @@ def dedup_bytes(documents: DataFrame, window: int = WINDOW_BYTES, with_text: boo
     the maximal runs removed. ``kept`` is what is left, with bytes that no longer make
     a character replaced (NULL without ``with_text``); ``kept_sha256`` is of the exact
     bytes. ``window`` is a multiple of 4, 64 at least. A NULL text counts as empty;
-    shorter texts lose nothing. Ids should be unique: rows that share one are told
-    apart by place only, so their common windows stay where one of them is alone. NULL
-    is one id. An empty table gives no rows; other columns are not read.
+    shorter texts lose nothing. Rows that share an id, or have none, are documents of
+    their own; the table is sorted and written once to tell them apart. An empty table gives no rows; other columns are not read.
     """
     if window % ROUNDS or window < 16 * ROUNDS:
         raise ValueError(f"the window must be a multiple of {ROUNDS}, {16 * ROUNDS} at least")

@@ -14,6 +14,7 @@ import hashlib
 
 import numpy as np
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from tablelens.llm.windows import Pieces, Words, dedup_windows, ranges_of, removed, sub_indexes
 
@@ -185,9 +186,9 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW_WORDS, with_text
     lies in a run of ``window`` words which also starts earlier: in a document with a
     smaller id, or earlier in the same one. ``kept`` is what is left, joined by single
     blanks (NULL without ``with_text``), ``kept_sha256`` its hash. A NULL text counts
-    as empty; texts with fewer words than a window lose nothing. Ids should be unique:
-    rows that share one are not compared with each other at the same place. NULL is
-    one id, the last. An empty table gives no rows; other columns are not read.
+    as empty; texts with fewer words than a window lose nothing. NULL is the last id; rows
+    that share an id are documents of their own, in order of a hash of the text, for
+    which the table is sorted and written once. An empty table gives no rows; other columns are not read.
     """
 
     def finish(text: str, start: np.ndarray, length: np.ndarray):
@@ -198,3 +199,26 @@ def dedup_substrings(documents: DataFrame, window: int = WINDOW_WORDS, with_text
 
     schema = "doc_id long, n_words long, n_removed long, kept_sha256 string, kept string"
     return dedup_windows(documents, Words, window, lambda p: first_windows(p, window), finish, schema, sole=False)
+
+
+def without_substrings(documents: DataFrame, window: int = WINDOW_WORDS) -> DataFrame:
+    """The rows of ``documents`` with all their columns and ``n_removed``, how many words
+    ``dedup_substrings`` removes. A text that loses nothing stays as it is; of another
+    one ``text`` is what is left. Rows are not joined, so NULL and repeated ids stay
+    rows of their own.
+    """
+    others = [c for c in documents.columns if c != "text"]
+    carry = [F.col("text").isNull(), *[F.col(f"`{c}`") for c in others]]
+
+    def finish(text: str, start: np.ndarray, length: np.ndarray):
+        words = text.encode("utf-8", "surrogatepass").split()
+        gone = removed(len(words), window, start, length)
+        if not gone.any():
+            return 0, text
+        return int(gone.sum()), b" ".join([w for w, g in zip(words, gone.tolist(), strict=True) if not g]).decode("utf-8", "replace")
+
+    schema = "doc_id long, n_removed long, kept string"
+    found = dedup_windows(documents, Words, window, lambda p: first_windows(p, window), finish, schema, sole=False, carry=carry)
+    text = F.when(~F.col("carried.c0"), F.col("kept")).alias("text")
+    at = {c: F.col(f"carried.c{i}").alias(c) for i, c in enumerate(others, 1)}
+    return found.select(*[at.get(c, text) for c in documents.columns], "n_removed")

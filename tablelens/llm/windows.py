@@ -22,17 +22,18 @@ document.
 from __future__ import annotations
 
 import struct
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from tablelens.llm.common import module_cache, parts
+from tablelens.llm.common import module_cache, parts, written
 from tablelens.llm.words import gram_hashes, mixed, sliding_least, word_hashes
 
 #: Text that a task works on before it sends its pieces, and units in one index.
@@ -450,44 +451,70 @@ def removed(n: int, window: int, start: np.ndarray, length: np.ndarray) -> np.nd
 
 
 def dedup_windows(
-    documents: DataFrame, kind, window: int, decide: Callable, finish: Callable, schema: str, sole: bool
+    documents: DataFrame,
+    kind,
+    window: int,
+    decide: Callable,
+    finish: Callable,
+    schema: str,
+    sole: bool,
+    carry: Sequence[Column] = (),
 ) -> DataFrame:
     """The whole exchange. ``decide(pieces)`` gives the ranges that stay: the windows that
     occur once if ``sole``, else the first of equal ones. ``finish(text, start, length)``
-    makes the values of a result row behind ``doc_id``."""
+    makes the values of a result row behind ``doc_id``. Of the row of ``documents`` the
+    columns ``carry`` come along, in a struct ``carried`` as ``c0``, ``c1`` and so on."""
     if window <= kind.gram:
         raise ValueError(f"a window needs more than {kind.gram} units")
     spark = documents.sparkSession
     buckets = parts(spark)
-    rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
+    key, id = F.col("doc_id").cast("long"), "doc_id"
+    if not documents.groupBy(key.alias("id")).count().where("count > 1").isEmpty():
+        # Numbers in order of id, then of the text's hash, tell rows apart.
+        ordered = documents.orderBy(key.asc_nulls_last(), F.xxhash64("text"))
+        documents = written(ordered.withColumn("_row", F.monotonically_increasing_id()))
+        key, id = F.col("_row"), "_row"
+    rows = documents.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hot = hot_anchors(rows, kind, window)
     sent = rows.mapInArrow(lambda b: _send(b, kind, window, buckets, hot), "bucket int, single boolean, packed binary")
     answers = sent.repartition(buckets, "bucket").mapInArrow(
         lambda b: _answer(b, decide, buckets, sole), "home int, packed binary"
     )
 
+    whole = documents.select(
+        F.col("doc_id").cast("long"),
+        F.coalesce("text", F.lit("")).alias("text"),
+        *([key] if id != "doc_id" else []),
+        *([F.struct(*[c.alias(f"c{i}") for i, c in enumerate(carry)]).alias("carried")] if carry else []),
+    )
+    names = whole.columns
+
     def place(batches):
         for batch in batches:
-            ids = batch.column("doc_id").fill_null(NO_ID).to_numpy()
+            ids = batch.column(id).fill_null(NO_ID).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_doc_bucket(ids, buckets)), batch.column("doc_id"), batch.column("text")],
-                ["home", "doc_id", "text"],
+                [pa.array(_doc_bucket(ids, buckets)), *[batch.column(n) for n in names]], ["home", *names]
             )
 
-    placed = rows.mapInArrow(place, "home int, doc_id long, text string")
+    placed = whole.mapInArrow(place, T.StructType([T.StructField("home", T.IntegerType()), *whole.schema]))
     fields = pa.schema([(n.split()[0], {"long": pa.int64(), "string": pa.string()}[n.split()[1]]) for n in schema.split(", ")])
 
     def apply(left: pa.Table, right: pa.Table) -> pa.Table:
         doc, start, length = read_ranges([p.as_py() for p in right.column("packed")])
         out = []
-        for i, text in zip(left.column("doc_id").to_pylist(), left.column("text"), strict=True):
-            key = NO_ID if i is None else i
-            a, b = np.searchsorted(doc, key, "left"), np.searchsorted(doc, key, "right")
+        keys = left.column(id).fill_null(NO_ID).to_pylist()
+        for i, own, text in zip(left.column("doc_id").to_pylist(), keys, left.column("text"), strict=True):
+            a, b = np.searchsorted(doc, own, "left"), np.searchsorted(doc, own, "right")
             out.append((i, *finish(text.as_py(), start[a:b], length[a:b])))
         columns = list(zip(*out, strict=True)) or [[] for _ in fields]
-        return pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
-
-    return placed.groupBy("home").cogroup(answers.groupBy("home")).applyInArrow(apply, schema)
+        done = pa.table([pa.array(c, f.type) for c, f in zip(columns, fields, strict=True)], schema=fields)
+        return done.append_column(left.schema.field("carried"), left.column("carried")) if carried else done
+
+    kinds = {"long": T.LongType(), "string": T.StringType()}
+    result = [T.StructField(n, kinds[k]) for n, k in (f.split() for f in schema.split(", "))]
+    carried = [f for f in whole.schema if f.name == "carried"]
+    grouped = placed.groupBy("home").cogroup(answers.groupBy("home"))
+    return grouped.applyInArrow(apply, T.StructType([*result, *carried]))
 
 
 __all__ = ["Bytes", "Pieces", "Words", "dedup_windows", "module_cache", "ranges_of", "removed", "sub_indexes"]

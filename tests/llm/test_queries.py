@@ -118,3 +118,16 @@ def test_pipeline_stages(spark, stages):
     import corpus_pipeline
 
     assert corpus_pipeline.STAGES[1][1](spark, stages[1][2], SMALL).count() == counts[1]
+
+
+def test_substring_stage_with_odd_ids(spark, documents):
+    import corpus_pipeline
+
+    words = lambda name, n: " ".join(f"{name}{i}" for i in range(n))
+    passage = words("p", 30)
+    rows = [(1, passage), (2, f"a  {passage} b"), (2, f"{passage} c"), (3, passage), (None, f"d {passage}"), (None, None), (None, "x\n y"), (4, "")]
+    got = corpus_pipeline.substring_dedup(spark, documents(*rows), SMALL)
+    assert got.columns == documents().columns
+    left = [(1, passage), (2, "a b"), (2, "c"), (None, "d"), (None, None), (None, "x\n y"), (4, "")]
+    want = sorted(((i, t, None, None, None if t is None else len(t), "k", "r", "s") for i, t in left), key=repr)
+    assert sorted(map(tuple, got.collect()), key=repr) == want
