@@ -12,9 +12,10 @@ import public_tokenizers
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tablelens.llm.archive import archive_pages, original_records, page_captures, read_warc_files, write_warc_files
 from tablelens.llm.bpe import encode_texts
 from tablelens.llm.bwt import dedup_bytes
-from tablelens.llm.common import shared_folder, table
+from tablelens.llm.common import shared_folder, table, written
 from tablelens.llm.fmindex import dedup_substrings
 from tablelens.llm.forest import near_vectors
 from tablelens.llm.idfiles import read_id_files, write_id_files
@@ -22,6 +23,8 @@ from tablelens.llm.minhash import near_duplicates
 from tablelens.llm.packing import pack_documents
 from tablelens.llm.perspectives import rotate_perspectives
 from tablelens.llm.quality import score_quality, train
+from tablelens.llm.spelling import spelling_variants
+from tablelens.llm.whiten import whiten
 from tablelens.llm.winnowing import compare_edited
 
 JSON = public_tokenizers.path("byte_bpe_50k.json")
@@ -103,6 +106,23 @@ def op10_monoid_bpe(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256")
 
 
+def op11_content_archive(spark: SparkSession, folder: str) -> DataFrame:
+    place = f"{shared_folder(spark)}/warc-{uuid.uuid4().hex}"
+    archive = archive_pages(table(spark, folder, "pages"), place)
+    files = write_warc_files(original_records(spark, archive), place)
+    # What is read is needed twice, by the responses and by what refers to them.
+    records = written(read_warc_files(files, with_payload=False))
+    return page_captures(records).drop("url")
+
+
+def op12_letter_counts(spark: SparkSession, folder: str) -> DataFrame:
+    return spelling_variants(table(spark, folder, "documents"))
+
+
+def op13_whitening(spark: SparkSession, folder: str) -> DataFrame:
+    return whiten(table(spark, folder, "embeddings"))
+
+
 def _with_package(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, folder: str) -> DataFrame:
         ship(spark)
@@ -124,5 +144,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
         op8_perspectives,
         op9_bwt_dedup,
         op10_monoid_bpe,
+        op11_content_archive,
+        op12_letter_counts,
+        op13_whitening,
     )
 }

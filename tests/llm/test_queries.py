@@ -17,7 +17,7 @@ SMALL = "/root/testdata/sf0.01"
 
 def test_all_are_registered():
     names = {n.partition("_")[0] for n in queries() if n.startswith("op")}
-    assert names == {f"op{i}" for i in range(1, 11)} and "pipeline" in queries()
+    assert names == {f"op{i}" for i in range(1, 14)} and "pipeline" in queries()
 
 
 def test_perspectives_agree_with_sql(spark):
