@@ -39,13 +39,16 @@ END, REVISIT_PROFILE = b"\r\n\r\n", "http://netpreserve.org/warc/1.1/revisit/ide
 
 @dataclass(frozen=True)
 class Archive:
-    """The places of the two tables."""
+    """The places of the two tables. Payloads are dealt out over buckets by digest; a session
+    that knows them by ``table`` joins them without moving them, others read the files."""
 
     headers: str
     payloads: str
+    table: str
 
     def read(self, spark: SparkSession) -> tuple[DataFrame, DataFrame]:
-        return spark.read.parquet(self.headers), spark.read.parquet(self.payloads)
+        known = spark.catalog.tableExists(self.table)
+        return spark.read.parquet(self.headers), spark.table(self.table) if known else spark.read.parquet(self.payloads)
 
 
 def _uuid(*of: str) -> Column:
@@ -130,10 +133,13 @@ def archive_pages(
         .agg(F.any_value("payload").alias("payload"), F.min(check).alias("least"), F.max(check).alias("most"))
         .select("digest", F.when(differs, F.raise_error(F.lit("two payloads of one digest"))).otherwise(F.col("payload")).alias("payload"))
     )
-    place = f"{folder.rstrip('/')}/archive-{uuid.uuid4().hex}"
-    found = Archive(f"{place}/headers", f"{place}/payloads")
-    headers.write.parquet(found.headers)
-    payloads.write.parquet(found.payloads)
+    name = f"archive_{uuid.uuid4().hex}"
+    place = f"{folder.rstrip('/')}/{name}"
+    found = Archive(f"{place}/headers", f"{place}/payloads", name)
+    headers.write.option("compression", "zstd").parquet(found.headers)
+    # Grouped by digest they lie as the buckets want them: nothing moves again.
+    buckets = payloads.write.option("compression", "zstd").option("path", found.payloads).bucketBy(parts(spark), "digest")
+    buckets.saveAsTable(name)
     return found
 
 
