@@ -40,14 +40,33 @@ def quoted(name: str) -> Column:
     return F.col("`" + name.replace("`", "``") + "`")
 
 
-def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
-    """Bytes of a row: fixed widths plus the measured length of texts and binaries.
+def value_bytes(value: Column, data_type: T.DataType) -> Column:
+    """Bytes of one value as a bigint: the fixed width of its type, the length of a text or
+    binary (0 for NULL), and for nested types the sum of what is in them."""
+    fixed, zero = fixed_width(data_type), F.lit(0).cast("long")
+    if fixed is not None:
+        return F.lit(fixed).cast("long")
+    if is_sized(data_type):
+        return F.coalesce(F.octet_length(value).cast("long"), zero)
+    if isinstance(data_type, T.StructType):
+        inside = [value_bytes(value.getField(f.name), f.dataType) for f in data_type.fields]
+        return F.when(value.isNull(), zero).otherwise(reduce(lambda a, b: a + b, inside, zero))
+    if isinstance(data_type, T.ArrayType):
+        width = fixed_width(data_type.elementType)
+        if width is not None:
+            return F.coalesce(F.array_size(value).cast("long") * width, zero)
+        summed = F.aggregate(value, zero, lambda total, v: total + value_bytes(v, data_type.elementType))
+        return F.coalesce(summed, zero)
+    if isinstance(data_type, T.MapType):
+        keys = value_bytes(F.map_keys(value), T.ArrayType(data_type.keyType))
+        return keys + value_bytes(F.map_values(value), T.ArrayType(data_type.valueType))
+    # Of any other type no bytes can be told, so neither can those of the row.
+    return F.lit(None).cast("long")
+
 
-    Nested columns have no defined width and add nothing.
-    """
+def row_bytes(df: DataFrame, columns: list[str] | None = None) -> Column:
+    """Bytes of a row: the widths of its columns (see ``value_bytes``)."""
     fields = [f for f in df.schema.fields if columns is None or f.name in columns]
     fixed = sum(fixed_width(f.dataType) or 0 for f in fields)
-    sized = [
-        F.coalesce(F.octet_length(quoted(f.name)), F.lit(0)) for f in fields if is_sized(f.dataType)
-    ]
+    sized = [value_bytes(quoted(f.name), f.dataType) for f in fields if fixed_width(f.dataType) is None]
     return reduce(lambda a, b: a + b, sized, F.lit(fixed).cast("long"))

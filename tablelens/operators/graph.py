@@ -7,15 +7,17 @@ table (see ``plans.tables.materialize``) when they come from a longer plan.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterable
+from dataclasses import dataclass
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.plans.groups import Hot, OrderedGroups, hot_groups
+from tablelens.plans.groups import OrderedGroups, hot_group_rows, outgrown
 from tablelens.plans.joins import balanced_join
-from tablelens.plans.tables import materialize
+from tablelens.plans.tables import materialize, shared_folder
 
 # Connectors of the graph report.
 ONLY, BETWEEN = "−", "∣"
@@ -44,8 +46,7 @@ def edge_ordinals(edges: DataFrame) -> DataFrame:
     into = OrderedGroups(edges, ["dst"], ["src"]).running(
         {"parent_row": F.lit(1)}, totals={"parent_row": "parent_count"}
     )
-    hot = hot_groups(edges, ["src"])
-    both = OrderedGroups(into.done(), ["src"], ["dst"], hot).running(
+    both = OrderedGroups(into.done(), ["src"], ["dst"], outgrown(edges, ["src"])).running(
         {"child_row": F.lit(1)}, totals={"child_row": "child_count"}
     )
     return both.done().select(
@@ -53,9 +54,52 @@ def edge_ordinals(edges: DataFrame) -> DataFrame:
     )
 
 
+@dataclass(frozen=True)
+class EdgeTables:
+    """Edges stored twice, dealt out over buckets by either end, with their ordinals.
+
+    Both tables hold ``src, dst, parent_row, parent_count, child_row, child_count`` and the
+    further columns of the edges. What joins on an end reads the table of that end and needs
+    no exchange of edges.
+    """
+
+    by_src: DataFrame
+    by_dst: DataFrame
+
+    def reversed(self) -> EdgeTables:
+        """The same edges the other way round; the tables change their parts."""
+        return EdgeTables(reversed_edges(self.by_dst), reversed_edges(self.by_src))
+
+
+def store_edges(edges: DataFrame, buckets: int | None = None) -> EdgeTables:
+    """Number the edges (see ``edge_ordinals``) and store them by either end.
+
+    The tables lie in the shared folder, in as many buckets as there are shuffle partitions unless told
+    otherwise, and are known to the session only. A node with very many edges makes its bucket
+    large; joins that meet such a node deal its edges out anew.
+    """
+    spark = edges.sparkSession
+    n = buckets or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    numbered = materialize(edge_ordinals(edges))
+
+    def stored(end: str) -> DataFrame:
+        name = f"edges_by_{end}_{uuid.uuid4().hex}"
+        # Gathered by the end, every bucket is one file.
+        writer = numbered.repartition(n, end).write.option("path", f"{shared_folder(spark).rstrip('/')}/{name}")
+        writer.bucketBy(n, end).saveAsTable(name)
+        return spark.table(name)
+
+    return EdgeTables(stored("src"), stored("dst"))
+
+
+def _by_ends(edges: DataFrame | EdgeTables) -> EdgeTables:
+    return edges if isinstance(edges, EdgeTables) else EdgeTables(edges, edges)
+
+
 def reversed_edges(edges: DataFrame) -> DataFrame:
     """Every edge the other way round, with what is known of its ends."""
-    other = {"src": "dst", "dst": "src", "_src_label": "_dst_label", "_dst_label": "_src_label"}
+    pairs = [("src", "dst"), ("_src_label", "_dst_label"), ("parent_row", "child_row"), ("parent_count", "child_count")]
+    other = {a: b for one, two in pairs for a, b in ((one, two), (two, one))}
     return edges.select(*[F.col(c).alias(other.get(c, c)) for c in edges.columns])
 
 
@@ -74,21 +118,24 @@ def _first_hops(
     return hops.join(wanted, "focus", "left_semi")
 
 
-def two_hop_in(edges: DataFrame, focus: DataFrame | None = None) -> DataFrame:
+def two_hop_in(edges: DataFrame | EdgeTables, focus: DataFrame | None = None) -> DataFrame:
     """Who refers to each node, and who refers to them: ``(focus, hop1, hop2)``.
 
     A first hop nobody refers to stays, with ``hop2`` NULL. ``focus`` (a
     table whose first column names nodes) limits whose surroundings are
-    listed. Edges that meet at a node many refer to are dealt out over tasks.
+    listed, which a graph with nodes large in both directions needs. Edges that meet at a node
+    many refer to are dealt out over tasks. ``store_edges`` saves the exchange of edges where
+    they are asked more than once.
     """
-    first = _first_hops(edges, focus)
-    second = edges.select(F.col("dst").alias("hop1"), F.col("src").alias("hop2"))
+    stored = _by_ends(edges)
+    first = _first_hops(stored.by_src, focus)
+    second = stored.by_dst.select(F.col("dst").alias("hop1"), F.col("src").alias("hop2"))
     return balanced_join(first, second, ["hop1"], "left").select("focus", "hop1", "hop2")
 
 
-def two_hop_out(edges: DataFrame, focus: DataFrame | None = None) -> DataFrame:
+def two_hop_out(edges: DataFrame | EdgeTables, focus: DataFrame | None = None) -> DataFrame:
     """What each node refers to, and what those refer to: ``(focus, hop1, hop2)``."""
-    return two_hop_in(reversed_edges(edges), focus)
+    return two_hop_in(_by_ends(edges).reversed(), focus)
 
 
 def _mark(row: Column, count: Column, first: str, last: str) -> Column:
@@ -102,82 +149,62 @@ def _mark(row: Column, count: Column, first: str, last: str) -> Column:
     )
 
 
-def _sized(hot: list[Hot], end: str, name: str) -> list[Hot]:
-    """Hot groups of edges by one end, under another name."""
-    return [{name: r[end], "_rows": r["_rows"]} for r in hot]
-
-
-def _hot_keys(name: str, left: dict[str, int], right: dict[str, int]) -> list[Hot]:
-    """Hot join keys from rows per key on either side."""
-    return [
-        {name: k, "_left": left.get(k, 0), "_right": right.get(k, 0)} for k in {**left, **right}
-    ]
-
-
-def _with_labels(
-    edges: DataFrame, labels: DataFrame, hot_src: list[Hot], hot_dst: list[Hot]
-) -> DataFrame:
+def _with_labels(edges: EdgeTables, labels: DataFrame) -> EdgeTables:
     """Edges with ``_src_label`` and ``_dst_label``, such as ``" (25)"``; none for zero."""
     node, count = labels.columns[:2]
     total = labels.groupBy(F.col(node).alias("_node")).agg(F.sum(count).alias("_n"))
-    shown = total.where(F.col("_n") != 0).select(
-        "_node", F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")")).alias("_label")
+    shown = materialize(
+        total.where(F.col("_n") != 0).select(
+            "_node", F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")")).alias("_label")
+        )
     )
-    for end, hot in (("src", hot_src), ("dst", hot_dst)):
-        named = shown.withColumnsRenamed({"_node": end, "_label": f"_{end}_label"})
-        keys = _hot_keys(end, {r[end]: r["_rows"] for r in hot}, {})
-        edges = balanced_join(edges, named, [end], "left", right_unique=True, hot=keys)
-    return materialize(edges)
+
+    def named(table: DataFrame) -> DataFrame:
+        for end in ("src", "dst"):
+            names = shown.withColumnsRenamed({"_node": end, "_label": f"_{end}_label"})
+            table = balanced_join(table, names, [end], "left", right_unique=True)
+        return table
+
+    both = materialize(named(edges.by_src))
+    return EdgeTables(both, both)
 
 
 def _side(
-    edges: DataFrame,
-    focus: DataFrame | None,
-    hot_dst: list[Hot],
-    hot_src: list[Hot],
-    way: str,
-    first: str,
-    last: str,
+    edges: EdgeTables, focus: DataFrame | None, plain: bool, way: str, first: str, last: str
 ) -> DataFrame:
     """One side of the layout, for those that refer to each focus.
 
     A path is numbered from its edges: the paths before its first hop plus the
-    place of its second. Only edges are ever ordered, not the longer table of
-    paths, and the count of paths per focus is a sum of degrees.
+    place of its second, which the edge brings along. How many second hops a first hop has
+    is told by any of them, so nothing is counted again; only first hops are put in
+    order. ``plain`` says that no node is large.
     """
-    has = set(edges.columns)
+    has = set(edges.by_src.columns)
     carried1 = {"_rel": "_rel1", "_src_label": "_label1", "_dst_label": "_label0"}
     carried2 = {"_rel": "_rel2", "_src_label": "_label2"}
     carried1 = {c: n for c, n in carried1.items() if c in has}
     carried2 = {c: n for c, n in carried2.items() if c in has}
-    by_src = {r["src"]: r["_rows"] for r in hot_src}
-    by_dst = {r["dst"]: r["_rows"] for r in hot_dst}
-
-    second = (
-        OrderedGroups(edges.select("src", "dst", *carried2), ["dst"], ["src"], hot_dst)
-        .running({"_place": F.lit(1)}, totals={"_place": "_places"})
-        .done()
-        .withColumnsRenamed({"dst": "hop1", "src": "hop2", **carried2})
+    hot = [] if plain else None
+
+    second = edges.by_dst.select(
+        F.col("dst").alias("hop1"),
+        F.col("src").alias("hop2"),
+        F.col("parent_row").alias("_place"),
+        F.col("parent_count").alias("_places"),
+        *[F.col(c).alias(n) for c, n in carried2.items()],
     )
-    degrees = edges.groupBy(F.col("dst").alias("hop1")).agg(F.count("*").alias("_degree"))
+    degrees = second.where("_place = 1").select("hop1", F.col("_places").alias("_paths"))
     sized = balanced_join(
-        _first_hops(edges, focus, carried1),
-        degrees,
-        ["hop1"],
-        "left",
-        right_unique=True,
-        hot=_hot_keys("hop1", by_src, {}),
-    ).withColumn("_paths", F.coalesce("_degree", F.lit(1)))
+        _first_hops(edges.by_src, focus, carried1), degrees, ["hop1"], "left", right_unique=True, hot=hot
+    ).withColumn("_paths", F.coalesce("_paths", F.lit(1)))
     blocks = (
-        OrderedGroups(sized, ["focus"], ["hop1"], _sized(hot_dst, "dst", "focus"))
+        OrderedGroups(sized, ["focus"], ["hop1"], hot)
         .running({"_end": F.col("_paths")}, totals={"_end": "_count"})
         .done()
         .withColumn("_start", F.col("_end") - F.col("_paths"))
-        .drop("_end", "_paths", "_degree")
-    )
-    paths = balanced_join(
-        blocks, second, ["hop1"], "left", hot=_hot_keys("hop1", by_src, by_dst)
+        .drop("_end", "_paths")
     )
+    paths = balanced_join(blocks, second, ["hop1"], "left", hot=hot)
 
     row = F.col("_start") + F.coalesce("_place", F.lit(1))
     columns = {
@@ -202,8 +229,20 @@ def _labelled(name: str, label: str, rows: DataFrame) -> Column:
     return F.concat(name, F.coalesce(label, F.lit("")))
 
 
+def _named_relation(edges: EdgeTables, relations: str | None) -> EdgeTables:
+    rel = [F.col(relations).alias("_rel")] if relations else []
+    wanted = ["src", "dst", "parent_row", "parent_count", "child_row", "child_count", *rel]
+    return EdgeTables(edges.by_src.select(*wanted), edges.by_dst.select(*wanted))
+
+
+def _has_hub(edges: EdgeTables) -> bool:
+    """Whether any node has more edges than one task takes; the edges tell themselves."""
+    most = edges.by_src.agg(F.greatest(F.max("parent_count"), F.max("child_count"))).first()[0]
+    return (most or 0) > hot_group_rows(edges.by_src.sparkSession)
+
+
 def graph_layout(
-    edges: DataFrame,
+    edges: DataFrame | EdgeTables,
     focus: DataFrame | None = None,
     labels: DataFrame | None = None,
     relations: str | None = None,
@@ -219,17 +258,18 @@ def graph_layout(
 
     ``labels`` (node, count) adds ``" (count)"`` to each name unless the
     count is zero. ``relations`` names an edge column to show for each of the
-    four hops, as ``in2_rel, in1_rel, out1_rel, out2_rel``.
+    four hops, as ``in2_rel, in1_rel, out1_rel, out2_rel``. Edges that are not stored by
+    ``store_edges`` are numbered first.
     """
-    hot_dst, hot_src = hot_groups(edges, ["dst"]), hot_groups(edges, ["src"])
-    rel = [F.col(relations).alias("_rel")] if relations else []
-    edges = edges.select("src", "dst", *rel)
+    if not isinstance(edges, EdgeTables):
+        rel = [relations] if relations else []
+        edges = _by_ends(materialize(edge_ordinals(edges.select("src", "dst", *rel))))
+    stored = _named_relation(edges, relations)
+    plain = not _has_hub(stored)
     if labels is not None:
-        edges = _with_labels(edges, labels, hot_src, hot_dst)
-    into = _side(edges, focus, hot_dst, hot_src, "in", "\\", "/")
-    turned = reversed_edges(edges)
-    dst_of, src_of = _sized(hot_src, "src", "dst"), _sized(hot_dst, "dst", "src")
-    out = _side(turned, focus, dst_of, src_of, "out", "/", "\\")
+        stored = _with_labels(stored, labels)
+    into = _side(stored, focus, plain, "in", "\\", "/")
+    out = _side(stored.reversed(), focus, plain, "out", "/", "\\")
 
     rows = into.join(out, ["focus", "ordinal"], "full")
     name = F.col("focus")

@@ -21,25 +21,87 @@ def all_null(cols: Sequence[str]) -> Column:
     return reduce(lambda a, b: a & b, [F.col(c).isNull() for c in cols])
 
 
-def unique_sets(df: DataFrame, candidates: Iterable[Sequence[str]]) -> DataFrame:
-    """Which column sets are unique over the rows: ``(cols, n_rows, n_distinct, is_unique)``.
+#: Relative error of the sketch, and how many such errors a set must lie below the rows to be thrown out.
+SKETCH_ERROR, SKETCH_MARGIN = 0.02, 10
 
-    Sets are compared without order, so a repeated candidate is tested once;
-    NULLs count as equal. Each set reads its own columns only and is reduced
-    to one counted row per value before the shuffle.
-    """
+
+def _column_sets(df: DataFrame, candidates: Iterable[Sequence[str]]) -> list[tuple[str, ...]]:
+    """The candidates without order or repeats, columns as in the table."""
     position = {c: i for i, c in enumerate(df.columns)}
-    sets = list(dict.fromkeys(tuple(sorted(set(c), key=position.get)) for c in candidates))
+    return list(dict.fromkeys(tuple(sorted(set(c), key=position.get)) for c in candidates))
 
-    def one_set(cols: tuple[str, ...]) -> DataFrame:
-        counted = df.groupBy(*cols).agg(F.count("*").alias("_n"))
-        return counted.agg(
-            F.coalesce(F.sum("_n"), F.lit(0)).alias("n_rows"),
-            F.count("*").alias("n_distinct"),
-            F.coalesce(F.max("_n") == 1, F.lit(True)).alias("is_unique"),
-        ).select(F.lit(";".join(cols)).alias("cols"), "*")
 
-    return reduce(DataFrame.unionByName, [one_set(s) for s in sets])
+def sketched_sets(df: DataFrame, candidates: Iterable[Sequence[str]]) -> DataFrame:
+    """About how many distinct values each column set has: ``(cols, n_rows, estimate)``.
+
+    All sets come from one scan; a sketch per set and task is all that moves.
+    """
+    sets = _column_sets(df, candidates)
+    facts = [
+        F.struct(
+            F.lit(";".join(s)).alias("cols"),
+            F.count("*").alias("n_rows"),
+            F.approx_count_distinct(F.struct(*s), SKETCH_ERROR).alias("estimate"),
+        )
+        for s in sets
+    ]
+    return df.agg(F.array(*facts).alias("_facts")).select(F.inline("_facts"))
+
+
+def unique_sets(df: DataFrame, candidates: Iterable[Sequence[str]], sketch: bool = False) -> DataFrame:
+    """Which column sets are unique over the rows: ``(cols, n_rows, n_distinct, is_unique)``.
+
+    Sets are compared without order, so a repeated candidate is tested once;
+    NULLs count as equal. All sets are counted in one scan by GROUPING SETS, reduced
+    to one counted row per set and value before the shuffle.
+
+    With ``sketch`` a scan before that estimates every set and throws out those that lie ten
+    standard errors below the number of rows, so only sets that may be unique are shuffled.
+    Those thrown out are not unique and have ``n_distinct`` NULL. The scan runs while the query is
+    planned and brings one row per set to the driver.
+    """
+    sets = _column_sets(df, candidates)
+    out: dict[str, int] = {}
+    if sketch:
+        low = F.col("estimate") < F.col("n_rows") * (1 - SKETCH_MARGIN * SKETCH_ERROR)
+        out = {r["cols"]: r["n_rows"] for r in sketched_sets(df, sets).where(low).collect()}
+    names = {s: ";".join(s) for s in sets}
+    tested = [s for s in sets if names[s] not in out]
+    columns = [c for c in df.columns if any(c in s for s in tested)]
+    # In the id of a grouping set a column that is not in it is a one, the first column highest.
+    ids = {s: sum(1 << i for i, c in enumerate(reversed(columns)) if c not in s) for s in tested}
+    none = F.lit(None).cast("long")
+    listed = df.sparkSession.range(1).select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(
+                        F.lit(i).alias("at"),
+                        F.lit(names[s]).alias("cols"),
+                        F.lit(ids.get(s)).cast("long").alias("_id"),
+                        F.lit(out.get(names[s])).cast("long").alias("_rows"),
+                    )
+                    for i, s in enumerate(sets)
+                ]
+            )
+        )
+    )
+    if not tested:
+        return listed.select("cols", F.col("_rows").alias("n_rows"), none.alias("n_distinct"), F.lit(False).alias("is_unique"))
+    counted = df.groupingSets([list(s) for s in tested], *columns).agg(
+        F.grouping_id().cast("long").alias("_id"), F.count("*").alias("_n")
+    )
+    facts = counted.groupBy("_id").agg(
+        F.sum("_n").alias("_sum"), F.count("*").alias("_distinct"), (F.max("_n") <= 1).alias("_unique")
+    )
+    is_out = F.col("_rows").isNotNull()
+    zero = F.lit(0).cast("long")
+    return listed.join(facts, "_id", "left").select(
+        "cols",
+        F.coalesce("_rows", "_sum", zero).alias("n_rows"),
+        F.when(~is_out, F.coalesce("_distinct", zero)).alias("n_distinct"),
+        F.when(is_out, F.lit(False)).otherwise(F.coalesce("_unique", F.lit(True))).alias("is_unique"),
+    )
 
 
 def fk_check(

@@ -7,7 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.plans.groups import Hot, OrderedGroups, hot_groups
+from tablelens.plans.groups import Hot, OrderedGroups
+from tablelens.plans.tables import materialize
 
 PIECE_ITEMS = 10_000
 
@@ -20,7 +21,7 @@ def ordered_list(
     suffix: Column | None = None,
     name: str = "list",
     piece_items: int = PIECE_ITEMS,
-    hot: list[Hot] | None = None,
+    hot: list[Hot] | bool | None = None,
 ) -> DataFrame:
     """Per key the items in the total ``order``, joined by ``", "``.
 
@@ -67,20 +68,19 @@ def collapse_list(
     """Per key the sorted distinct items, or ``ALL`` when they are the full set.
 
     ``full`` lists the full set; unless given it is every item of the table.
-    Repeated items are dropped before the shuffle. The result is
-    ``(*keys, piece, name)`` as in ``ordered_list``.
+    Repeated items are dropped before the shuffle and the pairs of key and item are written,
+    as the size of the groups, the full set and the lists are all asked of them. The
+    result is ``(*keys, piece, name)`` as in ``ordered_list``.
     """
-    pairs = df.select(*keys, item).where(F.col(item).isNotNull()).distinct()
+    pairs = materialize(df.select(*keys, item).where(F.col(item).isNotNull()).distinct())
     if full is None:
         belongs = F.lit(1)
-        size = df.agg(F.count_distinct(item)).scalar()
+        size = pairs.agg(F.count_distinct(item)).scalar()
     else:
         belongs = F.col(item).isin(list(full)).cast("int")
         size = F.lit(len(set(full)))
-    # A key has no more distinct items than rows, and rows are cheaper to look at.
-    hot = hot_groups(pairs, keys) if hot_groups(df, keys) else []
     numbered = (
-        OrderedGroups(pairs, keys, [item], hot)
+        OrderedGroups(pairs, keys, [item])
         .running({"_n": F.lit(1), "_in": belongs}, totals={"_n": "_items", "_in": "_members"})
         .done()
         .withColumn("_item", F.col(item).cast("string"))

@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from tablelens.functions.texts import grouped_digits
 from tablelens.functions.widths import fixed_width, is_sized, row_bytes, quoted
+from tablelens.plans.groups import OrderedGroups
 from tablelens.plans.joins import balanced_join
 
 COLUMNS_PER_PASS = 100
@@ -95,7 +96,10 @@ def sequence_profile(df: DataFrame, col: str) -> DataFrame:
     ``n_missing`` counts absent values between the smallest and the largest,
     (both NULL where a bigint cannot hold them) and ``headroom`` is what the type still holds above the largest.
     """
-    largest = LARGEST[df.schema[col].dataType.simpleString()]
+    kind = df.schema[col].dataType
+    # Of a decimal without places, as far as a bigint reaches.
+    decimal = min(10**kind.precision - 1, LARGEST["bigint"]) if isinstance(kind, T.DecimalType) and not kind.scale else None
+    largest = decimal or LARGEST[kind.simpleString()]
     facts = df.agg(
         F.min(col).cast("long").alias("start_value"),
         F.max(col).cast("long").alias("current_value"),
@@ -146,20 +150,93 @@ def presence_flags(
 
 
 def first_match(
-    left: DataFrame, right: DataFrame, on: Mapping[str, str], order: Sequence[str]
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    order: Sequence[str],
+    prefix: str | None = None,
 ) -> DataFrame:
     """Left rows with at most one right row, the first in a total order.
 
     ``on`` maps left columns to right columns; left rows without a match are
     kept. The right side keeps one row per key before it is shuffled, because
-    the rank filter also runs on the map side.
+    the rank filter also runs on the map side. The columns of the right row other than
+    its keys take the ``prefix``; unless it is given, only those named as a left column
+    do, as ``right_``.
     """
     keys = list(on.values())
     ranked = Window.partitionBy(*keys).orderBy(*order)
+    names = _right_names(left, [c for c in right.columns if c not in keys], prefix)
     first = (
         right.withColumn("_rank", F.row_number().over(ranked))
         .where(F.col("_rank") == 1)
-        .drop("_rank")
-        .withColumnsRenamed({r: l for l, r in on.items()})
+        .select(*[F.col(r).alias(l) for l, r in on.items()], *[F.col(c).alias(n) for c, n in names.items()])
     )
     return balanced_join(left, first, list(on), "left", right_unique=True)
+
+
+def _right_names(left: DataFrame, columns: Sequence[str], prefix: str | None) -> dict[str, str]:
+    taken = {c.lower() for c in left.columns}
+    clash = "right_" if prefix is None else prefix
+    return {c: f"{clash}{c}" if prefix is not None or c.lower() in taken else c for c in columns}
+
+
+def latest_match(
+    left: DataFrame,
+    right: DataFrame,
+    on: Mapping[str, str],
+    at: tuple[str, str],
+    order: Sequence[str] = (),
+    columns: Sequence[str] | None = None,
+    strict: bool = False,
+    after: bool = False,
+    prefix: str | None = None,
+) -> DataFrame:
+    """Left rows with at most one right row: the latest one up to a point in time.
+
+    Of the right rows with equal keys (``on`` maps left columns to right columns) and
+    ``right[at[1]] <= left[at[0]]`` (``<`` if ``strict``) the one with the largest value is
+    taken, of equal ones the last in ``order``, which should make the order total. With
+    ``after`` it is the first right row from that point on. ``at`` may be of any type that
+    has an order. Left rows without such a row, or with NULL in a key or ``at``, are kept.
+    ``columns`` are those wanted of the right side, all but its keys unless given; their
+    names are as in ``first_match``.
+
+    Both sides are put in one order and the last right row is carried along it: one
+    shuffle, no join, and a large key may lie in several tasks.
+    """
+    keys = list(on.values())
+    wanted = list(columns) if columns is not None else [c for c in right.columns if c not in keys]
+    names = _right_names(left, wanted, prefix)
+    first = 1 if strict != after else 0  # at equal points the right row comes first, or last
+    key = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
+    other_key = F.struct(
+        *[F.col(r).cast(left.schema[l].dataType).alias(f"k{i}") for i, (l, r) in enumerate(on.items())]
+    )
+    usable = reduce(lambda a, b: a & b, [F.col(c).isNotNull() for c in (*keys, at[1])])
+    ties = F.struct(F.lit(0).alias("t"), *[F.col(c).alias(f"o{i}") for i, c in enumerate(order)])
+    # A right side without wanted columns still needs a struct that is not NULL.
+    found = F.struct(F.lit(True).alias("met"), *[F.col(c).alias(f"c{i}") for i, c in enumerate(wanted)])
+    mine = left.select(
+        key.alias("_key"),
+        F.col(at[0]).alias("_at"),
+        F.lit(1 - first).alias("_side"),
+        F.xxhash64(*left.columns).alias("_lot"),
+        F.struct("*").alias("_left"),
+    )
+    theirs = right.where(usable).select(
+        other_key.alias("_key"),
+        F.col(at[1]).cast(left.schema[at[0]].dataType).alias("_at"),
+        F.lit(first).alias("_side"),
+        ties.alias("_tie"),
+        found.alias("_right"),
+    )
+    both = mine.unionByName(theirs, allowMissingColumns=True)
+    # The lot lets equal left rows lie in several ranges.
+    carried = OrderedGroups(both, ["_key"], ["_at", "_side", "_tie", "_lot"]).latest("_found", F.col("_right"), not after)
+    rows = carried.done().where(F.col("_left").isNotNull())
+    lacks = reduce(lambda a, b: a | b, [F.col(f"_left.`{c}`").isNull() for c in (*on, at[0])])
+    return rows.select(
+        *[F.col(f"_left.`{c}`").alias(c) for c in left.columns],
+        *[F.when(~lacks, F.col(f"_found.c{i}")).alias(names[c]) for i, c in enumerate(wanted)],
+    )

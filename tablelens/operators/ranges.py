@@ -13,9 +13,13 @@ from pyspark.sql import types as T
 
 from tablelens.functions.widths import row_bytes
 from tablelens.plans.groups import OrderedGroups, position
+from tablelens.plans.joins import balanced_join
+from tablelens.plans.tables import materialize
 
 # Up to here a chain of comparisons, compiled with the scan, beats halving.
 FEW_BOUNDS = 32
+# Boundaries of one bucket, held in one array.
+BUCKET_BOUNDS = 1024
 
 
 def range_partition(
@@ -46,6 +50,57 @@ def range_partition(
     return df.withColumn(name, F.lit(1).cast("long") + F.coalesce(above, F.lit(0)).cast("long"))
 
 
+def range_partition_table(
+    df: DataFrame,
+    col: str,
+    bounds: DataFrame,
+    on: Mapping[str, str],
+    boundary: str = "boundary",
+    right: bool = True,
+    name: str = "part_no",
+) -> DataFrame:
+    """``df`` with the number of the range each row falls in, by a table of boundaries.
+
+    ``bounds`` holds the boundaries of every key, one to a row, in any number; ``on`` maps
+    the key columns of ``df`` to its own (NULL is a key like others). A range is
+    numbered by the boundaries of its key below it, from 1, as in ``range_partition``:
+    NULL values, and rows of a key without boundaries, belong to range 1. NULL boundaries
+    count for nothing, repeated ones each time.
+
+    The boundaries of a key become buckets of at most 1,024 in an array, and the first ones
+    of its buckets are boundaries of a level above, until one bucket per key is left. A
+    row goes down the levels, one equi-join on key and bucket each, and finds its place in
+    an array by halving. A level that is small is broadcast, as its size is known; in a
+    large one hot keys are dealt out.
+    """
+    kind = df.schema[col].dataType
+    keys = [F.col(b).cast(df.schema[c].dataType).alias(f"k{i}") for i, (c, b) in enumerate(on.items())]
+    known = bounds.where(F.col(boundary).isNotNull()).select(
+        F.struct(*keys).alias("_key"), F.col(boundary).cast(kind).alias("_bound")
+    )
+    level = materialize(OrderedGroups(known, ["_key"], ["_bound"]).running({"_n": F.lit(1)}).done())
+    bucket = F.expr(f"(_n - 1) div {BUCKET_BOUNDS}").alias("_bucket")
+    levels = []
+    while True:
+        by_key = level.groupBy("_key", bucket).agg(F.array_sort(F.collect_list("_bound")).alias("_bounds"))
+        levels.append(materialize(by_key))
+        if (level.agg(F.max("_n")).first()[0] or 0) <= BUCKET_BOUNDS:
+            break
+        level = level.where((F.col("_n") - 1) % BUCKET_BOUNDS == 0).select("_key", "_bound", (bucket + 1).alias("_n"))
+
+    own = F.struct(*[F.col(c).alias(f"k{i}") for i, c in enumerate(on)])
+    rows = df.withColumns({"_key": own, "_bucket": F.lit(0).cast("long")})
+    passed = position(F.col("_bounds"), F.col(col), BUCKET_BOUNDS.bit_length(), strict=not right)
+    for below, at in reversed(list(enumerate(levels))):
+        found = balanced_join(rows, at, ["_key", "_bucket"], "left", right_unique=True)
+        count = F.col("_bucket") * BUCKET_BOUNDS + F.coalesce(passed, F.lit(0))
+        # Above the last level the count is that of buckets that begin up to the value;
+        # without any, the first bucket is looked at and passes none.
+        next_bucket = count if below == 0 else F.greatest(count - 1, F.lit(0))
+        rows = found.withColumn("_bucket", next_bucket.cast("long")).drop("_bounds")
+    return rows.withColumn(name, F.col("_bucket") + 1).select(*[c for c in df.columns if c != name], name)
+
+
 def discrete_boundaries(bounds: DataFrame, key: str, boundary: str = "boundary") -> DataFrame:
     """``bounds`` with ``is_discrete``: do its neighbours lie exactly one step away?
 
@@ -175,6 +230,40 @@ def file_storage(df: DataFrame) -> DataFrame:
     )
 
 
+def block_storage(df: DataFrame, part: str) -> DataFrame:
+    """Where the rows of each range lie in the files of a file-based table.
+
+    The result is ``(part, n_rows, n_files, n_blocks, stored_bytes, stored_pct)``, one row per value of
+    ``part`` and one, with ``part`` NULL, for the whole. A block is what one task reads of a
+    file: one row group or several. The stored bytes of a block are shared out over its rows, so a
+    range has the part of each block that its rows are. The total of a table whose blocks all hold rows is the
+    size of its files. ``part`` should not be NULL itself.
+    """
+    names = ("file_path", "file_size", "file_block_start", "file_block_length")
+    block = F.struct(*[F.col(f"_metadata.{n}").alias(n) for n in names])
+    counted = df.select(block.alias("_block"), part).groupBy("_block", part).agg(F.count("*").alias("_n"))
+    counted = materialize(counted)  # a row per block and range: the rows are read once
+    rows = counted.groupBy("_block").agg(F.sum("_n").alias("_rows"))
+    shared = counted.join(rows, "_block")
+    length = F.col("_block.file_block_length") * (F.col("_n") / F.col("_rows"))
+    summed = shared.rollup(part).agg(
+        F.grouping(part).alias("_total"),
+        F.sum("_n").alias("n_rows"),
+        F.count_distinct("_block.file_path").alias("n_files"),
+        F.count_distinct("_block").alias("n_blocks"),
+        F.sum(length).alias("stored_bytes"),
+    )
+    whole = counted.select("_block").distinct().agg(F.sum("_block.file_block_length")).scalar()
+    return summed.select(
+        part,
+        "n_rows",
+        "n_files",
+        "n_blocks",
+        "stored_bytes",
+        F.try_divide(F.col("stored_bytes") * 100, whole).alias("stored_pct"),
+    )
+
+
 Measure = tuple[Callable[[Column], Column], Column]
 
 

@@ -117,13 +117,15 @@ def add_containers(
     """The hits plus one row for each container that is not a hit itself.
 
     A hit without ``child_key`` is a hit on the container. The result is
-    ``(kind, *parent_key, child_key)``. ``hits`` is read twice; pass a
-    materialized table when it is dear to compute.
+    ``(kind, *parent_key, child_key)`` and all other columns of ``hits``, NULL in the rows
+    added. ``hits`` is read twice; pass a materialized table when it is dear to
+    compute. For several levels at once there is ``search_report``.
     """
     parents = as_list(parent_key)
     is_container = F.col(child_key).isNull()
+    others = [c for c in hits.columns if c not in (*parents, child_key)]
     found = hits.select(
-        F.when(is_container, kinds[1]).otherwise(kinds[0]).alias("kind"), *parents, child_key
+        F.when(is_container, kinds[1]).otherwise(kinds[0]).alias("kind"), *parents, child_key, *others
     )
     missing = (
         hits.groupBy(*parents)
@@ -132,7 +134,7 @@ def add_containers(
         .select(
             F.lit(kinds[1]).alias("kind"),
             *parents,
-            F.lit(None).cast(hits.schema[child_key].dataType).alias(child_key),
+            *[F.lit(None).cast(hits.schema[c].dataType).alias(c) for c in (child_key, *others)],
         )
     )
     return found.unionByName(missing)
@@ -150,6 +152,7 @@ def search_outline(
 ) -> DataFrame:
     """Hits as an outline: a row per group, per item, then one per detail.
 
+    A hit without ``detail`` is a hit on the item as a whole: it has the headers only.
     ``item_no`` numbers the items of a group and ``detail_no`` the details of an
     item, both 0 on header rows. ``mark`` names the item on its header row and
     draws a connector on details. ``size_label`` states the lines, else the
@@ -160,7 +163,10 @@ def search_outline(
     columns = list(dict.fromkeys([group, item, detail, *show, *sizes]))
     hot = hot_groups(hits, [group, item])
     details = OrderedGroups(hits.select(*columns), [group, item], [detail], hot)
-    details.running({"detail_no": F.lit(1)}, totals={"detail_no": "_details"})
+    has_detail = F.col(detail).isNotNull()
+    details.running(
+        {"detail_no": has_detail.cast("int"), "_hit": F.lit(1)}, totals={"detail_no": "_details"}
+    )
     items = OrderedGroups(hits.select(group, item).distinct(), [group], [item])
     items.running({"item_no": F.lit(1)})
     # As a struct the key also joins where the group or the item is NULL.
@@ -172,14 +178,14 @@ def search_outline(
         details.done().select("*", key), items.done().select(key, "item_no"), ["_key"], hot=hot_keys
     )
 
-    # The first detail of an item also yields the item's header row, and the
+    # The first hit of an item also yields the item's header row, and the
     # first item of a group the group's, so the headers need no second pass.
-    first_detail = F.col("detail_no") == 1
+    first_hit = F.col("_hit") == 1
     levels = F.array_compact(
         F.array(
-            F.lit("detail"),
-            F.when(first_detail, F.lit("item")),
-            F.when(first_detail & (F.col("item_no") == 1), F.lit("group")),
+            F.when(has_detail, F.lit("detail")),
+            F.when(first_hit, F.lit("item")),
+            F.when(first_hit & (F.col("item_no") == 1), F.lit("group")),
         )
     )
     rows = numbered.withColumn("_level", F.explode(levels))

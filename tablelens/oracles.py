@@ -135,6 +135,44 @@ LAID = """
     )
 )
 
+
+
+def two_hop_sql(way: str, focus: str, also: str = "") -> str:
+    """Hops from the nodes that meet a condition; the second ones come as a list per first."""
+    hub, spoke = ("dst", "src") if way == "in" else ("src", "dst")
+    return f"""
+  select node as focus, hop1, unnest(coalesce(spokes, [null])) as hop2{also}
+  from (select {hub} as node, {spoke} as hop1 from ({EDGES}))
+  left join (select {hub} as hop1, list({spoke}) as spokes from ({EDGES}) group by {hub}) using (hop1)
+  where {focus}"""
+
+
+def key_sets_sql(columns: str) -> str:
+    """The ten column sets of a table, each counted by itself."""
+    sets = [
+        "l_orderkey", "l_orderkey;l_linenumber", "l_orderkey;l_partkey", "l_orderkey;l_partkey;l_suppkey;l_linenumber",
+        "l_partkey;l_suppkey", "l_suppkey;l_shipdate", "l_returnflag;l_linestatus", "l_partkey;l_quantity;l_discount",
+        "l_orderkey;l_suppkey;l_extendedprice", "l_shipdate",
+    ]
+    counted = " union all ".join(unique_sql("lineitem", s) for s in sets)
+    return f"select {columns} from ({counted})"
+
+
+BRAND_RANGES = """
+  select p.*, coalesce(b.n, 0) + 1 as part_no
+  from part p asof left join ({sizes}) b on b.p_brand = p.p_brand and b.p_size <= p.p_size""".format(sizes=SIZES)
+
+BRAND_LABELS = """
+  with b as (select p_brand, p_size, n, is_discrete from ({discrete})),
+  r as (
+    select p_brand, n as part_no, lag(p_size) over w as lo, p_size as hi, is_discrete
+    from b window w as (partition by p_brand order by n)
+    union all select p_brand, max(n) + 1, max(p_size), null, false from b group by p_brand
+  )
+  select p_brand, part_no, case when is_discrete then 'p_size=' || lo
+    else coalesce(lo || ' <= ', '') || 'p_size' || coalesce(' < ' || hi, '') end as label
+  from r""".format(discrete=DISCRETE)
+
 SQL = {
     "like_any": """
   select page_id from pages
@@ -192,6 +230,38 @@ SQL = {
               else '' end as size_label,
          line, line_text
   from r left join documents d using (doc_id)""",
+    "search_report": f"""
+  with h as (
+    select 'documents' as src, 'texts by line' as about, doc_id as parent_id, line as item_no, line_text as snippet,
+           source as origin, length(text) - length(replace(text, chr(10), '')) as lines, null as turns
+    from ({LINES.replace("select doc_id,", "select doc_id, text,")}) where regexp_matches(line_text, 'licen[sc]e', 'i')
+    union all
+    select 'pages', 'web pages', page_id, null, url, null, null, null from pages
+    where regexp_matches(url, '/1[0-4].page|licen[sc]e', 'is') or regexp_matches(html, '/1[0-4].page|licen[sc]e', 'is')
+    union all
+    select 'conversations', 'dialogues', conv_id, turn, text, null, null, n
+    from (select *, count(*) over (partition by conv_id) as n from conversations)
+    where regexp_matches(text, 'tion', 'i')
+  ), r as (
+    select 1 as level, src, null as parent_id, null as item_no, count(*) as n_hits, false as is_hit,
+           null as text, '' as size_label, any_value(about) as about, null as origin from h group by src
+    union all
+    select 2, src, parent_id, null, count(*), bool_or(item_no is null), min(snippet) filter (item_no is null),
+           coalesce(format('{{:,}}', any_value(lines)) || ' lines', format('{{:,}}', any_value(turns)) || ' rows', ''),
+           null, any_value(origin) from h group by src, parent_id
+    union all
+    select 3, src, parent_id, item_no, count(*), true, min(snippet), '', null, null
+    from h where item_no is not null group by src, parent_id, item_no
+  ), o as (
+    select *, row_number() over (partition by level, case when level > 1 then src end, case when level > 2 then parent_id end
+                                 order by src, parent_id, item_no) as ordinal,
+           count(*) over (partition by level, case when level > 1 then src end, case when level > 2 then parent_id end) as siblings
+    from r
+  )
+  select level, src, parent_id, item_no, n_hits, is_hit, ordinal, siblings, size_label, text, about, origin,
+         case when level = 1 then '' when level = 2 then src || '.' || parent_id
+              when ordinal = siblings then '\\' when ordinal = 1 then '/' else '|' end as mark
+  from o""",
     "text_preview": f"""
   with l as ({LINES}),
   f as (
@@ -218,6 +288,13 @@ SQL = {
   select doc_id, min(doc_id) over (partition by text) as root_id,
          row_number() over (partition by text order by doc_id) - 1 as hops, false as cyclic
   from documents""",
+    "alias_hops": """
+  with o as (
+    select o_custkey, o_orderkey, row_number() over w - 1 as hop,
+           first_value(o_orderkey) over w as newest
+    from orders window w as (partition by o_custkey order by o_orderdate desc, o_orderkey desc)
+  )
+  select newest as o_orderkey, hop, o_orderkey as via, false as cyclic from o where hop > 0""",
     "column_profile": " union all ".join(
         [
             column_sql(1, "o_orderkey", "bigint", "8"),
@@ -271,6 +348,27 @@ SQL = {
       partition by l_orderkey
       order by l_linenumber, l_partkey, l_suppkey, l_extendedprice) = 1
   ) l on l_orderkey = o_orderkey""",
+    "latest_match": """
+  with t as (select user_id, ts, max(event_id) filter (event_type = 'error') as last_error from events group by 1, 2),
+  s as (
+    select user_id, ts, last_value(last_error ignore nulls) over (
+      partition by user_id order by ts rows between unbounded preceding and 1 preceding) as error_id
+    from t
+  )
+  select a.event_id, b.event_id as error_event_id, b.ts as error_ts, b.value as error_value
+  from events a join s using (user_id, ts) left join events b on b.event_id = s.error_id""",
+    "latest_match_after": """
+  with t as (
+    select o_custkey, o_orderdate, min(o_orderkey) filter (o_orderstatus = 'F') as first_key from orders group by 1, 2
+  ), s as (
+    select o_custkey, o_orderdate, first_value(first_key ignore nulls) over (
+      partition by o_custkey order by o_orderdate rows between current row and unbounded following) as next_key
+    from t
+  )
+  select a.o_orderkey, b.o_orderkey as next_o_orderkey, b.o_totalprice as next_o_totalprice
+  from orders a join s using (o_custkey, o_orderdate) left join orders b on b.o_orderkey = s.next_key""",
+    "unique_sets_many": key_sets_sql("*"),
+    "unique_sets_sketched": key_sets_sql("cols, n_rows, is_unique"),
     "unique_sets": " union all ".join(
         [
             unique_sql("lineitem", "l_orderkey;l_linenumber"),
@@ -324,18 +422,15 @@ SQL = {
          row_number() over (partition by src order by dst) as child_row,
          count(*) over (partition by src) as child_count
   from e""",
-    "two_hop_in": f"""
-  with e as materialized (select src, dst from ({EDGES}))
-  select near.dst as focus, near.src as hop1, far.src as hop2
-  from e near left join e far on far.dst = near.src""",
-    "two_hop_out": f"""
-  with e as materialized (select src, dst from ({EDGES}))
-  select near.src as focus, near.dst as hop1, far.dst as hop2
-  from e near left join e far on far.src = near.dst""",
-    "two_hop_focus": f"""
-  with e as materialized (select src, dst from ({EDGES}))
-  select near.dst as focus, near.src as hop1, far.src as hop2
-  from nation join e near on near.dst = 'N' || n_nationkey left join e far on far.dst = near.src""",
+    "two_hop_in": two_hop_sql("in", "node[1] in ('R', 'N', 'C', 'P')"),
+    "two_hop_out": two_hop_sql("out", "node[1] in ('O', 'C', 'S', 'N', 'L')"),
+    "two_hop_focus": two_hop_sql("in", "node[1] = 'N'"),
+    "two_hop_stored": two_hop_sql("in", "node[1] = 'C'", ", 'in' as way")
+    + " union all "
+    + two_hop_sql("out", "node[1] = 'C'", ", 'out' as way"),
+    "graph_layout_stored": f"""
+  with e as materialized (select src, dst, null as rel from ({EDGES})), {LAID}
+  select * exclude (in2_rel, in1_rel, out1_rel, out2_rel) from laid where focus[1] in ('C', 'N')""",
     "graph_layout": f"""
   with e as materialized (select src, dst, null as rel from ({EDGES})), {LAID}
   select * exclude (in2_rel, in1_rel, out1_rel, out2_rel) from laid""",
@@ -359,6 +454,24 @@ SQL = {
   select o_orderkey,
          1 + greatest(0, least(499, ceil(o_totalprice / 1000)::bigint - 1)) as part_no
   from orders""",
+    "range_partition_table": f"""
+  select p_partkey, p.p_brand, p.part_no, label
+  from ({BRAND_RANGES}) p left join ({BRAND_LABELS}) l on l.p_brand = p.p_brand and l.part_no = p.part_no""",
+    "range_partition_prices": """
+  select o_orderkey, 1 + count(*) filter (o_orderstatus = 'P') over (
+    partition by o_orderpriority order by o_totalprice range between unbounded preceding and current row exclude group) as part_no
+  from orders""",
+    "storage_by_key": f"""
+  select l.p_brand, l.part_no, label, count(p_partkey) as n_rows,
+         coalesce(sum(case when p_partkey is not null
+           then 20 + strlen(p_name) + strlen(p.p_brand) + strlen(p_type) end), 0)::bigint as bytes
+  from ({BRAND_LABELS}) l left join ({BRAND_RANGES}) p on l.p_brand = p.p_brand and l.part_no = p.part_no
+  group by 1, 2, 3""",
+    "block_storage": f"""
+  select part_no, count(*) as n_rows, 1::bigint as n_files,
+         round(100.0 * count(*) / (select count(*) from orders), 6) as stored_pct
+  from (select 1 + (select count(*) from {YEAR_BOUNDS} where v <= o_orderdate) as part_no from orders)
+  group by rollup (part_no)""",
     "discrete_boundaries": DISCRETE,
     "partition_labels": f"""
   with b as (
@@ -471,6 +584,29 @@ SQL = {
   )
   select c_custkey, scope, 0::bigint as piece, string_agg(rule, ', ' order by rule) as rules
   from m group by 1, 2""",
+    "scoped_rules_by_state": """
+  with words(state, word, option) as (
+    values ('D', 'DENY', ''), ('G', 'GRANT', ''), ('W', 'GRANT', 'WITH GRANT OPTION')
+  ), r as (
+    select distinct * from (
+      select 'customer' as scope, o_custkey as key, o_orderpriority as rule, translate(o_orderstatus, 'FOP', 'DGW') as state
+      from orders
+      union all
+      select case when s_suppkey % 2 = 0 then 'nation' else 'region' end,
+             case when s_suppkey % 2 = 0 then n_nationkey else n_regionkey end, 'S' || s_suppkey % 7,
+             case when s_acctbal < 0 then 'D' when s_acctbal < 5000 then 'G' else 'W' end
+      from supplier join nation on s_nationkey = n_nationkey
+      union all select 'db', null, r_name, 'G' from region
+    )
+  ), places as (
+    select c_custkey, 'db' as scope, null as key from customer
+    union all select c_custkey, 'customer', c_custkey from customer
+    union all select c_custkey, 'nation', c_nationkey from customer
+    union all select c_custkey, 'region', n_regionkey from customer join nation on c_nationkey = n_nationkey
+  )
+  select c_custkey, p.scope, word, option, 0::bigint as piece, string_agg(rule, ', ' order by rule) as rules
+  from places p join r on r.scope = p.scope and r.key is not distinct from p.key join words using (state)
+  group by 1, 2, 3, 4""",
     "name_audit": """
   with n as (
     select distinct p_name as name from part
@@ -493,4 +629,6 @@ SQL |= {
     "runs_divided": SQL["runs"],
     "ordered_list_divided": SQL["ordered_list"],
     "two_hop_divided": SQL["two_hop_in"],
+    "latest_match_divided": SQL["latest_match"],
+    "range_partition_divided": SQL["range_partition_prices"],
 }

@@ -63,6 +63,12 @@ def hot_groups(df: DataFrame, keys: Sequence[str]) -> list[Hot]:
     return bounded(group_sizes(df, keys), keys, F.col("_rows"))
 
 
+def outgrown(df: DataFrame, keys: Sequence[str]) -> bool:
+    """Whether a group is too large for one task, by the estimated sizes."""
+    most = group_sizes(df, keys).agg(F.max("_rows")).first()[0]
+    return (most or 0) > hot_group_rows(df.sparkSession)
+
+
 def bounded(counted: DataFrame, keys: Sequence[str], rows: Column) -> list[Hot]:
     """The keys with more rows than one task takes. Should their list outgrow its
     bytes, larger keys only: the others are left to the skewed join of adaptive
@@ -122,7 +128,7 @@ class OrderedGroups:
     """Rows of ``df`` grouped by ``keys`` in ``order`` (ascending, NULLs first).
 
     The order must be total within a group for results to be determined.
-    ``hot`` may pass the hot groups in when they are already known.
+    ``hot`` tells whether there are hot groups when that is already known.
     """
 
     def __init__(
@@ -130,10 +136,10 @@ class OrderedGroups:
         df: DataFrame,
         keys: Sequence[str],
         order: Sequence[str],
-        hot: list[Hot] | None = None,
+        hot: list[Hot] | bool | None = None,
     ):
         self.keys, self.order = list(keys), list(order)
-        self.is_split = self._outgrown(df) if hot is None else bool(hot)
+        self.is_split = outgrown(df, self.keys) if hot is None else bool(hot)
         self.rows = Arranged(df, self.keys, self.order).table if self.is_split else df
         self.by = [*self.keys, PART] if self.is_split else self.keys
         self.window = Window.partitionBy(*self.by).orderBy(*self.order)
@@ -190,13 +196,27 @@ class OrderedGroups:
         self.rows = rows.withColumn(name, F.coalesce(inside, F.col("_carried"))).drop("_carried")
         return self
 
+    def latest(self, name: str, value: Column, before: bool = True) -> OrderedGroups:
+        """Add ``name``, the last value of the group up to the row that is not NULL (or the
+        first from the row on); NULL where there is none."""
+        pick, edge = (F.last, F.max_by) if before else (F.first, F.min_by)
+        ends = (Window.unboundedPreceding, Window.currentRow) if before else (Window.currentRow, Window.unboundedFollowing)
+        inside = pick(value, ignorenulls=True).over(self.window.rowsBetween(*ends))
+        if not self.is_split:
+            self.rows = self.rows.withColumn(name, inside)
+            return self
+        place = F.when(value.isNotNull(), F.struct(*self.order))
+        chunks = self._chunks([edge(value, place).alias("_edge")])
+        others = (Window.unboundedPreceding, -1) if before else (1, Window.unboundedFollowing)
+        order = Window.partitionBy(*self.keys).orderBy(PART).rowsBetween(*others)
+        carried = chunks.select(*self.by, pick("_edge", ignorenulls=True).over(order).alias("_carried"))
+        rows = join_small(self.rows, carried, self.by, "left")
+        self.rows = rows.withColumn(name, F.coalesce(inside, F.col("_carried"))).drop("_carried")
+        return self
+
     def done(self) -> DataFrame:
         return self.rows.drop(PART)
 
-    def _outgrown(self, df: DataFrame) -> bool:
-        most = group_sizes(df, self.keys).agg(F.max("_rows")).first()[0]
-        return (most or 0) > hot_group_rows(df.sparkSession)
-
     def _chunks(self, measures: list[Column]) -> DataFrame:
         """One row per range of a group that lies in several: at most two per range,
         as all groups in it but the first and the last are whole."""

@@ -7,13 +7,15 @@ from __future__ import annotations
 
 import datetime as dt
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 import tablelens as tl
 from tablelens.functions.texts import line_breaks
-from tablelens.plans.groups import HOT_GROUP_ROWS, OrderedGroups, hot_groups
+from tablelens.functions.widths import row_bytes
+from tablelens.plans.groups import HOT_GROUP_ROWS, OrderedGroups, outgrown
 from tablelens.sources.tables import Tables
 
 LICENCE = "licen[sc]e"
@@ -74,6 +76,35 @@ def search_outline(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def search_report(spark: SparkSession, folder: str) -> DataFrame:
+    """Lines of documents, pages as a whole and turns of conversations in one report."""
+    t = Tables(spark, folder)
+
+    def hits(df: DataFrame, src: str, about: str, parent: str, item: str, text: str, **more: F.Column) -> DataFrame:
+        nothing = {"origin": F.lit(None).cast("string"), "lines": F.lit(None).cast("long"), "turns": F.lit(None).cast("long")}
+        columns = {"parent_id": F.col(parent), "item_no": F.expr(item).cast("long"), "snippet": F.col(text)} | nothing | more
+        return df.select(F.lit(src).alias("src"), F.lit(about).alias("about"), *[c.alias(n) for n, c in columns.items()])
+
+    sized = t("documents").withColumn("n_breaks", line_breaks(F.col("text")))
+    lines = tl.grep_lines(sized, "doc_id", "text", LICENCE, keep=["source", "n_breaks"])
+    pages = tl.like_any(t("pages"), ["url", "html"], ["/1[0-4]_page", LICENCE])
+    turns = tl.like_any(t("conversations"), "text", "tion")
+    lengths = t("conversations").groupBy("conv_id").agg(F.count("*").alias("n_turns"))
+    found = [
+        hits(lines, "documents", "texts by line", "doc_id", "line", "line_text", origin=F.col("source"), lines=F.col("n_breaks")),
+        hits(pages, "pages", "web pages", "page_id", "NULL", "url"),
+        hits(turns.join(lengths, "conv_id"), "conversations", "dialogues", "conv_id", "turn", "text", turns=F.col("n_turns")),
+    ]
+    return tl.search_report(
+        found[0].unionByName(found[1]).unionByName(found[2]),
+        ["src", "parent_id", "item_no"],
+        "snippet",
+        {"src": ["about"], "parent_id": ["origin"]},
+        line_count="lines",
+        row_count="turns",
+    )
+
+
 def text_preview(spark: SparkSession, folder: str) -> DataFrame:
     return tl.text_preview(Tables(spark, folder)("documents"), "doc_id", "text", max_lines=5)
 
@@ -105,6 +136,18 @@ def resolve_aliases(spark: SparkSession, folder: str) -> DataFrame:
     return resolved.withColumnRenamed("root", "root_id")
 
 
+def alias_hops(spark: SparkSession, folder: str) -> DataFrame:
+    """From the latest order of every customer back to the first, order by order."""
+    orders = Tables(spark, folder)("orders")
+    chained = OrderedGroups(orders, ["o_custkey"], ["o_orderdate", "o_orderkey"])
+    chained.neighbour("before", F.col("o_orderkey")).neighbour("next", F.col("o_orderkey"), before=False)
+    aliases = tl.materialize(
+        chained.done().select("o_orderkey", F.col("before.v").alias("target"), F.col("next").isNull().alias("newest"))
+    )
+    newest = aliases.where("newest").select("o_orderkey")
+    return tl.alias_hops(aliases, "o_orderkey", "target", newest)
+
+
 def column_profile(spark: SparkSession, folder: str) -> DataFrame:
     priority = F.nullif(F.col("o_orderpriority"), F.lit("5-LOW"))
     orders = Tables(spark, folder)("orders").withColumn("o_orderpriority", priority)
@@ -156,6 +199,54 @@ def first_match(spark: SparkSession, folder: str) -> DataFrame:
     return found.select("o_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
 
 
+def latest_match(spark: SparkSession, folder: str) -> DataFrame:
+    """The last error of the same user before each event."""
+    events = Tables(spark, folder)("events")
+    errors = events.where(F.col("event_type") == "error")
+    found = tl.latest_match(
+        events.select("event_id", "user_id", "ts"), errors, {"user_id": "user_id"}, ("ts", "ts"), ["event_id"],
+        columns=["event_id", "ts", "value"], strict=True, prefix="error_",
+    )
+    return found.select("event_id", "error_event_id", "error_ts", "error_value")
+
+
+def latest_match_after(spark: SparkSession, folder: str) -> DataFrame:
+    """The first finished order of the customer from the day of each order on."""
+    orders = Tables(spark, folder)("orders")
+    finished = orders.where(F.col("o_orderstatus") == "F")
+    found = tl.latest_match(
+        orders.select("o_orderkey", "o_custkey", "o_orderdate"), finished, {"o_custkey": "o_custkey"},
+        ("o_orderdate", "o_orderdate"), ["o_orderkey"], columns=["o_orderkey", "o_totalprice"], after=True, prefix="next_",
+    )
+    return found.select("o_orderkey", "next_o_orderkey", "next_o_totalprice")
+
+
+KEY_CANDIDATES = [
+    ["l_orderkey"],
+    ["l_orderkey", "l_linenumber"],
+    ["l_linenumber", "l_orderkey"],
+    ["l_orderkey", "l_partkey"],
+    ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber"],
+    ["l_partkey", "l_suppkey"],
+    ["l_suppkey", "l_shipdate"],
+    ["l_returnflag", "l_linestatus"],
+    ["l_partkey", "l_quantity", "l_discount"],
+    ["l_orderkey", "l_suppkey", "l_extendedprice"],
+    ["l_shipdate"],
+]
+
+
+def unique_sets_many(spark: SparkSession, folder: str) -> DataFrame:
+    """Ten different column sets in one scan."""
+    return tl.unique_sets(Tables(spark, folder)("lineitem"), KEY_CANDIDATES)
+
+
+def unique_sets_sketched(spark: SparkSession, folder: str) -> DataFrame:
+    """The same, where only sets that may be unique are counted exactly."""
+    found = tl.unique_sets(Tables(spark, folder)("lineitem"), KEY_CANDIDATES, sketch=True)
+    return found.select("cols", "n_rows", "is_unique")
+
+
 def unique_sets(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     lines = tl.unique_sets(
@@ -242,12 +333,42 @@ def edge_ordinals(spark: SparkSession, folder: str) -> DataFrame:
     return tl.edge_ordinals(written_edges(spark, folder).drop("flag"))
 
 
+def nodes(spark: SparkSession, folder: str, *ends: tuple[str, str, str]) -> DataFrame:
+    """All rows of some tables as nodes: the letter, table and key of each."""
+    t = Tables(spark, folder)
+    named = [t(table).select(F.concat(F.lit(letter), F.col(key)).alias("node")) for letter, table, key in ends]
+    return reduce(DataFrame.unionByName, named)
+
+
+REFERRED = [("R", "region", "r_regionkey"), ("N", "nation", "n_nationkey"), ("C", "customer", "c_custkey"), ("P", "part", "p_partkey")]
+REFERRING = [
+    ("O", "orders", "o_orderkey"), ("C", "customer", "c_custkey"), ("S", "supplier", "s_suppkey"),
+    ("N", "nation", "n_nationkey"), ("L", "orders", "o_orderkey"),
+]
+
+
 def two_hop_in(spark: SparkSession, folder: str) -> DataFrame:
-    return tl.two_hop_in(written_edges(spark, folder))
+    """Who refers to every region, nation, customer and part, and who to them."""
+    return tl.two_hop_in(written_edges(spark, folder), nodes(spark, folder, *REFERRED))
 
 
 def two_hop_out(spark: SparkSession, folder: str) -> DataFrame:
-    return tl.two_hop_out(written_edges(spark, folder))
+    """What every order, its lines, customer, supplier and nation refer to, and what those do."""
+    return tl.two_hop_out(written_edges(spark, folder), nodes(spark, folder, *REFERRING))
+
+
+def two_hop_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """Both ways from every customer, on edges stored by their ends."""
+    edges = tl.store_edges(build_edges(spark, folder))
+    customers = nodes(spark, folder, ("C", "customer", "c_custkey"))
+    into = tl.two_hop_in(edges, customers).withColumn("way", F.lit("in"))
+    return into.unionByName(tl.two_hop_out(edges, customers).withColumn("way", F.lit("out")))
+
+
+def graph_layout_stored(spark: SparkSession, folder: str) -> DataFrame:
+    """The surroundings of every customer and nation, on edges stored by their ends."""
+    focus = nodes(spark, folder, ("C", "customer", "c_custkey"), ("N", "nation", "n_nationkey"))
+    return tl.graph_layout(tl.store_edges(build_edges(spark, folder)), focus)
 
 
 def two_hop_focus(spark: SparkSession, folder: str) -> DataFrame:
@@ -285,6 +406,46 @@ def range_partition_many(spark: SparkSession, folder: str) -> DataFrame:
     return parted.select("o_orderkey", "part_no")
 
 
+def range_partition_table(spark: SparkSession, folder: str) -> DataFrame:
+    """Every part in the range of its size among the sizes of its own brand, with its label."""
+    parts = Tables(spark, folder)("part")
+    bounds = tl.materialize(size_bounds(spark, folder))
+    parted = tl.range_partition_table(parts, "p_size", bounds, {"p_brand": "p_brand"}, "p_size")
+    labels = tl.partition_labels(bounds, "p_brand", "n", "p_size", "p_size")
+    return parted.join(labels, ["p_brand", "part_no"], "left").select("p_partkey", "p_brand", "part_no", "label")
+
+
+def range_partition_prices(spark: SparkSession, folder: str) -> DataFrame:
+    """Every order among the prices of all pending orders of its priority, closed above."""
+    orders = Tables(spark, folder)("orders")
+    bounds = orders.where(F.col("o_orderstatus") == "P").select("o_orderpriority", "o_totalprice")
+    on = {"o_orderpriority": "o_orderpriority"}
+    parted = tl.range_partition_table(orders, "o_totalprice", bounds, on, "o_totalprice", right=False)
+    return parted.select("o_orderkey", "part_no")
+
+
+def storage_by_key(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows and bytes of every range of every brand, ranges without parts included."""
+    parts = Tables(spark, folder)("part")
+    bounds = tl.materialize(size_bounds(spark, folder))
+    parted = tl.range_partition_table(parts, "p_size", bounds, {"p_brand": "p_brand"}, "p_size")
+    width = row_bytes(parts)
+    stored = parted.groupBy("p_brand", "part_no").agg(F.count("*").alias("n_rows"), F.sum(width).alias("bytes"))
+    labels = tl.partition_labels(bounds, "p_brand", "n", "p_size", "p_size")
+    none = F.lit(0).cast("long")
+    return labels.join(stored, ["p_brand", "part_no"], "left").select(
+        "p_brand", "part_no", "label", F.coalesce("n_rows", none).alias("n_rows"), F.coalesce("bytes", none).alias("bytes")
+    )
+
+
+def block_storage(spark: SparkSession, folder: str) -> DataFrame:
+    """Rows of each range of order dates, and its share of the stored bytes."""
+    orders = Tables(spark, folder)("orders")
+    parted = tl.range_partition(orders, "o_orderdate", YEAR_STARTS)
+    stored = tl.block_storage(parted, "part_no")
+    return stored.select("part_no", "n_rows", "n_files", F.round("stored_pct", 6).alias("stored_pct"))
+
+
 def size_bounds(spark: SparkSession, folder: str) -> DataFrame:
     """Every size of a brand's parts, numbered, as its boundaries."""
     sizes = Tables(spark, folder)("part").select("p_brand", "p_size").distinct()
@@ -360,7 +521,7 @@ def runs(spark: SparkSession, folder: str) -> DataFrame:
 
 def run_lists(spark: SparkSession, folder: str) -> DataFrame:
     events = Tables(spark, folder)("events")
-    hot = hot_groups(events, ["user_id"])
+    hot = outgrown(events, ["user_id"])
     found = tl.runs(events, ["user_id"], ["ts", "event_id"], "event_type", hot=hot)
     # A user has no more runs than events: without hot users no list is hot either.
     return tl.run_lists(found, ["user_id"], "event_type", skip="view", hot=None if hot else [])
@@ -403,6 +564,29 @@ def scoped_rules(spark: SparkSession, folder: str) -> DataFrame:
     return tl.scoped_rules(rules, customers, "c_custkey", scopes)
 
 
+def scoped_rules_by_state(spark: SparkSession, folder: str) -> DataFrame:
+    """Rules stated by the tables at four scopes, listed per customer, state and option.
+
+    A priority that the customer, a supplier of the nation or region, or anyone ordered at is
+    the rule, and the state letter follows from the status of the order or the balance of the supplier.
+    """
+    t = Tables(spark, folder)
+    letter = F.translate("o_orderstatus", "FOP", "DGW")
+    owned = t("orders").select(F.lit("customer").alias("scope"), F.col("o_custkey").alias("key"), "o_orderpriority", letter.alias("state"))
+    balance = F.when(F.col("s_acctbal") < 0, "D").when(F.col("s_acctbal") < 5000, "G").otherwise("W")
+    supplied = t("supplier").join(t("nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    flag = F.when(F.col("s_suppkey") % 2 == 0, "nation").otherwise("region")
+    place = F.when(F.col("s_suppkey") % 2 == 0, F.col("n_nationkey")).otherwise(F.col("n_regionkey"))
+    local = supplied.select(flag.alias("scope"), place.cast("long").alias("key"), F.concat(F.lit("S"), F.col("s_suppkey") % 7).alias("o_orderpriority"), balance.alias("state"))
+    common = t("region").select(F.lit("db").alias("scope"), F.lit(None).cast("long").alias("key"), F.col("r_name"), F.lit("G").alias("state"))
+    stated = owned.union(local).union(common).distinct().withColumn("s", tl.state_words(F.col("state")))
+    rules = stated.select("scope", "key", F.col("o_orderpriority").alias("rule"), F.col("s.word").alias("word"), F.col("s.option").alias("option"))
+    nations = t("nation").withColumnRenamed("n_nationkey", "c_nationkey")
+    customers = t("customer").join(nations, "c_nationkey", "left")
+    scopes = {"db": None, "region": "n_regionkey", "nation": "c_nationkey", "customer": "c_custkey"}
+    return tl.scoped_rules(rules, customers, "c_custkey", scopes, by=["word", "option"])
+
+
 def name_audit(spark: SparkSession, folder: str) -> DataFrame:
     t = Tables(spark, folder)
     names = (
@@ -444,16 +628,22 @@ QUERIES = {
         search_union,
         add_containers,
         search_outline,
+        search_report,
         text_preview,
         header_sections,
         resolve_aliases,
+        alias_hops,
         column_profile,
         table_summary,
         sequence_profile,
         filtered_counts,
         presence_flags,
         first_match,
+        latest_match,
+        latest_match_after,
         unique_sets,
+        unique_sets_many,
+        unique_sets_sketched,
         fk_check,
         fk_check_composite,
         relationship_cardinality,
@@ -462,25 +652,34 @@ QUERIES = {
         two_hop_in,
         two_hop_out,
         two_hop_focus,
+        two_hop_stored,
         graph_layout,
         graph_layout_labels,
+        graph_layout_stored,
         range_partition,
         range_partition_many,
+        range_partition_table,
+        range_partition_prices,
+        storage_by_key,
         discrete_boundaries,
         partition_labels,
         partition_storage,
         storage_report,
         file_storage,
+        block_storage,
         state_pivot,
         runs,
         run_lists,
         ordered_list,
         collapse_list,
         scoped_rules,
+        scoped_rules_by_state,
         name_audit,
     ]
 } | {
     "runs_divided": divided(runs, 3),
     "ordered_list_divided": divided(ordered_list, 3),
     "two_hop_divided": divided(two_hop_in, 20),
+    "latest_match_divided": divided(latest_match, 20),
+    "range_partition_divided": divided(range_partition_prices, 1000),
 }

@@ -3,7 +3,7 @@ import random
 import pytest
 from conftest import rows
 
-from tablelens import resolve_aliases
+from tablelens import alias_hops, resolve_aliases
 
 
 def follow(links):
@@ -51,3 +51,40 @@ def test_roots_are_no_aliases(spark):
     got = solve(spark, links)
     assert got == follow(links)
     assert all(links.get(root) is None for _, root, _, cyclic in got if not cyclic)
+
+
+def ways(links, wanted=None):
+    out = []
+    for start in links if wanted is None else wanted & links.keys():
+        at, seen, way = start, {start}, []
+        while links.get(at) is not None and links[at] not in seen:
+            at = links[at]
+            seen.add(at)
+            way.append(at)
+        cyclic = links.get(at) is not None
+        out += [(start, n, via, cyclic) for n, via in enumerate(way, 1)]
+    return sorted(out, key=repr)
+
+
+def listed(spark, links, wanted=None):
+    df = spark.createDataFrame(list(links.items()), "id long, target long")
+    ids = None if wanted is None else spark.createDataFrame([(i,) for i in wanted], "name long")
+    return rows(alias_hops(df, ids=ids))
+
+
+def test_hops_of_chains_and_cycles(spark, either):
+    links = {1: None, 2: 1, 3: 2, 4: 3, 5: 6, 6: 5, 7: 5, 8: 99, 9: 8, 10: 10, 11: 10, 20: 21, 21: 22, 22: 23, 23: 24, 24: 20, 25: 20}
+    assert listed(spark, links) == ways(links)
+    assert listed(spark, links, {4, 7, 1, 1000, 25}) == ways(links, {4, 7, 1, 1000, 25})
+
+
+def test_hops_of_random_links(spark):
+    dice = random.Random(3)
+    links = {i: dice.choice([None, *range(60)]) if i % 9 else None for i in range(50)}
+    assert listed(spark, links) == ways(links)
+
+
+def test_hops_of_one_long_chain(spark):
+    links = {i: i - 1 if i else None for i in range(70)}
+    assert sorted(listed(spark, links, {69})) == [(69, n, 69 - n, False) for n in range(1, 70)]
+    assert listed(spark, {1: None}) == [] == listed(spark, {})
