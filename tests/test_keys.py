@@ -54,3 +54,23 @@ def test_cardinality_of_composite_and_several(spark):
     unique = tl.Reference("c", "p", df.where("a = 2"), ["a"])
     out = tl.relationship_cardinality([both, second, unique])
     assert rows(out) == [("c", "p", True, True, "°−¹")]
+
+
+def test_all_sets_come_from_one_scan(spark):
+    lines = spark.read.parquet("/root/testdata/sf0.001/lineitem.parquet")
+    sets = [["l_orderkey"], ["l_partkey", "l_suppkey"], ["l_orderkey", "l_linenumber"]]
+    for df in (tl.unique_sets(lines, sets), tl.sketched_sets(lines, sets)):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1
+
+
+def test_sketch_throws_out_only_what_is_far_from_unique(spark):
+    df = spark.range(5000).selectExpr("id", "id % 4990 AS nearly", "id % 10 AS few", "IF(id > 3, NULL, id) AS nulls")
+    sets = [["id"], ["nearly"], ["few"], ["nulls"], ["few", "id"]]
+    exact = {r.cols: r for r in tl.unique_sets(df, sets).collect()}
+    found = {r.cols: r for r in tl.unique_sets(df, sets, sketch=True).collect()}
+    assert {c: (r.n_rows, r.is_unique) for c, r in found.items()} == {c: (r.n_rows, r.is_unique) for c, r in exact.items()}
+    assert {c for c, r in found.items() if r.n_distinct is None} == {"few", "nulls"}
+    assert exact["nulls"].n_distinct == 5 and found["nearly"].n_distinct == 4990
+    assert rows(tl.unique_sets(df.select("few"), [["few"]], sketch=True)) == [("few", 5000, None, False)]
+    assert rows(tl.unique_sets(df.where("id < 0"), [["few"]], sketch=True)) == [("few", 0, 0, True)]

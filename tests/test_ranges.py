@@ -118,3 +118,28 @@ def test_state_pivot(spark):
     out = tl.state_pivot(df, ["k"], "s", {"o": "open", "c": "closed"}, {"n": (F.count, F.lit(1)), "v": (F.sum, F.col("v"))})
     assert out.columns == ["k", "n_open", "n_closed", "v_open", "v_closed"]
     assert rows(out) == [(1, 2, 0, 11, None), (2, 0, 1, None, None)]
+
+
+def test_bytes_of_nested_columns(spark):
+    df = spark.createDataFrame(
+        [(1, (2, "ab"), ["x", None, "yz"], {"k": [1, 2]}, [1, 2, 3]), (1, None, None, None, None)],
+        "p int, s struct<a: int, b: string>, t array<string>, m map<string, array<bigint>>, f array<int>",
+    )
+    # 4 + 2, 1 + 0 + 2, 1 + 16 and 12; nothing in a NULL.
+    assert rows(tl.partition_storage(df, "p").select("n_rows", "bytes")) == [(2, 6 + 3 + 17 + 12)]
+
+
+def test_blocks_of_files(spark, tmp_path):
+    place = str(tmp_path / "t")
+    spark.range(4000).selectExpr("id", "id % 3 AS k", "sha2(string(id), 256) AS s").repartition(4).write.parquet(place)
+    got = {r.k: r for r in tl.block_storage(spark.read.parquet(place), "k").collect()}
+    size = sum(p.stat().st_size for p in (tmp_path / "t").glob("*.parquet"))
+    assert {k: (r.n_rows, r.n_files) for k, r in got.items()} == {0: (1334, 4), 1: (1333, 4), 2: (1333, 4), None: (4000, 4)}
+    assert got[None].stored_bytes == pytest.approx(size) and got[None].stored_pct == pytest.approx(100)
+    assert sum(got[k].stored_bytes for k in (0, 1, 2)) == pytest.approx(size)
+
+
+def test_sequence_of_decimals_without_places(spark):
+    df = spark.sql("SELECT cast(col1 AS decimal(5,0)) AS d, cast(col1 AS decimal(30,0)) AS w FROM VALUES (1), (3), (7)")
+    assert tl.sequence_profile(df, "d").first().headroom == 99_992
+    assert tl.sequence_profile(df, "w").first().headroom == 2**63 - 8
