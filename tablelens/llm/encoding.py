@@ -2,7 +2,8 @@
 
 A text is cut where one blank stands between two non-blank characters. The
 pre-tokenizer of such files never matches across that place, so the pieces
-encode on their own, and equal pieces, which most are, only once per worker.
+encode on their own, and equal pieces, which most are, only once per worker. A text
+that holds the string of an added token goes to the library whole, which makes it that token.
 """
 
 from __future__ import annotations
@@ -32,7 +33,7 @@ class TextEncoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.library.encode_special_tokens = True  # their strings are ordinary text
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # What the cut relies on; other files are encoded whole.
         self.cuts = self.library.encode("a b,").tokens == ["a", "Ġb", ","]
         self.known: dict[str, bytes] = {}  # by piece, with the blank before it left out
@@ -98,6 +99,11 @@ class TextEncoder:
         """Ids of each text as little-endian unsigned 32-bit integers."""
         if not self.cuts:
             return [np.frombuffer(b, "<u4") for b in self._library_ids(texts)]
+        odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
+        if odd:
+            whole = dict(zip(odd, self._library_ids([texts[i] for i in odd]), strict=True))
+            rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
+            return [np.frombuffer(whole[i], "<u4") if i in whole else next(rest) for i in range(len(texts))]
         cut = [_cut(t) for t in texts]
         heads = self._library_ids([c[0] for c in cut])
         found = [list(map(self.known.get, c)) for c in cut]

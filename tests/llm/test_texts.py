@@ -243,7 +243,6 @@ def test_edited_texts(documents):
 def test_packing_loses_nothing(documents):
     rows = [*corpus(), *[t for t in ODD if t[0] is None]]
     library = Tokenizer.from_file(JSON)
-    library.encode_special_tokens = True
     limits = Limits(tokens=256, segments=4, loss_tokens=200, open_sequences=8)
     pieces = pack_documents(documents(*rows), JSON, limits=limits).toPandas()
     for i, text in rows:
