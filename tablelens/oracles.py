@@ -428,6 +428,20 @@ SQL = {
     "two_hop_stored": two_hop_sql("in", "node[1] = 'C'", ", 'in' as way")
     + " union all "
     + two_hop_sql("out", "node[1] = 'C'", ", 'out' as way"),
+    "graph_layout_cardinality": f"""
+  with k(child, parent, key) as (
+    select 'O', 'C', o_custkey from orders union all select 'C', 'N', c_nationkey from customer
+    union all select 'S', 'N', s_nationkey from supplier union all select 'N', 'R', n_regionkey from nation
+    union all select 'L', 'P', l_partkey from lineitem
+  ), g as (select child, parent, key, count(*) as c from k group by all),
+  signs as (
+    select child, parent, (case when bool_or(key is null) then chr(176) else chr(185) end)
+           || (case when max(c) = 1 then '' else chr(8734) end) || chr(8722) || chr(185) as sign
+    from g group by all
+  ), e as materialized (
+    select src, dst, sign as rel from ({EDGES}) join signs on child = src[1] and parent = dst[1]
+  ), {LAID}
+  select * from laid where focus[1] in ('C', 'R')""",
     "graph_layout_stored": f"""
   with e as materialized (select src, dst, null as rel from ({EDGES})), {LAID}
   select * exclude (in2_rel, in1_rel, out1_rel, out2_rel) from laid where focus[1] in ('C', 'N')""",

@@ -365,6 +365,23 @@ def two_hop_stored(spark: SparkSession, folder: str) -> DataFrame:
     return into.unionByName(tl.two_hop_out(edges, customers).withColumn("way", F.lit("out")))
 
 
+def graph_layout_cardinality(spark: SparkSession, folder: str) -> DataFrame:
+    """The surroundings of every customer and region, each hop with the sign of its reference."""
+    t = Tables(spark, folder)
+    references = [
+        tl.Reference("O", "C", t("orders"), ["o_custkey"]),
+        tl.Reference("C", "N", t("customer"), ["c_nationkey"]),
+        tl.Reference("S", "N", t("supplier"), ["s_nationkey"]),
+        tl.Reference("N", "R", t("nation"), ["n_regionkey"]),
+        tl.Reference("L", "P", t("lineitem"), ["l_partkey"]),
+    ]
+    signs = tl.relationship_cardinality(references).select("child", "parent", F.col("label").alias("sign"))
+    ends = {"child": F.substring("src", 1, 1), "parent": F.substring("dst", 1, 1)}
+    edges = build_edges(spark, folder).withColumns(ends).join(signs, ["child", "parent"])
+    focus = nodes(spark, folder, ("C", "customer", "c_custkey"), ("R", "region", "r_regionkey"))
+    return tl.graph_layout(tl.materialize(edges.select("src", "dst", "sign")), focus, relations="sign")
+
+
 def graph_layout_stored(spark: SparkSession, folder: str) -> DataFrame:
     """The surroundings of every customer and nation, on edges stored by their ends."""
     focus = nodes(spark, folder, ("C", "customer", "c_custkey"), ("N", "nation", "n_nationkey"))
@@ -655,6 +672,7 @@ QUERIES = {
         two_hop_stored,
         graph_layout,
         graph_layout_labels,
+        graph_layout_cardinality,
         graph_layout_stored,
         range_partition,
         range_partition_many,

@@ -31,15 +31,22 @@ def test_agrees_with_sql(spark, ducks, name):
     "name",
     [
         "search_outline",
+        "search_report",
         "resolve_aliases",
+        "alias_hops",
         "presence_flags",
         "first_match",
+        "latest_match",
+        "latest_match_after",
         "edge_ordinals",
         "two_hop_in",
         "two_hop_out",
         "two_hop_focus",
+        "two_hop_stored",
         "graph_layout",
         "graph_layout_labels",
+        "range_partition_table",
+        "range_partition_prices",
         "discrete_boundaries",
         "partition_labels",
         "runs",
