@@ -35,8 +35,8 @@ def kept_grams(
 ) -> DataFrame:
     """``rows`` with the array ``grams``: the kept grams as ``position << 32 | hash``,
     ascending. Each row is worked on alone and nothing is shuffled. A NULL text counts
-    as empty and has none; grams at the end of a text are shorter, and a text of at
-    most two windows keeps every gram.
+    as empty and has none; grams at the end of a text are shorter, and a text of less
+    than a window is one window.
     """
     kept = rows.columns
     tokens = F.regexp_extract_all(F.coalesce(F.col(text), F.lit("")), F.lit(TOKEN), F.lit(0))
@@ -57,7 +57,7 @@ def kept_grams(
         doubled = F.zip_with("_least", later, lambda a, b: F.least(a, b))
         rows = _stage(rows, "_next", doubled).drop("_least").withColumnRenamed("_next", "_least")
         reach += step
-    whole = F.when(n > 2 * window, F.slice("_least", F.lit(1), F.greatest(n - window + 1, F.lit(1)))).otherwise(value)
+    whole = F.slice("_least", F.lit(1), F.greatest(n - window + 1, F.lit(1)))
     places = F.lit(_PLACES).cast("long")
     found = F.transform(
         F.array_distinct(whole),
@@ -113,17 +113,20 @@ def compare_edited(documents: DataFrame, gram: int = GRAM, window: int = WINDOW)
     The edited text has the last third of the characters replaced by as many from the
     start of the next document (all of it, if shorter), in descending order of id;
     after the last comes the first, so a single document is its own next. A NULL text
-    is empty. Ids are integers and name documents: of several rows with one id the
-    least text counts; a NULL id is an id, the last one. An empty table gives no rows;
-    other columns are not read. The result is ``(doc_id, n_chars, edited_sha256,
+    is empty. Ids are integers; a NULL id is an id, the last one. Rows that share an id
+    are documents of their own, in descending order of a hash of the text, for which the table is
+    sorted and written once. An empty table gives no rows; other columns are not read. The result is ``(doc_id, n_chars, edited_sha256,
     fingerprint, edited_fingerprint, near_edited, near_next)``; a likeness is that of
     the sets of hashes.
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     ids = written(rows.groupBy("doc_id").agg(F.count("*").alias("n"), F.max(F.char_length("text")).alias("n_chars")))
     if not ids.where("n > 1").isEmpty():
-        rows = rows.groupBy("doc_id").agg(F.min("text").alias("text"))
-        ids = written(rows.select("doc_id", F.char_length("text").alias("n_chars")))
+        ordered = rows.orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text"))
+        numbered = written(ordered.withColumn("row", F.monotonically_increasing_id()))
+        found = compare_edited(numbered.select(F.col("row").alias("doc_id"), "text"), gram, window)
+        names = numbered.select("row", F.col("doc_id").alias("own_id")).join(found, F.col("row") == found.doc_id)
+        return names.select(F.col("own_id").alias("doc_id"), *[c for c in found.columns if c != "doc_id"])
 
     def key(name: str) -> Column:  # a NULL would join nothing
         return F.coalesce(F.col(name), F.lit(_NO_ID))

@@ -8,6 +8,7 @@ from collections import Counter
 import numpy as np
 import public_tokenizers as P
 import pytest
+import regex
 from conftest_llm import ODD, documents  # noqa: F401
 from tokenizers import Tokenizer
 
@@ -240,6 +241,56 @@ def test_edited_texts(documents):
     assert len(shared) == 2
 
 
+def brute_winnowing(text, gram=4, window=8):
+    """``(place, tokens)`` of the kept grams, by comparing all windows of a text."""
+    tokens = regex.findall(r"[\p{L}\p{M}]{1,16}|\p{N}{1,16}|[^ \t\n\x0b\f\r\p{L}\p{M}\p{N}]{1,16}", text)
+    grams = [tuple(tokens[i : i + gram]) for i in range(len(tokens))]
+    return tokens, grams
+
+
+def test_fingerprints_against_brute_force(documents):
+    """Hashes are the library's; which grams are kept, where they stand and how alike two
+    texts are is recomputed from the definition."""
+    rows = [(i, t) for i, t in corpus() if i is not None][:150]
+    got = {r.doc_id: r for r in compare_edited(documents(*rows)).collect()}
+    ordered = sorted(rows, key=lambda r: -r[0])
+    kept = {}
+
+    def decoded(fingerprint):
+        place, out = -1, []
+        for at in range(0, len(fingerprint), 10):
+            place += int(fingerprint[at : at + 2], 16)
+            out.append((place, fingerprint[at + 2 : at + 10]))
+        return out
+
+    for k, (i, text) in enumerate(ordered):
+        text, after = text or "", ordered[(k + 1) % len(ordered)][1] or ""
+        cut = len(text) // 3
+        edited = text[: len(text) - cut] + after[:cut]
+        assert got[i].n_chars == len(text) and got[i].edited_sha256 == sha(edited.encode())
+        kept[i] = decoded(got[i].fingerprint)
+        for print_, of in ((kept[i], text), (decoded(got[i].edited_fingerprint), edited)):
+            _, grams = brute_winnowing(of)
+            places = [p for p, _ in print_]
+            assert places == sorted(set(places)) and (not places or places[-1] < len(grams))
+            by_hash, by_gram = {}, {}
+            for p, h in print_:  # equal grams have equal hashes, and in these texts only they do
+                assert by_hash.setdefault(h, grams[p]) == grams[p] and by_gram.setdefault(grams[p], h) == h
+            # Every window of eight grams holds a kept one; a short text keeps one.
+            assert all(any(a <= p < a + 8 for p in places) for a in range(max(len(grams) - 7, min(len(grams), 1))))
+        own, other = ({h for _, h in x} for x in (kept[i], decoded(got[i].edited_fingerprint)))
+        assert got[i].near_edited == pytest.approx(len(own & other) / len(own | other) if own | other else 1.0)
+    for k, (i, _) in enumerate(ordered):
+        own, other = ({h for _, h in kept[j]} for j in (i, ordered[(k + 1) % len(ordered)][0]))
+        assert got[i].near_next == pytest.approx(len(own & other) / len(own | other) if own | other else 1.0)
+
+
+def test_rows_of_one_id_are_documents_of_their_own(documents):
+    rows = [(1, prose(30)), (1, prose(40)), (1, None), (2, prose(20)), (None, "x"), (None, "x")]
+    got = compare_edited(documents(*rows)).collect()
+    assert Counter((r.doc_id, r.n_chars) for r in got) == Counter((i, len(t or "")) for i, t in rows)
+
+
 def test_packing_loses_nothing(documents):
     rows = [*corpus(), *[t for t in ODD if t[0] is None]]
     library = Tokenizer.from_file(JSON)
