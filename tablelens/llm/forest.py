@@ -8,6 +8,7 @@ compared exactly; a pair that shares several leaves counts in the first.
 
 from __future__ import annotations
 
+from collections import deque
 from dataclasses import dataclass
 
 import numpy as np
@@ -28,44 +29,50 @@ SPILL = 0.4
 
 @dataclass
 class Tree:
-    """Nodes in heap order: 1 is the root, 2n and 2n + 1 are below n. A node without a
-    direction is a leaf."""
+    """Nodes by their number in heap order: 1 is the root, 2n and 2n + 1 are below n. Only
+    the inner nodes are held, ascending, so a tree is as large as its sample has made it."""
 
+    nodes: np.ndarray
     direction: np.ndarray
     median: np.ndarray
-    inner: np.ndarray
     margin: float
 
     def leaves(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """``(row, leaf)`` for each leaf that each row reaches."""
         row, node, done = np.arange(len(x)), np.ones(len(x), np.int64), []
+        if not len(self.nodes):
+            return row, node
         while len(row):
-            inner = self.inner[node]
+            at = np.minimum(np.searchsorted(self.nodes, node), len(self.nodes) - 1)
+            inner = self.nodes[at] == node
             done.append((row[~inner], node[~inner]))
-            row, node = row[inner], node[inner]
-            side = np.einsum("ij,ij->i", x[row], self.direction[node]) - self.median[node]
+            row, node, at = row[inner], node[inner], at[inner]
+            side = np.einsum("ij,ij->i", x[row], self.direction[at]) - self.median[at]
             low, high = side <= self.margin, side > -self.margin
             row, node = np.concatenate([row[low], row[high]]), np.concatenate([2 * node[low], 2 * node[high] + 1])
         return np.concatenate([d[0] for d in done]), np.concatenate([d[1] for d in done])
 
 
 def grow(sample: np.ndarray, depth: int, margin: float, seed: int) -> Tree:
+    """A tree over a sample. No node of fewer than NODE_ROWS of its rows is split, whatever the depth asked for."""
     random = np.random.default_rng(seed)
-    size = 2 << depth
-    tree = Tree(np.zeros((size, sample.shape[1])), np.zeros(size), np.zeros(size, bool), margin)
-    rows = {1: np.arange(len(sample))}
-    for node in range(1, 1 << depth):
-        mine = rows.pop(node, None)
-        if mine is None or len(mine) < NODE_ROWS:
+    nodes, directions, medians = [], [], []
+    waiting = deque([(1, 0, np.arange(len(sample)))])
+    while waiting:
+        node, level, mine = waiting.popleft()
+        if level >= depth or len(mine) < NODE_ROWS:
             continue
         direction = random.standard_normal(sample.shape[1])
         direction /= np.linalg.norm(direction)
         side = sample[mine] @ direction
-        tree.inner[node], tree.direction[node], tree.median[node] = True, direction, np.median(side)
+        median = np.median(side)
+        nodes.append(node)
+        directions.append(direction)
+        medians.append(median)
         # The sample is split without spill, so that a node's rows follow its depth.
-        low = side <= tree.median[node]
-        rows[2 * node], rows[2 * node + 1] = mine[low], mine[~low]
-    return tree
+        low = side <= median
+        waiting += [(2 * node, level + 1, mine[low]), (2 * node + 1, level + 1, mine[~low])]
+    return Tree(np.array(nodes, np.int64), np.array(directions), np.array(medians), margin)
 
 
 def _unit(column) -> np.ndarray:

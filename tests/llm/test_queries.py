@@ -8,7 +8,7 @@ from compare import differences, duck
 from conftest_llm import documents  # noqa: F401
 
 from __spark_entry__ import oracle_sql, queries
-from tablelens.llm.forest import near_vectors
+from tablelens.llm.forest import SPILL, TREES, grow, near_vectors
 from tablelens.llm.perspectives import rotate_perspectives
 from tablelens.llm.quality import RuleEnsemble, fit_rules, score_quality, train
 
@@ -87,6 +87,26 @@ def test_forest_against_brute_force(spark):
     assert (got.kept == (got.component_id == got.index)).all()
 
 
+def test_a_tree_is_as_large_as_its_sample(spark):
+    """A depth that a large table asks for costs nothing where the sample is small, and planted
+    pairs are still found at the full depth of the sample."""
+    random = np.random.default_rng(4)
+    x = random.standard_normal((4_096, 32))
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    trees = [grow(x, 40, SPILL * np.sqrt(0.2 / 32), seed) for seed in range(TREES)]
+    assert all(len(t.nodes) < 512 for t in trees) and len(grow(x[:5], 9, 0.1, 1).nodes) == 0
+    noise = random.standard_normal((4_096, 32))
+    near = x + 0.44 * noise / np.linalg.norm(noise, axis=1)[:, None]
+    near /= np.linalg.norm(near, axis=1)[:, None]
+    linked = np.flatnonzero((x * near).sum(axis=1) >= 0.9)
+    met = np.zeros(len(x), bool)
+    for t in trees:
+        seen = set(zip(*t.leaves(x), strict=True))
+        for row, leaf in zip(*t.leaves(near), strict=True):
+            met[row] |= (row, leaf) in seen
+    assert len(linked) > 1_000 and met[linked].mean() > 0.98
+
+
 def test_vectors_that_link_with_nothing(spark):
     nan, inf = float("nan"), float("inf")
     rows = [(1, None), (2, []), (3, [0.0, 0.0]), (4, [1.0, None]), (5, [nan, 1.0]), (6, [inf, 1.0]), (7, [1.0, 1.0]), (8, [2.0, 2.0]), (9, [1.0, 1.0, 1.0]), (10, [1.0, 1.0]), (None, [1.0, 1.0])]
