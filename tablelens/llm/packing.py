@@ -12,6 +12,7 @@ fullest of them.
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -31,7 +32,7 @@ class Limits:
     tokens: int = 2048
     segments: int = 64
     loss_tokens: int = 2048
-    open_sequences: int = 256
+    open_sequences: int = 64
 
 
 class VectorPacker:
@@ -99,16 +100,49 @@ class VectorPacker:
         return list(zip(self.names[held].tolist(), (self.most.tokens - self.left[held, 0]).tolist(), strict=True))
 
 
-def _settle(packer: VectorPacker, pending: list[tuple]) -> Iterator[tuple]:
-    """The pieces of sequences that stayed open, laid anew end to end: whole
-    sequences first, then sequences whose lengths are the powers of two that make
-    up the rest, which need no padding. The limits on segments and loss are kept
+def _settle(packer: VectorPacker, held: dict[int, list[tuple]]) -> Iterator[tuple]:
+    """The pieces of sequences that stayed open. The fullest sequence keeps what is in it and is
+    completed with cuts from the emptiest, again by the largest dot product with what is left in
+    it, and so on until one is left, which ``_powers`` divides."""
+    most = packer.most
+    scale = packer.scale
+    open_ = sorted(held.items(), key=lambda x: (-sum(p[2] for p in x[1]), x[0]))
+    waiting = deque((name, [(item, start, n, loss) for item, start, n, _, _, loss in ps]) for name, ps in open_)
+    while len(waiting) > 1:
+        name, pieces = waiting.popleft()
+        offset, paid = 0, 0
+        for item, start, n, loss in pieces:
+            yield item, start, n, name, offset
+            offset, paid = offset + n, paid + int(loss.sum())
+        left = np.array([most.tokens - offset, most.segments - len(pieces), most.loss_tokens - paid])
+        while left.min() > 0 and waiting:
+            donor = waiting[-1][1]
+            sizes = np.array([[min(n, left[0]), 1, min(int(loss.sum()), left[2])] for _, _, n, loss in donor])
+            best = int(((sizes / scale) @ (left / scale)).argmax())
+            item, start, n, loss = donor[best]
+            take = min(n, int(left[0]), int(np.searchsorted(np.cumsum(loss), left[2], side="right")))
+            yield item, start, take, name, offset
+            offset += take
+            left -= (take, 1, int(loss[:take].sum()))
+            if take < n:
+                donor[best] = (item, start + take, n - take, loss[take:])
+            else:
+                del donor[best]
+                if not donor:
+                    waiting.pop()
+    if waiting:
+        yield from _powers(packer, waiting[0][1])
+
+
+def _powers(packer: VectorPacker, pieces: list[tuple]) -> Iterator[tuple]:
+    """Pieces laid end to end in sequences whose lengths are the powers of two that make up
+    their total, which need no padding. The limits on segments and loss are kept
     by starting a further sequence, cut again at powers of two."""
     most = packer.most
-    total = sum(p[2] for p in pending)
+    total = sum(p[2] for p in pieces)
     room = segments = loss_room = 0
     offset = name = 0
-    for item, start, length, _, _, loss in pending:
+    for item, start, length, loss in pieces:
         done = 0
         while done < length:
             if not room or not segments or not loss_room:
@@ -139,8 +173,7 @@ def pack_stream(
             held.setdefault(name, []).append((*piece, loss[start : start + length]))
             if name not in packer.names:
                 yield from (p[:5] for p in held.pop(name))
-    pending = [p for name in sorted(held) for p in held[name]]
-    yield from _settle(packer, pending)
+    yield from _settle(packer, held)
 
 
 SCHEMA = (

@@ -19,7 +19,7 @@ from tablelens.llm.encoding import TextEncoder
 from tablelens.llm.fmindex import FmIndex, dedup_substrings
 from tablelens.llm.idfiles import ShardReader, read_id_files, write_id_files
 from tablelens.llm.minhash import chance, near_duplicates, registers
-from tablelens.llm.packing import Limits, VectorPacker, pack_documents
+from tablelens.llm.packing import Limits, VectorPacker, pack_documents, pack_stream
 from tablelens.llm.winnowing import compare_edited
 from tablelens.llm.words import shingle_set
 
@@ -307,6 +307,26 @@ def test_packing_loses_nothing(documents):
         assert one.length.sum() <= 256 and len(one) <= 4 and one.loss_tokens.sum() <= 200
 
 
+def test_open_sequences_are_completed_and_not_laid_anew():
+    limits, random = Limits(tokens=2048, open_sequences=16), np.random.default_rng(2)
+    items = [np.ones(n, np.int8) for n in random.integers(1, 1_500, 400).tolist()]
+    packer, placed = VectorPacker(limits), {}
+    for i, loss in enumerate(items):
+        for item, start, n, name, offset in packer.add(i, loss):
+            placed[item, start] = (n, name, offset)
+    got, fill, kept = {}, Counter(), 0
+    for item, start, n, name, offset in pack_stream(((i, x) for i, x in enumerate(items)), limits, 0):
+        assert offset == fill[name]
+        fill[name] += n
+        got.setdefault(item, []).append((start, n))
+        kept += n if placed.get((item, start)) == (n, name, offset) else 0
+    for i, loss in enumerate(items):
+        starts = np.cumsum([0, *[n for _, n in sorted(got[i])]]).tolist()
+        assert [s for s, _ in sorted(got[i])] == starts[:-1] and starts[-1] == len(loss)
+    assert all(f == 2048 or f & (f - 1) == 0 for f in fill.values())
+    assert kept > 0.95 * sum(map(len, items))
+
+
 def test_packing_prefers_the_larger_dot_product():
     packer = VectorPacker(Limits(100, 9, 100, 4))
     where = {}
