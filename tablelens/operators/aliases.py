@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from tablelens.plans.groups import hot_group_rows
+from tablelens.plans.groups import Hot, hot_group_rows
 from tablelens.plans.joins import balanced_join
 from tablelens.plans.tables import materialize
 
@@ -104,21 +104,24 @@ def alias_hops(
         wanted = ids.select(F.col(ids.columns[0]).alias("id")).distinct()
         resolved = resolved.join(wanted, "id", "left_semi")
     begun = materialize(resolved.where("cyclic OR hops > 0"))
-    longest, n_cyclic = begun.agg(F.max("hops"), F.count_if("cyclic")).first()
+    longest, n_cyclic, n_ways = begun.agg(F.max("hops"), F.count_if("cyclic"), F.count("*")).first()
     start = (F.lit(0).cast("long").alias("hop"), F.col("id").alias("via"))
     ways = begun.where("NOT cyclic").select("id", *start)
     rings = begun.where("cyclic").select("id", *start)
     jumps = materialize(
         aliases.where(F.col(target).isNotNull()).select(F.col(id).alias("via"), F.col(target).alias("_to"))
     )
+    n_jumps, bar = jumps.count(), hot_group_rows(aliases.sparkSession)
     found = None
     reach = 1  # the hops of one jump; ways of fewer hops than this are listed
     while reach <= (longest or 0) or n_cyclic:
+        # No key can be hot among so few rows.
+        hot = [] if max(n_jumps, 2 * reach * n_ways) <= bar else None
         if reach <= (longest or 0):
-            ways = materialize(ways.unionByName(_jumped(ways, jumps, reach)))
+            ways = materialize(ways.unionByName(_jumped(ways, jumps, reach, hot)))
         if n_cyclic:
             # A way that came to a place twice is complete; the first times are its hops.
-            longer = materialize(rings.unionByName(_jumped(rings, jumps, reach)))
+            longer = materialize(rings.unionByName(_jumped(rings, jumps, reach, hot)))
             firsts = longer.groupBy("id", "via").agg(F.min("hop").alias("hop"), F.count("*").alias("_n"))
             firsts = materialize(firsts)
             ended = materialize(firsts.where("_n > 1").select("id").distinct())
@@ -129,7 +132,7 @@ def alias_hops(
         reach *= 2
         if reach <= (longest or 0) or n_cyclic:
             onward = jumps.select(F.col("via").alias("_to"), F.col("_to").alias("_next"))
-            doubled = balanced_join(jumps, onward, ["_to"], right_unique=True)
+            doubled = balanced_join(jumps, onward, ["_to"], right_unique=True, hot=[] if n_jumps <= bar else None)
             jumps = materialize(doubled.select("via", F.col("_next").alias("_to")))
     listed = ways.withColumn("cyclic", F.lit(False))
     if found is not None:
@@ -137,7 +140,7 @@ def alias_hops(
     return listed.where("hop > 0").select(F.col("id").alias(id), "hop", "via", "cyclic")
 
 
-def _jumped(ways: DataFrame, jumps: DataFrame, reach: int) -> DataFrame:
+def _jumped(ways: DataFrame, jumps: DataFrame, reach: int, hot: list[Hot] | None) -> DataFrame:
     """The rows of ``ways`` taken ``reach`` hops further, where they go on."""
-    joined = balanced_join(ways, jumps, ["via"], right_unique=True)
+    joined = balanced_join(ways, jumps, ["via"], right_unique=True, hot=hot)
     return joined.select("id", (F.col("hop") + reach).alias("hop"), F.col("_to").alias("via"))
