@@ -37,9 +37,11 @@ from tablelens.llm.common import module_cache, parts, written
 from tablelens.llm.words import gram_hashes, mixed, sliding_least, word_hashes
 
 #: Text that a task works on before it sends its pieces, and units in one index.
-CHUNK_CHARS, INDEX_UNITS = 16_000_000, 1_500_000
+CHUNK_CHARS, INDEX_UNITS = 8_000_000, 500_000
 #: Raw bytes of pieces, and single windows, that a task unpacks or sends at a time.
-PORTION_BYTES, PORTION_WINDOWS = 1 << 27, 1_000_000
+PORTION_BYTES, PORTION_WINDOWS = 1 << 25, 1_000_000
+#: Groups of documents per partition of those in which texts and answers meet.
+HOMES = 4
 #: One distinct text in SAMPLE is looked at; an anchor with HOT_PIECES distinct pieces there
 #: is hot. The list of hot anchors weighs 8 MB at most; it has the largest ones.
 SAMPLE, HOT_PIECES, HOT_ANCHORS = 32, 100, 1_000_000
@@ -367,15 +369,24 @@ def _decided(packed: list[bytes], single: bool, decide: Callable, sole: bool):
 def _answer(
     batches: Iterator[pa.RecordBatch], decide: Callable, buckets: int, sole: bool
 ) -> Iterator[pa.RecordBatch]:
-    by_bucket: dict[tuple[int, bool], list[bytes]] = {}
+    """Answers of one bucket after the other; the rows come sorted by bucket."""
+
+    def answered(key: tuple[int, bool], packed: list[bytes]) -> Iterator[pa.RecordBatch]:
+        for ranges in _decided(packed, key[1], decide, sole):
+            yield from _homes(ranges, buckets)
+
+    held: list[bytes] = []
+    last = None
     for batch in batches:
         columns = (batch.column(n).to_pylist() for n in ("bucket", "single", "packed"))
         for b, single, data in zip(*columns, strict=True):
-            by_bucket.setdefault((b, single), []).append(data)
-    while by_bucket:
-        (_, single), packed = by_bucket.popitem()
-        for ranges in _decided(packed, single, decide, sole):
-            yield from _homes(ranges, buckets)
+            if held and (b, single) != last:
+                yield from answered(last, held)
+                held = []
+            last = (b, single)
+            held.append(data)
+    if held:
+        yield from answered(last, held)
 
 
 def _homes(ranges, buckets: int) -> Iterator[pa.RecordBatch]:
@@ -477,9 +488,9 @@ def dedup_windows(
     rows = documents.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hot = hot_anchors(rows, kind, window)
     sent = rows.mapInArrow(lambda b: _send(b, kind, window, buckets, hot), "bucket int, single boolean, packed binary")
-    answers = sent.repartition(buckets, "bucket").mapInArrow(
-        lambda b: _answer(b, decide, buckets, sole), "home int, packed binary"
-    )
+    gathered = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "single")
+    homes = buckets * HOMES
+    answers = gathered.mapInArrow(lambda b: _answer(b, decide, homes, sole), "home int, packed binary")
 
     whole = documents.select(
         F.col("doc_id").cast("long"),
@@ -493,7 +504,7 @@ def dedup_windows(
         for batch in batches:
             ids = batch.column(id).fill_null(NO_ID).to_numpy()
             yield pa.RecordBatch.from_arrays(
-                [pa.array(_doc_bucket(ids, buckets)), *[batch.column(n) for n in names]], ["home", *names]
+                [pa.array(_doc_bucket(ids, homes)), *[batch.column(n) for n in names]], ["home", *names]
             )
 
     placed = whole.mapInArrow(place, T.StructType([T.StructField("home", T.IntegerType()), *whole.schema]))

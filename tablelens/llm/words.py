@@ -9,7 +9,7 @@ import numpy as np
 from tablelens.llm.common import module_cache
 
 #: Words whose hash a worker remembers at most.
-CACHED_WORDS = 600_000
+CACHED_WORDS = 250_000
 
 
 class _Hashes(dict):
