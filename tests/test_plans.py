@@ -17,15 +17,12 @@ def plan_of(df):
 
 
 @pytest.mark.parametrize("name", QUERIES)
-def test_no_python_and_no_cross_joins(spark, name):
+def test_no_python_no_cross_joins_and_no_rows_in_one_task(spark, name):
     plan = plan_of(queries()[name](spark, FOLDER))
     for bad in ["Python", "Arrow", "NestedLoop", "CartesianProduct"]:
         assert bad not in plan, bad
-
-
-@pytest.mark.parametrize("name", QUERIES)
-def test_one_task_only_gets_aggregated_rows(spark, name):
-    lines = plan_of(queries()[name](spark, FOLDER)).splitlines()
+    # One task gets aggregated rows only.
+    lines = plan.splitlines()
     for above, line in enumerate(lines):
         if "Exchange SinglePartition" in line:
             assert "Aggregate" in lines[above + 1] and "partial_" in lines[above + 1]
