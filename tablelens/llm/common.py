@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import gc
 import os
 import tempfile
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -98,5 +103,19 @@ def module_cache(name: str, make):
     return _CACHE[name]
 
 
+def released(batches: Iterator, *caches: str) -> Iterator:
+    """The batches of a task; at its end the named caches are dropped and freed memory goes
+    back to the system, as Python workers live on for other stages."""
+    try:
+        yield from batches
+    finally:
+        for name in caches:
+            _CACHE.pop(name, None)
+        gc.collect()
+        pa.default_memory_pool().release_unused()
+        with contextlib.suppress(OSError, AttributeError):  # only where the C library has it
+            ctypes.CDLL(None).malloc_trim(0)
+
+
 _CACHE: dict = {}
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")

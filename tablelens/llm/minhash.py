@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tablelens.llm.blocks import gathered, groups, pairs_of_blocks
-from tablelens.llm.common import components, parts, written
+from tablelens.llm.common import components, parts, released, written
 from tablelens.llm.words import shingle_set
 
 SHINGLE_WORDS = 5
@@ -128,13 +128,14 @@ def _estimated(pairs: DataFrame, sketches: DataFrame, threshold: float) -> DataF
     return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(keep, "a long, b long")
 
 
-def _candidates(group: pa.Table, threshold: float) -> list[tuple[float, int, int]]:
+def _candidates(group: pa.Table, threshold: float) -> tuple[np.ndarray, np.ndarray]:
     """Pairs of rows of two blocks of one group that lie in different components, may be
-    alike, and share no earlier band; as ``(- equal registers, row, row)``."""
+    alike, and share no earlier band; those with most equal registers first."""
     matrix, n = _matrix(group.column("bands")), group.column("n").to_numpy()
     of, own, band = (group.column(c).to_numpy() for c in ("component", "_own", "band"))
     first, last = group.column("_i")[0].as_py(), group.column("_j")[0].as_py()
     found, places = [], np.arange(len(n))
+    none = np.empty(0, np.int32)
     for start in range(0, len(n), 64):
         some = places[start : start + 64, None]
         later = places > some if first == last else (own[some] == first) & (own != first)
@@ -148,8 +149,17 @@ def _candidates(group: pa.Table, threshold: float) -> list[tuple[float, int, int
             shared = (matrix[a + start] == matrix[b]).reshape(len(a), -1, BAND).all(axis=-1).argmax(axis=-1)
             here = shared == band[b]
             a, b = a[here], b[here]
-            found += zip((-equal[a, b]).tolist(), (a + start).tolist(), b.tolist(), strict=True)
-    return sorted(found)
+            found.append((equal[a, b].astype(np.float32), (a + start).astype(np.int32), b.astype(np.int32)))
+    if not found:
+        return none, none
+    equal, i, j = (np.concatenate(c) for c in zip(*found, strict=True))
+    order = np.lexsort((j, i, -equal))
+    return i[order], j[order]
+
+
+def _in_steps(i: np.ndarray, j: np.ndarray, step: int = 100_000) -> Iterator[tuple[int, int]]:
+    for at in range(0, len(i), step):
+        yield from zip(i[at : at + step].tolist(), j[at : at + step].tolist(), strict=True)
 
 
 def _live(torn: DataFrame, threshold: float) -> DataFrame:
@@ -157,13 +167,13 @@ def _live(torn: DataFrame, threshold: float) -> DataFrame:
 
     def mark(batches):
         for group in groups(batches, ["key", "_i", "_j"]):
-            found = _candidates(group, threshold)
-            if found:
-                rows = np.unique([f[1:] for f in found])
+            i, j = _candidates(group, threshold)
+            if len(i):
+                rows = np.unique(np.concatenate([np.unique(i), np.unique(j)]))
                 yield from group.select(["key", "rep"]).take(rows).combine_chunks().to_batches()
 
     met = gathered(pairs_of_blocks(torn, "key", "rep", BLOCK_ROWS), ["key", "_i", "_j"], parts(torn.sparkSession))
-    return met.mapInArrow(mark, "key long, rep long").distinct()
+    return met.mapInArrow(lambda b: released(mark(b)), "key long, rep long").distinct()
 
 
 def _joined(live: DataFrame, threshold: float, k: int, percent: int) -> DataFrame:
@@ -180,7 +190,7 @@ def _joined(live: DataFrame, threshold: float, k: int, percent: int) -> DataFram
                     root[c] = c = root[root[c]]
                 return c
 
-            for _, i, j in _candidates(group, threshold):
+            for i, j in _in_steps(*_candidates(group, threshold)):
                 a, b = top(of[i]), top(of[j])
                 if a == b:
                     continue
@@ -195,7 +205,7 @@ def _joined(live: DataFrame, threshold: float, k: int, percent: int) -> DataFram
                 yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
     met = gathered(pairs_of_blocks(live, "key", "rep", TEXT_BLOCK_ROWS), ["key", "_i", "_j"], parts(live.sparkSession))
-    return met.mapInArrow(join, "a long, b long").distinct()
+    return met.mapInArrow(lambda b: released(join(b)), "a long, b long").distinct()
 
 
 def _alike(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
@@ -243,7 +253,7 @@ def near_duplicates(documents: DataFrame, percent: int = 75, shingle_words: int
     """
     rows = documents.select(F.col("doc_id").cast("long"), F.coalesce("text", F.lit("")).alias("text"))
     schema = "doc_id long, n_shingles long, set_key binary, bands array<long>"
-    every = written(rows.mapInArrow(lambda b: _sketch(b, shingle_words), schema))
+    every = written(rows.mapInArrow(lambda b: released(_sketch(b, shingle_words), "word hashes"), schema))
     classes = written(
         every.where("set_key IS NOT NULL AND doc_id IS NOT NULL").groupBy("set_key").agg(F.min("doc_id").alias("rep"))
     )

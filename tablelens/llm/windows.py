@@ -33,11 +33,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tablelens.llm.common import module_cache, parts, written
+from tablelens.llm.common import module_cache, parts, released, written
 from tablelens.llm.words import gram_hashes, mixed, sliding_least, word_hashes
 
 #: Text that a task works on before it sends its pieces, and units in one index.
-CHUNK_CHARS, INDEX_UNITS = 8_000_000, 500_000
+CHUNK_CHARS, INDEX_UNITS = 6_000_000, 400_000
 #: Raw bytes of pieces, and single windows, that a task unpacks or sends at a time.
 PORTION_BYTES, PORTION_WINDOWS = 1 << 25, 1_000_000
 #: Groups of documents per partition of those in which texts and answers meet.
@@ -487,10 +487,10 @@ def dedup_windows(
         key, id = F.col("_row"), "_row"
     rows = documents.select(key.alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
     hot = hot_anchors(rows, kind, window)
-    sent = rows.mapInArrow(lambda b: _send(b, kind, window, buckets, hot), "bucket int, single boolean, packed binary")
+    sent = rows.mapInArrow(lambda b: released(_send(b, kind, window, buckets, hot), "word hashes"), "bucket int, single boolean, packed binary")
     gathered = sent.repartition(buckets, "bucket").sortWithinPartitions("bucket", "single")
     homes = buckets * HOMES
-    answers = gathered.mapInArrow(lambda b: _answer(b, decide, homes, sole), "home int, packed binary")
+    answers = gathered.mapInArrow(lambda b: released(_answer(b, decide, homes, sole)), "home int, packed binary")
 
     whole = documents.select(
         F.col("doc_id").cast("long"),
