@@ -7,6 +7,7 @@ from collections import Counter
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import regex
 from conftest_llm import ODD, documents  # noqa: F401
@@ -178,6 +179,32 @@ def test_edges_of_a_common_passage_are_dealt_out(documents, monkeypatch, kind, w
     assert mine == list(range(kind.units(text.encode())[1] - window + 1))
 
 
+def test_a_task_answers_each_home_once(documents, monkeypatch):
+    monkeypatch.setattr(windows, "SAMPLE", 1)
+    docs = documents(*edges()).where("text IS NOT NULL")
+    hot = windows.hot_anchors(docs, windows.Bytes, 400)
+    batches = docs.select("doc_id", "text").toArrow().to_batches()
+    rows = [r for b in windows._send(iter(batches), windows.Bytes, 400, 8, hot) for r in b.to_pylist()]
+    rows.sort(key=lambda r: (r["bucket"], r["single"]))
+    assert len({(r["bucket"], r["single"]) for r in rows}) == 16
+    sent = pa.RecordBatch.from_pylist(rows)
+    for most in (10**6, 100):
+        monkeypatch.setattr(windows, "ANSWER_RANGES", most, raising=False)
+        answers = list(windows._answer(iter([sent]), lambda p: (p.doc, p.start, p.windows), 5, True))
+        packed = [p for b in answers for p in b.column("packed").to_pylist()]
+        if most == 10**6:
+            assert len(packed) == 5
+            want = windows.read_ranges(packed)
+        assert all((a == b).all() for a, b in zip(windows.read_ranges(packed), want, strict=True))
+
+
+def test_texts_are_finished_a_few_at_a_time(documents, monkeypatch):
+    rows = edges(60)
+    want = sorted(map(tuple, dedup_bytes(documents(*rows)).collect()), key=repr)
+    monkeypatch.setattr(windows, "FINISH_ROWS", 3)
+    assert sorted(map(tuple, dedup_bytes(documents(*rows)).collect()), key=repr) == want
+
+
 def test_merged_transforms_count_all_strings():
     contents = [bytes(dice.choice(b"ab") for _ in range(dice.randint(64, 200))) for _ in range(9)]
     contents += [contents[0][20:120], b"a" * 150]
