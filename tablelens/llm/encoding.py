@@ -1,14 +1,15 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
-A text is cut where one blank stands between two non-blank characters. The
-pre-tokenizer of such files never matches across that place, so the pieces
-encode on their own, and equal pieces, which most are, only once per worker. A text
+A text is cut where one blank or one line break stands between two non-blank
+characters. The pre-tokenizer of such files never matches across that place, so the
+pieces encode on their own, and equal pieces, which most are, only once per worker. A text
 that holds the string of an added token goes to the library whole, which makes it that token.
 """
 
 from __future__ import annotations
 
 import re
+from itertools import accumulate, chain
 
 import numpy as np
 
@@ -21,10 +22,11 @@ CACHED_PIECES, CACHED_CHARS = 1_000_000, 64
 
 
 def _cut(text: str) -> list[str]:
-    """Pieces between the single blanks that stand between two non-blank characters."""
+    """Pieces between the single blanks that stand between two non-blank characters. In texts
+    without other blanks, single line breaks cut too; the piece behind one begins with it."""
     plain = "  " not in text and "\n " not in text and " \n" not in text
     if plain and text[:1] != " " and text[-1:] != " " and text.replace("\n", "").isprintable():
-        return text.split(" ")
+        return (text if "\n\n" in text else text.replace("\n", " \n")).split(" ")
     return _CUT.split(text)
 
 
@@ -35,7 +37,7 @@ class TextEncoder:
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # What the cut relies on; other files are encoded whole.
-        self.cuts = self.library.encode("a b,").tokens == ["a", "Ġb", ","]
+        self.cuts = self.library.encode("a b,\nc").tokens == ["a", "Ġb", ",", "Ċ", "c"]
         self.known: dict[str, bytes] = {}  # by piece, with the blank before it left out
         self.older: dict[str, bytes] = {}
         self.marks: dict[str, bytes] = {}
@@ -46,18 +48,24 @@ class TextEncoder:
             self.sizes[i] = n
 
     def _after_blank(self, pieces: list[str]) -> list[bytes]:
-        """Ids of ``" " + piece`` for each piece, encoded as one text and cut again."""
+        """Ids of ``" " + piece`` for each piece, or of the piece if it begins with a line break,
+        encoded as one text and cut again."""
         out = []
         for at in range(0, len(pieces), 2_000):
-            some = [" " + p for p in pieces[at : at + 2_000]]
-            (found,) = self.library.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            some = pieces[at : at + 2_000]
+            text = " " + " ".join(some)
+            plain = text.count(" ") == len(some)  # no piece holds a blank
+            text = text.replace(" \n", "\n") if plain else "".join([p if p[0] == "\n" else " " + p for p in some])
+            (found,) = self.library.encode_batch_fast([text], add_special_tokens=False)
             ids = np.asarray(found.ids, "<u4")
-            ends = np.cumsum([len(p) if p.isascii() else len(p.encode("utf-8", "surrogatepass")) for p in some])
+            if plain and text.count(" ") + text.count("\n") == len(some):  # line breaks only begin pieces
+                data = np.frombuffer(text.encode("utf-8", "surrogatepass"), np.uint8)
+                ends = np.append(np.flatnonzero((data == 32) | (data == 10))[1:], len(data))
+            else:
+                ends = np.cumsum([len(p.encode("utf-8", "surrogatepass")) + (p[0] != "\n") for p in some])
             cuts = np.searchsorted(np.cumsum(self.sizes[ids]), ends, side="right")
-            data, start = ids.tobytes(), 0
-            for end in (cuts * 4).tolist():
-                out.append(data[start:end])
-                start = end
+            cuts, data = (cuts * 4).tolist(), ids.tobytes()
+            out += [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
     def _library_ids(self, pieces: list[str]) -> list[bytes]:
@@ -68,7 +76,7 @@ class TextEncoder:
         return out
 
     def _learn(self, pieces: list[str]) -> dict[str, bytes]:
-        """Ids of ``" " + piece`` for pieces not known yet. Letters and the marks after
+        """Ids of pieces that are not known yet, as behind a blank. Letters and the marks after
         them are matched apart by the pre-tokenizer, so they are looked up apart."""
         known, older, marks = self.known, self.older, self.marks
         if len(known) > CACHED_PIECES:
@@ -76,27 +84,33 @@ class TextEncoder:
             self.known = known = {}
         if len(marks) > CACHED_PIECES:
             marks.clear()
-        found, stems = {}, {}
+        found, wanted, marked, stems = {}, {}, [], []  # lists of strings alone, which no collector walks
         for piece in pieces:
-            if (ids := older.get(piece)) is not None:
+            if older and (ids := older.get(piece)) is not None:
                 found[piece] = ids
                 continue
             stem = piece.rstrip(_MARKS)
-            if not stem or stem == piece or not stem[-1].isalpha():
-                stem = piece
-            stems[piece] = stem
-        wanted = dict.fromkeys(s for s in stems.values() if s not in known and s not in older and s not in found)
-        fresh = dict(zip(wanted, self._after_blank(list(wanted)), strict=True))
-        tails = dict.fromkeys(t for p, s in stems.items() if (t := p[len(s) :]) and t not in marks)
-        marks.update(zip(tails, self._library_ids(list(tails)), strict=True))
-        for piece, stem in stems.items():
-            ids = fresh.get(stem) or known.get(stem) or older.get(stem) or found[stem]
-            found[piece] = ids + marks[piece[len(stem) :]] if len(stem) < len(piece) else ids
-        known.update((p, i) for p, i in {**fresh, **found}.items() if len(p) <= CACHED_CHARS)
+            if not stem or len(stem) == len(piece) or not stem[-1].isalpha():
+                wanted[piece] = None
+            else:
+                marked.append(piece)
+                stems.append(stem)
+        wanted.update(dict.fromkeys([s for s in stems if s not in known and s not in older and s not in found]))
+        found.update(zip(wanted, self._after_blank(list(wanted)), strict=True))
+        tails = [p[len(s) :] for p, s in zip(marked, stems, strict=True)]
+        fresh = list(dict.fromkeys([t for t in tails if t not in marks]))
+        marks.update(zip(fresh, self._library_ids(fresh), strict=True))
+        for piece, stem, tail in zip(marked, stems, tails, strict=True):
+            found[piece] = (found.get(stem) or known.get(stem) or older[stem]) + marks[tail]
+        known.update(found)
+        for piece in [p for p in found if len(p) > CACHED_CHARS]:
+            del known[piece]
         return found
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text as little-endian unsigned 32-bit integers."""
+        if not texts:
+            return []
         if not self.cuts:
             return [np.frombuffer(b, "<u4") for b in self._library_ids(texts)]
         odd = [i for i, t in enumerate(texts) if any(a in t for a in self.added)]
@@ -105,20 +119,18 @@ class TextEncoder:
             rest = iter(self.encode([t for i, t in enumerate(texts) if i not in whole]))
             return [np.frombuffer(whole[i], "<u4") if i in whole else next(rest) for i in range(len(texts))]
         cut = [_cut(t) for t in texts]
-        heads = self._library_ids([c[0] for c in cut])
-        found = [list(map(self.known.get, c)) for c in cut]
-        missing = {}
-        for pieces, ids in zip(cut, found, strict=True):
-            if None in ids:
-                missing.update((p, None) for p, i in zip(pieces[1:], ids[1:], strict=True) if i is None)
+        pieces = list(chain.from_iterable(cut))
+        ends = list(accumulate(map(len, cut)))
+        starts = [0, *ends[:-1]]
+        ids = list(map(self.known.get, pieces))
+        for at, head in zip(starts, self._library_ids([c[0] for c in cut]), strict=True):
+            ids[at] = head
+        missing = [k for k, i in enumerate(ids) if i is None]
         if missing:
-            fresh = self._learn(list(missing))
-            for pieces, ids in zip(cut, found, strict=True):
-                if None in ids:
-                    ids[1:] = [fresh[p] if i is None else i for p, i in zip(pieces[1:], ids[1:], strict=True)]
-        for ids, head in zip(found, heads, strict=True):
-            ids[0] = head
-        return [np.frombuffer(b"".join(ids), "<u4") for ids in found]
+            fresh = self._learn(list(dict.fromkeys([pieces[k] for k in missing])))
+            for k in missing:
+                ids[k] = fresh[pieces[k]]
+        return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(starts, ends, strict=True)]
 
 
 def text_encoder(path: str) -> TextEncoder:

@@ -205,6 +205,22 @@ def test_texts_are_finished_a_few_at_a_time(documents, monkeypatch):
     assert sorted(map(tuple, dedup_bytes(documents(*rows)).collect()), key=repr) == want
 
 
+def test_line_breaks_cut_texts(monkeypatch):
+    """Words beside a line break are looked up apart, with the ids of the whole text."""
+    lines = [f"{w}.\n{w.capitalize()} {w},\n{w}" for w in VOCABULARY]
+    odd = ["", "\n", "\nab", "ab\n", "a\nb\n", "\n\nab", "a\n\nb", "a.\n\nb\nc d", "a\n\n", "a \nb c", "a\n b", " a\nb", "a\nb "]
+    odd += ["a  b\nc d\ne", "x\ty\nz w", "a\n\t b", "'s\n's 't\n12\n,,\n'", "ñ\né é\n日本 語\nx", "a\r\nb c", "w\n" * 90 + "q" * 99]
+    own = TextEncoder(JSON)
+    asked, learn = [], own._learn
+    monkeypatch.setattr(own, "_learn", lambda pieces: (asked.extend(pieces), learn(pieces))[1])
+    library = Tokenizer.from_file(JSON)
+    for texts in (lines, odd, lines + odd, odd[::-1], [f"{a}\n{b} {a}" for a, b in zip(odd, odd[::-1], strict=True)]):
+        want = [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+        assert [i.tolist() for i in own.encode(texts)] == want
+        if texts is lines:
+            assert len(asked) <= 5 * len(VOCABULARY) and not any("\n" in p[1:] for p in asked)
+
+
 def test_merged_transforms_count_all_strings():
     contents = [bytes(dice.choice(b"ab") for _ in range(dice.randint(64, 200))) for _ in range(9)]
     contents += [contents[0][20:120], b"a" * 150]
