@@ -18,6 +18,10 @@ from tablelens.llm.quality import score_quality
 from tablelens.llm.queries import JSON, KEEP_SCORE, quality_model, ship
 
 
+#: Pieces of texts in each of two generations that a worker remembers the ids of.
+CACHED_PIECES = 100_000
+
+
 def columns_of(docs: DataFrame) -> list[Column]:
     """The columns by their whole names, dots and all."""
     return [F.col(f"`{c}`").alias(c) for c in docs.columns]
@@ -65,9 +69,10 @@ def substring_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token sequences: one row per piece, with its ids. A NULL text is empty: its end id alone."""
+    """Token sequences: one row per piece, with its ids. A NULL text is empty: its end id alone.
+    Executors come here with their heaps grown by the stages before, so workers remember less."""
     ship(spark)
-    return pack_documents(docs, JSON, end_id=1)
+    return pack_documents(docs, JSON, end_id=1, cached_pieces=CACHED_PIECES)
 
 
 STAGES = [

@@ -17,7 +17,8 @@ from tablelens.llm.common import module_cache
 
 _CUT = re.compile(r"(?<=\S) (?=\S)")
 _MARKS = "!\"#$%&()*+,-./:;<=>?@[]^_`{|}~"
-#: Pieces kept per worker in each of two generations. Longer pieces are not kept.
+#: Pieces kept per worker in each of two generations, unless told otherwise; a million weigh
+#: 130 MB or so. Longer pieces are not kept.
 CACHED_PIECES, CACHED_CHARS = 1_000_000, 64
 
 
@@ -31,9 +32,10 @@ def _cut(text: str) -> list[str]:
 
 
 class TextEncoder:
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cached_pieces: int = CACHED_PIECES) -> None:
         from tokenizers import Tokenizer
 
+        self.cached_pieces = cached_pieces
         self.library = Tokenizer.from_file(path)
         self.added = [t.content for t in self.library.get_added_tokens_decoder().values()]
         # What the cut relies on; other files are encoded whole.
@@ -79,10 +81,10 @@ class TextEncoder:
         """Ids of pieces that are not known yet, as behind a blank. Letters and the marks after
         them are matched apart by the pre-tokenizer, so they are looked up apart."""
         known, older, marks = self.known, self.older, self.marks
-        if len(known) > CACHED_PIECES:
+        if len(known) > self.cached_pieces:
             self.older = older = known
             self.known = known = {}
-        if len(marks) > CACHED_PIECES:
+        if len(marks) > self.cached_pieces:
             marks.clear()
         found, wanted, marked, stems = {}, {}, [], []  # lists of strings alone, which no collector walks
         for piece in pieces:
@@ -133,9 +135,16 @@ class TextEncoder:
         return [np.frombuffer(b"".join(ids[a:b]), "<u4") for a, b in zip(starts, ends, strict=True)]
 
 
-def text_encoder(path: str) -> TextEncoder:
+def encoder_name(path: str) -> str:
+    """The encoder's name among the caches of a Python worker."""
+    return f"encoder {path}"
+
+
+def text_encoder(path: str, cached_pieces: int = CACHED_PIECES) -> TextEncoder:
     """The encoder of this Python worker."""
-    return module_cache(f"encoder {path}", lambda: TextEncoder(path))
+    encoder = module_cache(encoder_name(path), lambda: TextEncoder(path))
+    encoder.cached_pieces = cached_pieces
+    return encoder
 
 
 def encoded_in_steps(encoder: TextEncoder, texts: list[str], chars: int = 2_000_000):

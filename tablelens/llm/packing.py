@@ -22,7 +22,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tablelens.llm.encoding import encoded_in_steps, text_encoder
+from tablelens.llm.common import released
+from tablelens.llm.encoding import CACHED_PIECES, encoded_in_steps, encoder_name, text_encoder
+
+#: Rows whose texts a task holds as strings at a time.
+SLICE_ROWS = 256
 
 
 @dataclass(frozen=True)
@@ -189,6 +193,7 @@ def pack_documents(
     limits: Limits = Limits(),
     with_ids: bool = True,
     prompt: str | None = None,
+    cached_pieces: int = CACHED_PIECES,
 ) -> DataFrame:
     """One row per piece: its document, place in it, sequence and offset there, ids
     as little-endian unsigned 32-bit integers and their crc32.
@@ -198,7 +203,8 @@ def pack_documents(
     those of that many characters' encoding. Each task packs the rows it reads, so
     nothing is shuffled; ``sequence_id`` holds the partition in its upper 24 bits.
     A NULL or empty text is its end id alone; NULL ids stay NULL; repeated rows are
-    packed each; an empty table gives no rows; other columns are not read.
+    packed each; an empty table gives no rows; other columns are not read. A worker remembers
+    the ids of twice ``cached_pieces`` pieces of texts or so; fewer take less memory and more time.
     """
     chosen = documents.select(
         F.col("doc_id"),
@@ -207,11 +213,11 @@ def pack_documents(
     )
 
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder = text_encoder(tokenizer)
+        encoder = text_encoder(tokenizer, cached_pieces)
         first = TaskContext.get().partitionId() << 39
 
         def examples():
-            for batch in batches:
+            for batch in (b.slice(at, SLICE_ROWS) for b in batches for at in range(0, b.num_rows, SLICE_ROWS)):
                 ids, texts, prompts = (batch.column(c).to_pylist() for c in range(3))
                 for i, found in encoded_in_steps(encoder, texts):
                     tokens = np.append(found, np.uint32(end_id)).astype("<u4")
@@ -238,4 +244,4 @@ def pack_documents(
         if rows:
             yield batch(rows)
 
-    return chosen.mapInArrow(pack, SCHEMA)
+    return chosen.mapInArrow(lambda b: released(pack(b), keep=encoder_name(tokenizer)), SCHEMA)
