@@ -221,6 +221,17 @@ def test_line_breaks_cut_texts(monkeypatch):
             assert len(asked) <= 5 * len(VOCABULARY) and not any("\n" in p[1:] for p in asked)
 
 
+@pytest.mark.parametrize("operator", [dedup_substrings, dedup_bytes])
+def test_the_largest_id_is_not_taken_for_a_missing_one(documents, operator):
+    own = random.Random(9)
+    passage = prose(200, own)
+    rows = [(5, passage), (2**63 - 1, prose(80, own)), (None, f"{prose(200, own)} {passage}")]
+    want = {r[0]: tuple(r)[1:] for r in operator(documents((5, passage), (6, rows[1][1]), (7, rows[2][1]))).collect()}
+    got = {r[0]: tuple(r)[1:] for r in operator(documents(*rows)).collect()}
+    assert got == {5: want[5], 2**63 - 1: want[6], None: want[7]}
+    assert want[6][1] == 0 < want[7][1]
+
+
 def test_merged_transforms_count_all_strings():
     contents = [bytes(dice.choice(b"ab") for _ in range(dice.randint(64, 200))) for _ in range(9)]
     contents += [contents[0][20:120], b"a" * 150]
