@@ -7,6 +7,7 @@ table (see ``plans.tables.materialize``) when they come from a longer plan.
 
 from __future__ import annotations
 
+import math
 import uuid
 from collections.abc import Iterable
 from dataclasses import dataclass
@@ -17,10 +18,23 @@ from pyspark.sql import functions as F
 
 from tablelens.plans.groups import OrderedGroups, hot_group_rows, outgrown
 from tablelens.plans.joins import balanced_join
-from tablelens.plans.tables import materialize, shared_folder
+from tablelens.plans.tables import Bucketed, materialize, shared_folder
 
 # Connectors of the graph report.
 ONLY, BETWEEN = "−", "∣"
+# Edges in a bucket: more would not be ordered in memory, fewer are not worth a task. The most buckets Spark allows.
+BUCKET_EDGES, FEW_EDGES, MOST_BUCKETS = 500_000, 50_000, 100_000
+# What an edge carries seen from one end, and the same from the other.
+ENDS = [
+    ("src", "dst"),
+    ("_src_label", "_dst_label"),
+    ("parent_row", "child_row"),
+    ("parent_count", "child_count"),
+    ("_in_start", "_out_start"),
+    ("_in_count", "_out_count"),
+    ("_src_paths", "_dst_paths"),
+    ("_dst_across", "_src_across"),
+]
 
 
 def build_edges(sources: Iterable[DataFrame]) -> DataFrame:
@@ -98,8 +112,7 @@ def _by_ends(edges: DataFrame | EdgeTables) -> EdgeTables:
 
 def reversed_edges(edges: DataFrame) -> DataFrame:
     """Every edge the other way round, with what is known of its ends."""
-    pairs = [("src", "dst"), ("_src_label", "_dst_label"), ("parent_row", "child_row"), ("parent_count", "child_count")]
-    other = {a: b for one, two in pairs for a, b in ((one, two), (two, one))}
+    other = {a: b for one, two in ENDS for a, b in ((one, two), (two, one))}
     return edges.select(*[F.col(c).alias(other.get(c, c)) for c in edges.columns])
 
 
@@ -149,16 +162,19 @@ def _mark(row: Column, count: Column, first: str, last: str) -> Column:
     )
 
 
-def _with_labels(edges: EdgeTables, labels: DataFrame) -> EdgeTables:
-    """Edges with ``_src_label`` and ``_dst_label``, such as ``" (25)"``; none for zero."""
+def _shown_labels(labels: DataFrame) -> DataFrame:
+    """``_node`` and ``_label``, such as ``" (25)"``; none for zero."""
     node, count = labels.columns[:2]
     total = labels.groupBy(F.col(node).alias("_node")).agg(F.sum(count).alias("_n"))
-    shown = materialize(
-        total.where(F.col("_n") != 0).select(
-            "_node", F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")")).alias("_label")
-        )
+    return total.where(F.col("_n") != 0).select(
+        "_node", F.concat(F.lit(" ("), F.col("_n").cast("string"), F.lit(")")).alias("_label")
     )
 
+
+def _with_labels(edges: EdgeTables, labels: DataFrame) -> EdgeTables:
+    """Edges with ``_src_label`` and ``_dst_label``."""
+    shown = materialize(_shown_labels(labels))
+
     def named(table: DataFrame) -> DataFrame:
         for end in ("src", "dst"):
             names = shown.withColumnsRenamed({"_node": end, "_label": f"_{end}_label"})
@@ -179,23 +195,11 @@ def _side(
     is told by any of them, so nothing is counted again; only first hops are put in
     order. ``plain`` says that no node is large.
     """
-    has = set(edges.by_src.columns)
-    carried1 = {"_rel": "_rel1", "_src_label": "_label1", "_dst_label": "_label0"}
-    carried2 = {"_rel": "_rel2", "_src_label": "_label2"}
-    carried1 = {c: n for c, n in carried1.items() if c in has}
-    carried2 = {c: n for c, n in carried2.items() if c in has}
     hot = [] if plain else None
-
-    second = edges.by_dst.select(
-        F.col("dst").alias("hop1"),
-        F.col("src").alias("hop2"),
-        F.col("parent_row").alias("_place"),
-        F.col("parent_count").alias("_places"),
-        *[F.col(c).alias(n) for c, n in carried2.items()],
-    )
+    second = _second_hops(edges)
     degrees = second.where("_place = 1").select("hop1", F.col("_places").alias("_paths"))
     sized = balanced_join(
-        _first_hops(edges.by_src, focus, carried1), degrees, ["hop1"], "left", right_unique=True, hot=hot
+        _first_hops(edges.by_src, focus, _carried(edges)), degrees, ["hop1"], "left", right_unique=True, hot=hot
     ).withColumn("_paths", F.coalesce("_paths", F.lit(1)))
     blocks = (
         OrderedGroups(sized, ["focus"], ["hop1"], hot)
@@ -204,8 +208,22 @@ def _side(
         .withColumn("_start", F.col("_end") - F.col("_paths"))
         .drop("_end", "_paths")
     )
-    paths = balanced_join(blocks, second, ["hop1"], "left", hot=hot)
+    return _path_rows(balanced_join(blocks, second, ["hop1"], "left", hot=hot), way, first, last)
+
 
+def _carried(edges: EdgeTables) -> dict[str, str]:
+    """What first hops bring along, with its names."""
+    names = {"_rel": "_rel1", "_src_label": "_label1", "_dst_label": "_label0"}
+    return {c: n for c, n in names.items() if c in edges.by_src.columns}
+
+
+def _second_hops(edges: EdgeTables) -> DataFrame:
+    names = {"dst": "hop1", "src": "hop2", "parent_row": "_place", "parent_count": "_places", "_rel": "_rel2", "_src_label": "_label2"}
+    return edges.by_dst.select(*[F.col(c).alias(n) for c, n in names.items() if c in edges.by_dst.columns])
+
+
+def _path_rows(paths: DataFrame, way: str, first: str, last: str) -> DataFrame:
+    """The rows of one side, for first hops (with ``_start`` and ``_count``) and their second hops."""
     row = F.col("_start") + F.coalesce("_place", F.lit(1))
     columns = {
         "focus": F.col("focus"),
@@ -216,13 +234,96 @@ def _side(
         f"show_{way}1": F.coalesce(F.col("_place") == F.expr("_places div 2 + 1"), F.lit(True)),
         f"{way}_mark": _mark(row, F.col("_count"), first, last),
     }
-    if "_rel" in has:
+    if "_rel1" in paths.columns:
         columns |= {f"{way}2_rel": F.col("_rel2"), f"{way}1_rel": F.col("_rel1")}
     if "_label0" in paths.columns:
         columns[f"_{way}_label"] = F.col("_label0")
+    if "_across" in paths.columns:
+        columns["_across"] = F.col("_across")
     return paths.select(*[c.alias(n) for n, c in columns.items()])
 
 
+def _laid_out(edges: DataFrame, labels: DataFrame | None) -> EdgeTables:
+    """All that the layout of every node asks of an edge, by either end, where no node is large.
+
+    Edges go from one end to the other four times, and each time are written in
+    buckets by the end they have come to, with what that end knows: how many refer to
+    ``src`` (``_src_paths``), how many ``dst`` refers to (``_dst_paths``), and the sums of these
+    along the hops of a focus. ``_dst_across`` is the number of paths on the other side of
+    the focus ``dst`` if it has any, and ``_src_across`` likewise. No more than one
+    exchange of edges lies on disk at a time; a table is removed when the next has taken its place.
+    """
+    n, one = _buckets(edges), F.lit(1)
+    shown = None if labels is None else Bucketed(_shown_labels(labels).repartition(n, "_node"), n, "_node")
+
+    def known(table: DataFrame, facts: DataFrame, end: str) -> DataFrame:
+        return table.join(facts.hint("merge"), end, "left")
+
+    def named(table: DataFrame, end: str) -> DataFrame:
+        if shown is None:
+            return table
+        return known(table, shown.table.withColumnsRenamed({"_node": end, "_label": f"_{end}_label"}), end)
+
+    referring = edges.groupBy(F.col("dst").alias("src")).agg(F.count("*").alias("_src_paths"))
+    referring = Bucketed(referring.repartition(n, "src"), n, "src")
+    moved = known(edges.repartition(n, "src"), referring.table, "src")
+    by_src = Bucketed(named(moved, "src"), n, "src", ["dst"])
+
+    referred = by_src.table.groupBy(F.col("src").alias("dst")).agg(F.count("*").alias("_dst_paths"))
+    moved = known(by_src.table.repartition(n, "dst"), referred, "dst")
+    by_dst = Bucketed(named(moved, "dst"), n, "dst", ["src"])
+    for table in [referring, by_src] + [shown] * (shown is not None):
+        table.discard()
+
+    out = by_dst.table.where("_src_paths IS NOT NULL").groupBy(F.col("src").alias("dst"))
+    out = out.agg(F.sum(F.coalesce("_dst_paths", one)).alias("_dst_across"))
+    out = Bucketed(out.repartition(n, "dst"), n, "dst")
+    into = by_dst.table.where("_dst_paths IS NOT NULL").groupBy(F.col("dst").alias("src"))
+    into = into.agg(F.sum(F.coalesce("_src_paths", one)).alias("_src_across"))
+    behind, ahead = F.coalesce("_src_paths", one), F.coalesce("_dst_paths", one)
+    moved = known(by_dst.table, out.table, "dst")
+    rows = OrderedGroups(moved, ["dst"], ["src"], hot=False).running({"_end": behind}, {"_end": "_in_count"}).done()
+    rows = rows.withColumn("_in_start", F.col("_end") - behind).drop("_end")
+    moved = known(rows.repartition(n, "src"), into, "src")
+    rows = OrderedGroups(moved, ["src"], ["dst"], hot=False).running(
+        {"_end": ahead, "child_row": one}, {"_end": "_out_count", "child_row": "child_count"}
+    )
+    rows = rows.done().withColumn("_out_start", F.col("_end") - ahead).drop("_end")
+    laid = Bucketed(rows, n, "src", ["dst"])
+    by_dst.discard()
+    out.discard()
+
+    wanted = ["src", "dst", "_rel", "_src_label", "_dst_label", "_out_start", "_out_count", "_dst_paths", "_src_across"]
+    moved = laid.table.select(*[c for c in wanted if c in laid.table.columns]).repartition(n, "dst")
+    rows = OrderedGroups(moved, ["dst"], ["src"], hot=False).running({"parent_row": one}, {"parent_row": "parent_count"})
+    return EdgeTables(laid.table, Bucketed(rows.done(), n, "dst", ["src"]).table)
+
+
+def _buckets(edges: DataFrame) -> int:
+    rows, parts = edges.count(), int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    wanted = max(rows / BUCKET_EDGES, min(rows / FEW_EDGES, parts), 1)
+    return min(math.ceil(wanted), MOST_BUCKETS)
+
+
+def _meeting(edges: EdgeTables, way: str, first: str, last: str) -> tuple[DataFrame, DataFrame]:
+    """One side of the layout: rows that meet a row of the other side, and rows that stand alone.
+
+    A side has one row for each ordinal around 1, so the numbers of paths tell which rows meet.
+    Only those need a join.
+    """
+    more = {"_in_start": "_start", "_in_count": "_count", "_src_paths": "_paths", "_dst_across": "_across"}
+    hops = _first_hops(edges.by_src, None, _carried(edges) | more)
+    least, most = F.expr("1 - _across div 2"), F.expr("_across - _across div 2")
+    begins, ends = F.expr("_start + 1 - _count div 2"), F.expr("_start + coalesce(_paths, 1) - _count div 2")
+    meets = F.coalesce(F.col("ordinal").between(least, most), F.lit(False))
+
+    def rows(some: DataFrame, wanted: Column) -> DataFrame:
+        paths = some.join(_second_hops(edges).hint("merge"), "hop1", "left")
+        return _path_rows(paths, way, first, last).where(wanted).drop("_across")
+
+    return rows(hops.where((begins <= most) & (ends >= least)), meets), rows(hops, ~meets)
+
+
 def _labelled(name: str, label: str, rows: DataFrame) -> Column:
     if label not in rows.columns:
         return F.col(name)
@@ -241,6 +342,11 @@ def _has_hub(edges: EdgeTables) -> bool:
     return (most or 0) > hot_group_rows(edges.by_src.sparkSession)
 
 
+def _may_have_hub(edges: DataFrame) -> bool:
+    """The same of edges that are not numbered, by a sample."""
+    return outgrown(edges, ["dst"]) or outgrown(edges, ["src"])
+
+
 def graph_layout(
     edges: DataFrame | EdgeTables,
     focus: DataFrame | None = None,
@@ -259,19 +365,29 @@ def graph_layout(
     ``labels`` (node, count) adds ``" (count)"`` to each name unless the
     count is zero. ``relations`` names an edge column to show for each of the
     four hops, as ``in2_rel, in1_rel, out1_rel, out2_rel``. Edges that are not stored by
-    ``store_edges`` are numbered first.
+    ``store_edges`` are numbered first; where every node is a focus and none is large, they
+    are stored by both ends with the place of their rows (see ``_laid_out``).
     """
-    if not isinstance(edges, EdgeTables):
-        rel = [relations] if relations else []
-        edges = _by_ends(materialize(edge_ordinals(edges.select("src", "dst", *rel))))
-    stored = _named_relation(edges, relations)
-    plain = not _has_hub(stored)
-    if labels is not None:
-        stored = _with_labels(stored, labels)
-    into = _side(stored, focus, plain, "in", "\\", "/")
-    out = _side(stored.reversed(), focus, plain, "out", "/", "\\")
+    up, down = ("\\", "/"), ("/", "\\")
+    if not isinstance(edges, EdgeTables) and focus is None and not _may_have_hub(edges):
+        rel = [F.col(relations).alias("_rel")] if relations else []
+        laid = _laid_out(edges.select("src", "dst", *rel), labels)
+        (into, into_alone), (out, out_alone) = _meeting(laid, "in", *up), _meeting(laid.reversed(), "out", *down)
+        alone = into_alone.unionByName(out_alone, allowMissingColumns=True)
+    else:
+        if not isinstance(edges, EdgeTables):
+            rel = [relations] if relations else []
+            edges = _by_ends(materialize(edge_ordinals(edges.select("src", "dst", *rel))))
+        stored = _named_relation(edges, relations)
+        plain = not _has_hub(stored)
+        if labels is not None:
+            stored = _with_labels(stored, labels)
+        into, out = _side(stored, focus, plain, "in", *up), _side(stored.reversed(), focus, plain, "out", *down)
+        alone = None
 
     rows = into.join(out, ["focus", "ordinal"], "full")
+    if alone is not None:
+        rows = rows.unionByName(alone)
     name = F.col("focus")
     if labels is not None:
         name = F.concat(name, F.coalesce("_in_label", "_out_label", F.lit("")))

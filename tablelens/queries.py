@@ -326,7 +326,7 @@ def build_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def written_edges(spark: SparkSession, folder: str) -> DataFrame:
-    return tl.materialize(build_edges(spark, folder))
+    return tl.materialize(build_edges(spark, folder), compression="zstd")
 
 
 def edge_ordinals(spark: SparkSession, folder: str) -> DataFrame:
