@@ -69,3 +69,15 @@ def test_results_do_not_depend_on_partitions(spark, partitions):
         assert rows(queries()["run_lists"](spark, FOLDER)) == expected
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", before)
+
+
+@pytest.mark.parametrize("name", ["graph_layout", "graph_layout_labels"])
+def test_layouts_move_neither_edges_nor_paths_while_written(spark, name):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = plan_of(queries()[name](spark, FOLDER))
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    moved = [line for line in plan.splitlines() if "Exchange" in line]
+    assert len(moved) == 2 and all("focus" in line and "ordinal" in line for line in moved)
